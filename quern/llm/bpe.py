@@ -140,6 +140,8 @@ class WordBPE:
 
     def run(self, run: str) -> bytes:
         """Ids, as little-endian unsigned 32-bit integers, of a run without white space."""
+        if run.isascii() and run.isalpha():
+            return self.known[run]
         return b"".join([self.known[w] for w in self.words.findall(run)])
 
     def plain(self, text: str) -> bytes:

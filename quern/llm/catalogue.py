@@ -6,8 +6,15 @@ import importlib
 
 #: Query name and module, by the operator's number.
 QUERIES = {
+    "op2_stable_projections": "neighbours",
+    "op3_line_dedup": "line_dedup",
+    "op4_robust_outliers": "quality_rules",
     "op5_best_fit_packing": "packing",
+    "op6_html_extraction": "html_extract",
     "op7_bpe": "bpe",
+    "op8_simhash": "simhash",
+    "op9_rule_ensemble": "rule_classifier",
+    "op10_warc": "warc",
 }
 
 
@@ -16,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .line_dedup import OP3_SQL
+
+    return {"op3_line_dedup": OP3_SQL}

@@ -9,7 +9,7 @@ equal pieces, is applied to the pieces by their rank among those of their length
 
 from __future__ import annotations
 
-import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +23,9 @@ from . import bpe, common
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length are ranked in so many hashed buckets at least, and in one for so many pieces at least.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
+#: Bytes of a word up to which its pairs are scanned.
+SCANNED = 40
+NONE = 1 << 30
 
 
 class CapacityTree:
@@ -92,16 +95,31 @@ def layout(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray
 
 
 class Tokens:
-    """Ids by the tokenizers library, each run of a text without white space encoded once while remembered."""
+    """The ids that the tokenizers library gives. Words are mostly short: there a scan for the lowest rank beats a queue, which long words keep."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.own, self.lib = bpe.encoder(path), Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.own.runs.make = lambda run: np.array(self.lib.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.own = bpe.WordBPE(path)
+        self.own.known.make = self.word
+        self.rank = {pair: rank for pair, (rank, _) in self.own.ranks.items()}
+        self.made = [made for _, made in sorted(self.own.ranks.values())]
+
+    def word(self, word: str) -> bytes:
+        own, data = self.own, word.encode("utf-8", "surrogatepass")
+        if len(data) > SCANNED:
+            return own.word(word)
+        ids = [own.inner[x] for x in data]
+        ids[-1] = own.final[data[-1]]
+        rank, made = self.rank.get, self.made
+        ranks = [rank(p, NONE) for p in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < NONE:
+            i = ranks.index(low)
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((new, ids[i + 1]), NONE)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], new), NONE)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         return self.own.encode(text)
