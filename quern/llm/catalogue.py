@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and module, by the operator's number.
 QUERIES = {
+    "op1_feistel_pseudonyms": "pii",
     "op2_stable_projections": "neighbours",
     "op3_line_dedup": "line_dedup",
     "op4_robust_outliers": "quality_rules",
