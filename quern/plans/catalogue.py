@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_queries, corpus_queries, evaluation_queries, ranking_queries, relational_queries, streaming_queries  # noqa: F401
+from . import conversation_queries, corpus_queries, evaluation_queries, ranking_queries, relational_queries, routing_queries, streaming_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -47,7 +47,7 @@ def v2(spark: SparkSession, sf_dir: str, *, limit: int = TOP) -> DataFrame:
     """Dense recall and title keywords as channels, merged first-wins, additive rules, source diversity, limit."""
     dense = recalled(spark, sf_dir)
     n = news(spark, sf_dir)
-    asked = dense.select("query_id", "query").distinct()
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")).join(n, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
     # the keyword channel: the query's longest word, looked up among the words of titles
     word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), F.lit(0)))
     terms = asked.select("query_id", "query", F.explode(word(F.col("query"))).alias("_w"))
