@@ -6,10 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -67,8 +65,9 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(each, schema)
+def giving_way(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator adds or uses itself: on a clash of names the input's column gives way."""
+    return df.drop(*(n for n in names if n in df.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -141,7 +141,8 @@ def bitmaps(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int
 
 
 def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The columns of docs, with _text (without the dropped lines), _n_lines (before) and _n_dropped. Null and empty texts have one empty line. Rows that repeat stay; rows of one id count as one document, each with its own lines."""
+    """The columns of docs, with _text (without the dropped lines), _n_lines (before) and _n_dropped. Null and empty texts have one empty line. Rows that repeat stay; rows of one id count as one document, each with its own lines; columns with a name that is used here give way."""
+    docs = common.giving_way(docs, "_text", "_n_lines", "_n_dropped", "_doc", "_row", "_bitmap", "_kept")
     text = F.coalesce("text", F.lit(""))
     marks = bitmaps(docs, least_chars=least_chars, least_docs=least_docs)
     tagged = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_row": F.xxhash64(text)})

@@ -190,7 +190,7 @@ def neighbours(vectors: DataFrame, *, every: int = EVERY, k: int = K, miss: floa
     asked = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("_v").alias("_qv"), "_cell")
 
     first = common.materialize(searched(space, data, spread(asked.withColumn("_worst", F.lit(float("inf"))), sizes), k, miss), "found")
-    reached = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("_s")).select("query_id", F.col("_s")[0].alias("_kth"))
+    reached = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("_s")).select("query_id", F.get("_s", F.lit(0)).alias("_kth"))
     low, high = space.boxes()
     limit, longest = chi2.quantile(1 - miss, space.m), space.longest
 

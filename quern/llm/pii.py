@@ -37,7 +37,7 @@ PATTERNS = {
 }
 ANY = BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")"
 #: A text without any of these has no match.
-SOME = "[0-9@=:]"
+SOME = "[0-9@=:]|A[KS]IA"
 
 
 def let(value: Column, use) -> Column:
@@ -237,9 +237,10 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, *, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """The columns of docs, with _text and _n_replaced. Null texts stay null, empty texts empty; no row sees another, nothing is shuffled.
+    """The columns of docs, with _text and _n_replaced. Null texts stay null, empty texts empty; no row sees another, nothing is shuffled; columns with a name that is used here give way.
 
     A text is cut at its matches by one pattern; the matches are replaced and set between the pieces again."""
+    docs = common.giving_way(docs, "_text", "_n_replaced", "_new")
     hit = F.coalesce(F.col(text).rlike(SOME) & F.col(text).rlike(ANY), F.lit(False))
     cut = F.when(hit, F.struct(F.split(F.col(text), ANY, -1).alias("pieces"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("found")))
 

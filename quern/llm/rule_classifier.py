@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
 
 
 def score(docs: DataFrame, rules: Rules, *, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, if none are named), _score and _predicted. Null and empty texts are scored by their statistics, as any."""
+    """The kept columns (all, if none are named), _score and _predicted. Null and empty texts are scored by their statistics, as any; columns of docs with a result's name give way."""
+    docs = common.giving_way(docs, "_score", "_predicted")
     keep = docs.columns if keep is None else keep
     told = textstats.with_stats(docs, keep=keep)
     named = told.select(*(F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)), *features())

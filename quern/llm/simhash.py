@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, keep: list[str] | N
             found = np.array([fingerprint(t, shingle) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], names=[*keep, "_fp"])
 
-    return docs.select(*keep, F.col("text").alias("_text_")).mapInArrow(each, schema)
+    return common.giving_way(docs, "_fp", "_text_").select(*keep, F.col("text").alias("_text_")).mapInArrow(each, schema)
 
 
 @dataclass(frozen=True)

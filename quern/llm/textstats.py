@@ -59,6 +59,7 @@ def stats(text: str | None) -> tuple[int, ...]:
 
 def with_stats(docs: DataFrame, *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns (all, if none are named) and the statistics of each row's whole text, under PREFIX. No shuffle."""
+    docs = common.giving_way(docs, *(PREFIX + n for n in NAMES))
     keep = docs.columns if keep is None else keep
     docs = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(PREFIX + n, T.LongType()) for n in NAMES])

@@ -152,7 +152,7 @@ def revisits(pages: DataFrame, *, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return told.join(top, ["_sha", "_len"]).filter(F.col("page_id") != F.col("_top")).select("page_id", "_sha", F.col("_top").alias("refers_to")).distinct()
 
 
-def write(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Archives of all pages (page_id, url, html); returns a written table of them: path, n_records, n_bytes. A null html is an empty payload. Rows with a null page_id are responses. Only archives of tasks that ended are in the table, so what a lost executor left is never read."""
     spark = pages.sparkSession
     where = common.new_path(spark, "warc")
@@ -196,7 +196,7 @@ def write(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, archive_bytes: in
             for r in stream:
                 first.append(r)
                 size += len(r)
-                if size >= TRAIN_BYTES:
+                if size >= train_bytes:
                     break
             if not first:
                 return
