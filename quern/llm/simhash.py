@@ -7,6 +7,10 @@ programming on estimated costs: probes plus candidates to verify, from counts of
 fingerprints. Fingerprints that share a probed value meet in a bucket, where every pair is verified
 by its exact distance; of the links found, a spanning forest is given, so that a bucket of n gives
 fewer than n rows and loses no connection. Large buckets are cut into blocks that meet in pairs.
+
+Documents of a given similarity can lie further apart than r bits. For them (near_links) the fingerprint
+of a passage, a run of shingles that ends where a shingle's hash says so, leads to candidates; these are
+verified by the distance of their documents' fingerprints and then by their shingles.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
+#: A shingle in so many ends a passage; a document is looked up by so many of its passages, those of the smallest fingerprints.
+PASSAGE, ANCHORS = 16, 8
+#: Documents that differ in more bits are taken for dissimilar: at a similarity of 0.8 a bit differs with a chance of 0.15, so more than 20 of 64 do once in 1,500.
+FAR = 20
 #: Buckets of more fingerprints are cut into blocks of about so many.
 BLOCK = 2048
 #: Cost of a probe (a shuffled row) in verified candidates.
@@ -47,7 +55,10 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """Bit by bit, 1 if set in over half of the hashes; 0 for a text without words."""
-    h = shingle_hashes(text, k)
+    return majority(shingle_hashes(text, k))
+
+
+def majority(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
@@ -69,6 +80,70 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, keep: list[str] | N
     return common.giving_way(docs, "_fp", "_text_").select(*keep, F.col("text").alias("_text_")).mapInArrow(each, schema)
 
 
+def passages(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of the passages of a text, by the hashes of its shingles, as signed longs; the ANCHORS smallest."""
+    if not len(h):
+        return np.zeros(0, dtype=np.int64)
+    h = h.astype(np.uint64)
+    ends = np.flatnonzero(h % PASSAGE == 0) + 1
+    starts = np.concatenate([[0], ends[ends < len(h)]])
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for b in range(BITS):
+        ones = np.add.reduceat((h >> np.uint64(b)) & np.uint64(1), starts)
+        out |= (2 * ones > np.diff(np.append(starts, len(h)))).astype(np.uint64) << np.uint64(b)
+    return np.unique(out)[:ANCHORS].view(np.int64)
+
+
+def described(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, _fp, _row (the text's hash, which tells rows of one id apart), _size (distinct shingles), _anchors. Null texts have no words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, anchors = [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t, shingle)
+                fps.append(majority(h))
+                sizes.append(len(np.unique(h)))
+                anchors.append(passages(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), b.column(1), pa.array(sizes, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "_fp", "_row", "_size", "_anchors"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").mapInArrow(each, "doc_id long, _fp long, _row long, _size long, _anchors array<long>")
+
+
+def near_links(docs: DataFrame, told: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
+    """_a, _b: fingerprints of documents whose shingles (as sets) have a Jaccard similarity of at least `similarity`, found by passages they share. told: described(docs).
+
+    One document stands for each fingerprint. Where many share a passage, each is compared with two of them, the smallest and the largest, so a passage of n documents gives at most 2 n candidates; those whose only shared passages are common ones of unlike documents are not found."""
+    one = told.filter("_size > 0").groupBy("_fp").agg(F.min(F.struct("doc_id", "_row", "_size", "_anchors")).alias("_x")).select("_fp", "_x.*")
+    long = common.materialize(one.select(F.explode("_anchors").alias("_k"), F.struct("_fp", "_size", "doc_id", "_row").alias("_d")), "anchors")
+    centres = long.groupBy("_k").agg(F.min("_d").alias("_min"), F.max("_d").alias("_max")).filter("_min._fp <> _max._fp")
+    met = long.join(centres, "_k").select("_d", F.explode(F.array("_min", "_max")).alias("_c"))
+    size = F.least("_d._size", "_c._size") >= similarity * F.greatest("_d._size", "_c._size")
+    near = F.bit_count(F.col("_d._fp").bitwiseXOR(F.col("_c._fp"))) <= FAR
+    met = met.filter((F.col("_d._fp") != F.col("_c._fp")) & size & near)
+    flip = F.col("_d._fp") > F.col("_c._fp")
+    ordered = met.select(F.when(flip, F.col("_c")).otherwise(F.col("_d")).alias("_l"), F.when(flip, F.col("_d")).otherwise(F.col("_c")).alias("_r"))
+    pairs = common.materialize(ordered.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("_l", "_r")).alias("_d")).select("_d.doc_id", "_d._row").distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    texts = keyed.alias("k").join(wanted.alias("w"), same("k.doc_id", "w.doc_id") & (F.col("k._row") == F.col("w._row")), "left_semi").dropDuplicates(["doc_id", "_row"])
+    side = lambda n: texts.select(F.col("doc_id").alias(f"_i{n}"), F.col("_row").alias(f"_h{n}"), F.col("text").alias(f"_t{n}"))
+    both = pairs.join(side(1), same("_l.doc_id", "_i1") & (F.col("_l._row") == F.col("_h1"))).join(side(2), same("_r.doc_id", "_i2") & (F.col("_r._row") == F.col("_h2")))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["_a", "_b"])
+
+    return both.select(F.col("_l._fp").alias("_a"), F.col("_r._fp").alias("_b"), "_t1", "_t2").mapInArrow(each, "_a long, _b long")
+
+
 @dataclass(frozen=True)
 class Plan:
     """Bits of each partition (0: the lowest) and its threshold."""
@@ -283,11 +358,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = told
 
 
-def grouped_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, _fp, component_id: the smallest doc_id that links of at most radius bits reach, its own included. One row per row of docs; texts without words have fingerprint 0 and link like any other; null ids take part, but name no component unless all are null."""
-    told = common.materialize(fingerprints(docs, shingle=shingle), "fingerprints")
+def grouped_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """doc_id, _fp, component_id: the smallest doc_id that links of at most radius bits (and, if a similarity is given, near_links) reach, its own included. One row per row of docs; texts without words have fingerprint 0 and link like any other; null ids take part, but name no component unless all are null."""
+    told = common.materialize(fingerprints(docs, shingle=shingle) if similarity is None else described(docs, shingle=shingle), "fingerprints")
     nodes = common.materialize(told.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "nodes")
-    roots = components(links(nodes.select("_fp"), radius=radius))
+    edges = links(nodes.select("_fp"), radius=radius)
+    if similarity is not None:
+        edges = edges.unionByName(near_links(docs, told, similarity, shingle=shingle))
+    roots = components(edges)
     of = nodes.join(roots, nodes["_fp"] == roots["_node"], "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root"))
     least = of.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return told.join(of.join(least, "_root").select("_fp", "component_id"), "_fp").select("doc_id", "_fp", "component_id")

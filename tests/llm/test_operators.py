@@ -368,3 +368,22 @@ def test_permutations_are_bijections(spark):
     assert days.select(pii.date(F.col("x"), "k").alias("y")).distinct().count() == days.count()
     ssn = spark.range(0, 9999, 13).select(F.format_string("123-45-%04d", F.col("id") + 1).alias("x"))
     assert ssn.select(pii.ssn(F.col("x"), "k").alias("y")).distinct().count() == ssn.count()
+
+
+def test_similar_documents_are_grouped(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(0, 400, 2):
+        w = [word() for _ in range(r.choice((60, 200, 600)))]
+        v = list(w)
+        for at in r.sample(range(len(v)), max(1, len(v) // 90)):
+            v[at] = word()
+        rows += [(i, " ".join(w) + (" " + passage if i % 8 == 0 else "")), (i + 1, " ".join(v) + (" " + passage if i % 8 == 0 else ""))]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    close = [i for i in range(0, 400, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.grouped_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()}
+    assert len(close) > 100 and sum(got[i + 1] == i for i in close) >= 0.97 * len(close)
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert simhash.grouped_documents(awkward(spark), shingle=5, similarity=0.8).count() == 7
