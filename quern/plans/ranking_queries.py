@@ -100,7 +100,7 @@ def source_preference(spark, d):
     return K.preferred_first(P.recalled(spark, d), F.col("source").isin("src1", "src2")).select("query_id", "doc_id", "rank")
 
 
-@query("carryover_boost", f"WITH {CAND}, b AS (SELECT *, round(score + CASE WHEN doc_id % 7 = 0 THEN 0.08 ELSE 0 END, 6) AS boosted_score FROM cand) SELECT query_id, doc_id, boosted_score, pos AS original_rank, row_number() OVER (PARTITION BY query_id ORDER BY boosted_score DESC, pos) AS rank FROM b")
+@query("carryover_boost", f"WITH {CAND}, b AS (SELECT *, round(score + CASE WHEN doc_id % 7 = 0 THEN 0.08 ELSE 0 END, 6) AS boosted_score FROM cand) SELECT query_id, doc_id, boosted_score, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS original_rank, row_number() OVER (PARTITION BY query_id ORDER BY boosted_score DESC, pos) AS rank FROM b")
 def carryover_boost(spark, d):
     return K.boosted(P.recalled(spark, d), F.col("doc_id") % 7 == 0).select("query_id", "doc_id", "boosted_score", "original_rank", "rank")
 
