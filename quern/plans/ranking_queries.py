@@ -182,7 +182,13 @@ def kw_overlap(spark, d):
     return c.select("query_id", "doc_id", F.size("_e").alias("n_terms"), F.round(X.contained(F.col("_e"), F.col("text")), 6).alias("overlap"))
 
 
-@query("no_answer_signs")
+@query("no_answer_signs", f"""WITH {CAND}, e AS (SELECT *, list_filter(['the', 'tion', 'and', 'thing', 'ment', 'heit'], lambda x: contains(query, x)) AS en FROM cand),
+s AS (SELECT *, 0.6 * CASE WHEN len(en) = 0 OR length(title) = 0 THEN 0 ELSE len(list_filter(en, lambda x: contains(title, x))) / len(en) END + 0.4 * CASE WHEN len(en) = 0 OR length(text) = 0 THEN 0 ELSE len(list_filter(en, lambda x: contains(text, x))) / len(en) END AS lexical,
+ CASE WHEN title <> '' AND contains(query, title) THEN 10.0 ELSE 0.0 END AS title_score, coalesce(list_sum(list_transform(list_filter(en, lambda x: contains(title, x)), lambda x: CASE WHEN length(x) >= 4 THEN 3.0 ELSE 1.5 END)), 0) AS bonus,
+ CASE WHEN length(text) < 30 THEN -3.0 WHEN length(text) < 60 THEN -1.0 ELSE 0.0 END AS pen, 0.5 * len(list_filter(en, lambda x: NOT contains(title, x) AND contains(title || ' ' || text, x))) AS only_text FROM e),
+f AS (SELECT *, round(10 * score + 5 * lexical + title_score + bonus + pen + only_text, 4) AS final FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, pos) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM f),
+a AS (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS top1, round(avg(score), 4) AS top5_avg, (max(score) FILTER (WHERE rank = 1) < 0.55)::INT + (max(lexical) < 0.05)::INT + (max(title_score) < 2)::INT + 1 AS signs, max(n) AS n FROM r WHERE rank <= 5 GROUP BY query_id)
+SELECT query_id, top1, top5_avg, round(signs / 4.0, 4) AS no_answer_score, signs >= 4 AND n < 2 AS should_no_answer FROM a""")
 def no_answer_signs(spark, d):
     c = P.recalled(spark, d).withColumns({"entities": X.vocabulary_hits(F.col("query"), P.ENTITIES), "chunk": F.col("text"), "common": F.lit(0), "date_score": F.lit(0.0), "source_score": F.lit(0.0), "analysis_score": F.lit(0.0), "chunk_type": F.lit("summary"), "channel": F.lit("dense")})
     return K.no_answer(K.light_rules(c))
@@ -197,7 +203,9 @@ def anchor_candidates(spark, d):
     return K.anchors(c).select("query_id", "doc_id", "points", "confidence", "kind", "rank")
 
 
-@query("retrieval_v1")
+@query("retrieval_v1", f"""WITH {CAND}, h AS (SELECT *, round(0.7 * nv + 0.3 * nl, 6) AS hybrid_score FROM norm), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, score DESC, doc_id) AS r FROM h),
+g AS (SELECT *, count(*) FILTER (WHERE quality_score > 0.35) OVER (PARTITION BY query_id) < 5 AS fallback FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source = 'src1' DESC, r) AS rank FROM g WHERE quality_score > 0.35 OR fallback)
+SELECT query_id, doc_id, hybrid_score, rank, fallback FROM p WHERE rank <= 5""")
 def retrieval_v1(spark, d):
     return P.v1(spark, d).select("query_id", "doc_id", "hybrid_score", "rank", "fallback")
 
