@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Runs that are remembered: none longer, and no more than so many, twice over.
-RUN_CHARS, RUNS = 48, 250_000
+RUN_CHARS, RUNS = 48, 500_000
 #: White space as the vocabulary's patterns have it; split() knows four more, x1C to x1F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -108,7 +108,7 @@ class WordBPE:
         self.words = re.compile(pattern.replace(r"\p{L}", ranges("L")).replace(r"\p{N}", ranges("N")).replace(r"\s", WHITE))
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.white = re.compile(f"[{WHITE}]+")
-        self.known = Runs(self.word)
+        self.make = self.word
         self.runs = Runs(self.run)
 
     def merge(self, word: str) -> list[int]:
@@ -139,10 +139,11 @@ class WordBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def run(self, run: str) -> bytes:
-        """Ids, as little-endian unsigned 32-bit integers, of a run without white space."""
-        if run.isascii() and run.isalpha():
-            return self.known[run]
-        return b"".join([self.known[w] for w in self.words.findall(run)])
+        """Ids, as little-endian unsigned 32-bit integers, of a run without white space; its words are runs as well."""
+        words = [run] if run.isascii() and run.isalpha() else self.words.findall(run)
+        if len(words) == 1 and words[0] == run:
+            return self.make(run)
+        return b"".join([self.runs[w] for w in words])
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""

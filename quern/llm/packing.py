@@ -99,7 +99,7 @@ class Tokens:
 
     def __init__(self, path: str):
         self.own = bpe.WordBPE(path)
-        self.own.known.make = self.word
+        self.own.make = self.word
         self.rank = {pair: rank for pair, (rank, _) in self.own.ranks.items()}
         self.made = [made for _, made in sorted(self.own.ranks.values())]
 
