@@ -80,18 +80,18 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, keep: list[str] | N
     return common.giving_way(docs, "_fp", "_text_").select(*keep, F.col("text").alias("_text_")).mapInArrow(each, schema)
 
 
-def passages(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of the passages of a text, by the hashes of its shingles, as signed longs; the ANCHORS smallest."""
+def passages(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """A text's fingerprint by the hashes of its shingles, and those of its passages as signed longs, the ANCHORS smallest: bits are summed by passage, all 64 at once."""
     if not len(h):
-        return np.zeros(0, dtype=np.int64)
-    h = h.astype(np.uint64)
-    ends = np.flatnonzero(h % PASSAGE == 0) + 1
+        return 0, np.zeros(0, dtype=np.int64)
+    ends = np.flatnonzero(h.astype(np.uint64) % PASSAGE == 0) + 1
     starts = np.concatenate([[0], ends[ends < len(h)]])
-    out = np.zeros(len(starts), dtype=np.uint64)
-    for b in range(BITS):
-        ones = np.add.reduceat((h >> np.uint64(b)) & np.uint64(1), starts)
-        out |= (2 * ones > np.diff(np.append(starts, len(h)))).astype(np.uint64) << np.uint64(b)
-    return np.unique(out)[:ANCHORS].view(np.int64)
+    groups = np.split(starts, np.flatnonzero(np.diff(starts >> 16)) + 1)  # long texts in parts
+    ones = np.concatenate([np.add.reduceat(np.unpackbits(h[g[0] : to].view(np.uint8).reshape(-1, 8), axis=1), g - g[0], axis=0, dtype=np.int32) for g, to in zip(groups, [*(g[0] for g in groups[1:]), len(h)], strict=True)])
+    lengths = np.diff(np.append(starts, len(h)))
+    packed = np.packbits(2 * ones > lengths[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+    whole = int.from_bytes(np.packbits(2 * ones.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big")
+    return whole, np.unique(packed)[:ANCHORS].view(np.int64)
 
 
 def described(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
@@ -102,9 +102,10 @@ def described(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
             fps, sizes, anchors = [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, shingle)
-                fps.append(majority(h))
+                whole, own = passages(h)
+                fps.append(whole)
                 sizes.append(len(np.unique(h)))
-                anchors.append(passages(h))
+                anchors.append(own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), b.column(1), pa.array(sizes, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "_fp", "_row", "_size", "_anchors"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").mapInArrow(each, "doc_id long, _fp long, _row long, _size long, _anchors array<long>")
