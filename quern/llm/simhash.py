@@ -8,13 +8,17 @@ fingerprints. Fingerprints that share a probed value meet in a bucket, where eve
 by its exact distance; of the links found, a spanning forest is given, so that a bucket of n gives
 fewer than n rows and loses no connection. Large buckets are cut into blocks that meet in pairs.
 
-Documents of a given similarity can lie further apart than r bits. For them (near_links) the fingerprint
-of a passage, a run of shingles that ends where a shingle's hash says so, leads to candidates; these are
-verified by the distance of their documents' fingerprints and then by their shingles.
+Documents of a given similarity can lie further apart than r bits. For them (near_links) every text is
+listed under the first of its shingles in one order of all shingles, rare ones first: so many that two
+texts of that similarity share one of them (a prefix filter, exact). Texts under one shingle are compared
+with two of them first; those not connected by then meet in blocks, pair by pair. A pair is dropped
+only where its sizes or the parities of its shingles rule the similarity out; the rest are verified by
+their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: A shingle in so many ends a passage; a document is looked up by so many of its passages, those of the smallest fingerprints.
-PASSAGE, ANCHORS = 16, 8
-#: Documents that differ in more bits are taken for dissimilar: at a similarity of 0.8 a bit differs with a chance of 0.15, so more than 20 of 64 do once in 1,500.
-FAR = 20
+#: Bits of a set's parities, the number of texts from which frequent shingles are estimated (they order the shingles, nothing more), and how many of these there are at most.
+PARITIES, SAMPLE, FREQUENT = 1024, 16_000, 100_000
+#: Texts under one shingle meet in pairs of blocks of about so many.
+MEETING = 512
 #: Buckets of more fingerprints are cut into blocks of about so many.
 BLOCK = 2048
 #: Cost of a probe (a shuffled row) in verified candidates.
@@ -80,57 +84,64 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, keep: list[str] | N
     return common.giving_way(docs, "_fp", "_text_").select(*keep, F.col("text").alias("_text_")).mapInArrow(each, schema)
 
 
-def passages(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """A text's fingerprint by the hashes of its shingles, and those of its passages as signed longs, the ANCHORS smallest: bits are summed by passage, all 64 at once."""
-    if not len(h):
-        return 0, np.zeros(0, dtype=np.int64)
-    ends = np.flatnonzero(h.astype(np.uint64) % PASSAGE == 0) + 1
-    starts = np.concatenate([[0], ends[ends < len(h)]])
-    groups = np.split(starts, np.flatnonzero(np.diff(starts >> 16)) + 1)  # long texts in parts
-    ones = np.concatenate([np.add.reduceat(np.unpackbits(h[g[0] : to].view(np.uint8).reshape(-1, 8), axis=1), g - g[0], axis=0, dtype=np.int32) for g, to in zip(groups, [*(g[0] for g in groups[1:]), len(h)], strict=True)])
-    lengths = np.diff(np.append(starts, len(h)))
-    packed = np.packbits(2 * ones > lengths[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
-    whole = int.from_bytes(np.packbits(2 * ones.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big")
-    return whole, np.unique(packed)[:ANCHORS].view(np.int64)
+def frequent(docs: DataFrame, *, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles' hashes that come up in four or more of a sample of texts, in order, and how often. What is not among them counts as rare: this moves a shingle within the order and drops nothing."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, shingle)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype(np.uint64).view(np.int64) if own else np.zeros(0, dtype=np.int64))], names=["_k"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(each, "_k long")
+    top = some.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n >= 4").orderBy(F.desc("_n"), "_k").limit(FREQUENT).collect()
+    keys, n = np.array([r["_k"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["_n"] for r in top], dtype=np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def leading(h: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a set of shingles (distinct, in order) the first ones, rare before frequent and then by hash: as many as a similar set cannot do without all of."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+    if len(keys) and len(h):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        seen = np.where(keys[at] == h, counts[at], 0)
+        if seen.any():
+            return h[np.argsort(seen, kind="stable")[:n]]
+    return h[:n]
 
 
-def described(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, _fp, _row (the text's hash, which tells rows of one id apart), _size (distinct shingles), _anchors. Null texts have no words."""
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each of PARITIES buckets whether a set has an odd number of shingles in it, as longs. Two sets differ in at least as many shingles as they do in these bits."""
+    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def described(docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, _fp, _row (the text's hash), _size (distinct shingles), _keys (the leading ones), _odd (parities). Null texts have no words."""
+    keys, counts = frequent(docs, shingle=shingle)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, anchors = [], [], []
+            fps, sizes, lead, odd = [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, shingle)
-                whole, own = passages(h)
-                fps.append(whole)
-                sizes.append(len(np.unique(h)))
-                anchors.append(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), b.column(1), pa.array(sizes, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))], names=["doc_id", "_fp", "_row", "_size", "_anchors"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").mapInArrow(each, "doc_id long, _fp long, _row long, _size long, _anchors array<long>")
-
-
-def near_links(docs: DataFrame, told: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
-    """_a, _b: fingerprints of documents whose shingles (as sets) have a Jaccard similarity of at least `similarity`, found by passages they share. told: described(docs).
-
-    One document stands for each fingerprint. Where many share a passage, each is compared with two of them, the smallest and the largest, so a passage of n documents gives at most 2 n candidates; those whose only shared passages are common ones of unlike documents are not found."""
-    one = told.filter("_size > 0").groupBy("_fp").agg(F.min(F.struct("doc_id", "_row", "_size", "_anchors")).alias("_x")).select("_fp", "_x.*")
-    long = common.materialize(one.select(F.explode("_anchors").alias("_k"), F.struct("_fp", "_size", "doc_id", "_row").alias("_d")), "anchors")
-    centres = long.groupBy("_k").agg(F.min("_d").alias("_min"), F.max("_d").alias("_max")).filter("_min._fp <> _max._fp")
-    met = long.join(centres, "_k").select("_d", F.explode(F.array("_min", "_max")).alias("_c"))
-    size = F.least("_d._size", "_c._size") >= similarity * F.greatest("_d._size", "_c._size")
-    near = F.bit_count(F.col("_d._fp").bitwiseXOR(F.col("_c._fp"))) <= FAR
-    met = met.filter((F.col("_d._fp") != F.col("_c._fp")) & size & near)
-    flip = F.col("_d._fp") > F.col("_c._fp")
-    ordered = met.select(F.when(flip, F.col("_c")).otherwise(F.col("_d")).alias("_l"), F.when(flip, F.col("_d")).otherwise(F.col("_c")).alias("_r"))
-    pairs = common.materialize(ordered.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("_l", "_r")).alias("_d")).select("_d.doc_id", "_d._row").distinct()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    texts = keyed.alias("k").join(wanted.alias("w"), same("k.doc_id", "w.doc_id") & (F.col("k._row") == F.col("w._row")), "left_semi").dropDuplicates(["doc_id", "_row"])
-    side = lambda n: texts.select(F.col("doc_id").alias(f"_i{n}"), F.col("_row").alias(f"_h{n}"), F.col("text").alias(f"_t{n}"))
-    both = pairs.join(side(1), same("_l.doc_id", "_i1") & (F.col("_l._row") == F.col("_h1"))).join(side(2), same("_r.doc_id", "_i2") & (F.col("_r._row") == F.col("_h2")))
+                fps.append(majority(h))
+                h = np.unique(h.astype(np.uint64))
+                sizes.append(len(h))
+                lead.append(leading(h, similarity, keys, counts).view(np.int64))
+                odd.append(parities(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), b.column(1), pa.array(sizes, pa.int64()), pa.array(lead, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "_fp", "_row", "_size", "_keys", "_odd"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").mapInArrow(each, "doc_id long, _fp long, _row long, _size long, _keys array<long>, _odd array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
+    """_a, _b: fingerprints of those pairs of texts (_x, _y, with _a, _b) whose shingles, as sets, reach the similarity."""
+    pairs = common.materialize(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("_x", "_y")).alias("_row")).distinct()
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"])
+    both = pairs.join(texts.select(F.col("_row").alias("_x"), F.col("text").alias("_t1")), "_x").join(texts.select(F.col("_row").alias("_y"), F.col("text").alias("_t2")), "_y")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,11 +149,95 @@ def near_links(docs: DataFrame, told: DataFrame, similarity: float, *, shingle:
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["_a", "_b"])
 
-    return both.select(F.col("_l._fp").alias("_a"), F.col("_r._fp").alias("_b"), "_t1", "_t2").mapInArrow(each, "_a long, _b long")
+    return both.select("_a", "_b", "_t1", "_t2").mapInArrow(each, "_a long, _b long")
+
+
+def most_apart(similarity: float, sizes):
+    """In how many elements two sets that are similar can differ, by the sum of their sizes."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def meeting(blocks: DataFrame, similarity: float) -> DataFrame:
+    """_x, _y: pairs of texts of a block with different _root that sizes and parities do not tell apart. blocks: _k, _i, _j, _row, _root, _size, _odd, all rows of a block together and in order."""
+
+    def found(cols: list[np.ndarray], lo: int, hi: int) -> Iterator[np.ndarray]:
+        row, root, size, odd = (c[lo:hi] for c in cols[3:])
+        odd = odd.view(np.uint64)
+        for i in range(hi - lo - 1):
+            r = slice(i + 1, None)
+            ok = np.flatnonzero((root[r] != root[i]) & (np.minimum(size[r], size[i]) >= similarity * np.maximum(size[r], size[i]) - 1e-9)) + i + 1
+            if len(ok):
+                ok = ok[np.bitwise_count(odd[ok] ^ odd[i]).sum(axis=1, dtype=np.int64) <= most_apart(similarity, size[ok] + size[i])]
+                if len(ok):
+                    yield np.stack([np.full(len(ok), row[i]), row[ok]], axis=1)
+
+    def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        xy = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["_x", "_y"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, out, n = None, [], 0
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [b.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(-1, PARITIES // 64)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            change = np.zeros(len(cols[0]) - 1, dtype=bool)
+            for c in cols[:3]:
+                change |= np.diff(c) != 0
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                for xy in found(cols, lo, hi):
+                    out.append(xy)
+                    n += len(xy)
+                    if n > 1 << 16:
+                        yield told(out)
+                        out, n = [], 0
+            rest = [c[starts[-1] :] for c in cols]
+        if rest is not None:
+            for xy in found(rest, 0, len(rest[0])):
+                out.append(xy)
+                n += len(xy)
+                if n > 1 << 16:
+                    yield told(out)
+                    out, n = [], 0
+        if out:
+            yield told(out)
+
+    return blocks.mapInArrow(each, "_x long, _y long")
+
+
+def near_links(docs: DataFrame, told: DataFrame, known: DataFrame, similarity: float, *, shingle: int = SHINGLE, block: int = MEETING) -> DataFrame:
+    """_a, _b: links between fingerprints that, with the known ones, connect all documents whose shingles (as sets) have a Jaccard similarity of at least `similarity`, directly or by others, and no link below it. told: described(docs).
+
+    Each different text takes part. Under a shingle, all texts are compared with two of them, the smallest and the largest; that is all pairs of up to three. Where more are listed and these links and the known ones leave them in several components, all pairs across components are compared in blocks."""
+    one = common.materialize(told.filter("_size > 0").select("_row", "_fp", "_size", "_keys", "_odd").dropDuplicates(["_row"]), "texts")
+    posts = one.select(F.explode("_keys").alias("_k"), "_row")
+    shared = posts.groupBy("_k").agg(F.count("*").alias("_n"), F.min("_row").alias("_min"), F.max("_row").alias("_max")).filter("_n > 1")
+    met = common.materialize(posts.join(shared, "_k"), "met")
+    side = lambda a, b, n: one.select(F.col("_row").alias(a), F.col("_fp").alias(b), F.col("_size").alias(f"_s{n}"), F.col("_odd").alias(f"_o{n}"))
+    sided = lambda pairs: pairs.join(side("_x", "_a", 1), "_x").join(side("_y", "_b", 2), "_y")
+    apart = F.aggregate(F.zip_with("_o1", "_o2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (F.least("_s1", "_s2") >= similarity * F.greatest("_s1", "_s2") - 1e-9) & (apart <= most_apart(similarity, F.col("_s1") + F.col("_s2")))
+    pairs = met.select("_row", F.explode(F.array("_min", "_max")).alias("_c")).filter("_row <> _c").select(F.least("_row", "_c").alias("_x"), F.greatest("_row", "_c").alias("_y")).distinct()
+    first = common.materialize(alike(sided(pairs).filter((F.col("_a") != F.col("_b")) & near).select("_x", "_y", "_a", "_b"), docs, similarity, shingle=shingle), "links")
+    roots = components(known.unionByName(first))
+    of = one.join(roots, one["_fp"] == roots["_node"], "left").select("_row", F.coalesce("_root", "_fp").alias("_root"), "_size", "_odd")
+    of = common.materialize(of, "rooted")
+    many = met.filter("_n > 3").select("_k", "_n", "_row").join(of.select("_row", "_root"), "_row")
+    mixed = many.groupBy("_k").agg(F.min("_root").alias("_l"), F.max("_root").alias("_g")).filter("_l <> _g").select("_k")
+    rest = many.join(mixed, "_k", "left_semi").select("_k", "_n", "_row").join(of, "_row")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("_row"), F.col("_blocks").cast("long")).cast("int")
+    paired = rest.withColumn("_blocks", blocks).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cut = paired.select("_k", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_row", "_root", "_size", "_odd")
+    second = meeting(cut.repartition("_k", "_i", "_j").sortWithinPartitions("_k", "_i", "_j"), similarity).distinct()
+    return first.unionByName(alike(sided(second).select("_x", "_y", "_a", "_b"), docs, similarity, shingle=shingle))
 
 
 @dataclass(frozen=True)
@@ -361,11 +456,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """doc_id, _fp, component_id: the smallest doc_id that links of at most radius bits (and, if a similarity is given, near_links) reach, its own included. One row per row of docs; texts without words have fingerprint 0 and link like any other; null ids take part, but name no component unless all are null."""
-    told = common.materialize(fingerprints(docs, shingle=shingle) if similarity is None else described(docs, shingle=shingle), "fingerprints")
+    told = common.materialize(fingerprints(docs, shingle=shingle) if similarity is None else described(docs, similarity, shingle=shingle), "fingerprints")
     nodes = common.materialize(told.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "nodes")
     edges = links(nodes.select("_fp"), radius=radius)
     if similarity is not None:
-        edges = edges.unionByName(near_links(docs, told, similarity, shingle=shingle))
+        edges = common.materialize(edges, "close")
+        edges = edges.unionByName(near_links(docs, told, edges, similarity, shingle=shingle))
     roots = components(edges)
     of = nodes.join(roots, nodes["_fp"] == roots["_node"], "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root"))
     least = of.groupBy("_root").agg(F.min("_least").alias("component_id"))

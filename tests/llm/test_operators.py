@@ -387,3 +387,33 @@ def test_similar_documents_are_grouped(spark):
     assert len(close) > 100 and sum(got[i + 1] == i for i in close) >= 0.97 * len(close)
     assert all(got[i] in (i, i - i % 2) for i in got)
     assert simhash.grouped_documents(awkward(spark), shingle=5, similarity=0.8).count() == 7
+
+
+def plain_groups(rows, similarity, shingle):
+    """The smallest id of each row's component, by all pairs."""
+    sets = {i: set(simhash.shingle_hashes(t, shingle).tolist()) for i, t in rows}
+    of = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            if i < j and of[i] != of[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((of[i], of[j]))
+                of = {k: a if v == b else v for k, v in of.items()}
+    return of
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_a_star_of_near_copies_is_one_group(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.near_links, "__kwdefaults__", {**simhash.near_links.__kwdefaults__, "block": block})
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    w, rows = [word() for _ in range(400)], []
+    for i in range(200):
+        v = list(w)
+        for at in r.sample(range(400), 8):
+            v[at] = word()
+        rows.append((i, " ".join(v)))
+    rows.append((900, " ".join(w)))
+    want = plain_groups(rows, 0.8, 5)
+    assert len(set(want.values())) < 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.grouped_documents(df, shingle=5, similarity=0.8).collect()} == want
