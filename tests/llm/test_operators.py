@@ -417,3 +417,19 @@ def test_a_star_of_near_copies_is_one_group(spark, monkeypatch, block):
     assert len(set(want.values())) < 5
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {x["doc_id"]: x["component_id"] for x in simhash.grouped_documents(df, shingle=5, similarity=0.8).collect()} == want
+
+
+def test_short_and_repetitive_near_copies_are_grouped(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    rows = []
+    for i in range(0, 300, 2):
+        w = [word() for _ in range(r.choice((15, 20, 30)))]
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w, word()]))]
+    for i in range(300, 360, 2):
+        w, again = [word() for _ in range(80)], " ".join(word() for _ in range(8))
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w) + f" {again}" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_groups(rows, 0.8, 5)
+    assert sum(want[i] != i for i in want) > 150
+    assert {x["doc_id"]: x["component_id"] for x in simhash.grouped_documents(df, shingle=5, similarity=0.8).collect()} == want
