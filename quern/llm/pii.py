@@ -7,7 +7,8 @@ documents however they are written. Every permutation is a bijection on its form
 check digits, which follow from the rest.
 
 Kinds: email, card (Luhn), iban (mod 97), ssn, phone, ipv4, mac, date, and credentials (access keys,
-tokens, passwords). Whatever looks like one and fails its rule stays as it is.
+tokens, passwords). Whatever looks like one and fails its rule stays as it is; of a card or an IBAN the
+readings that end at an earlier space are tried too, and what follows such a reading is searched again.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 BEFORE = r"(?<![A-Za-z0-9])"
 PATTERNS = {
     "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "credential": r"(?=[AaPpSsTt])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?\"?[A-Za-z0-9_+/-]{8,128}(?![A-Za-z0-9]))",
+    "credential": r"(?=[AaPpSsTt])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_key|apikey)\s?[=:]\s?\"?[A-Za-z0-9_+/-]{8,}+)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<!:)[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![A-Za-z0-9:])",
     "ipv4": rf"(?=\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
@@ -36,6 +37,8 @@ PATTERNS = {
     "phone": r"(?=[\d+(])(?<!\d\.)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))",
 }
 ANY = BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")"
+#: A text is searched so often at most: once, and again behind shorter readings.
+SEARCHES = 4
 #: A text without any of these has no match.
 SOME = "[0-9@=:]|A[KS]IA"
 
@@ -53,13 +56,12 @@ def feistel(s: Column, key: str, tweak: str) -> Column:
     """A permutation of strings: digits, lower and upper case letters move within their class (in a string of small hexadecimal digits, among those), other characters and the length stay. Each round shifts one half, character by character, by a hash of the other half."""
 
     def shifted(part: Column, stream: Column, lower: Column) -> Column:
-        def one(i: Column) -> Column:
-            c = F.substring(part, i, F.lit(1))
-            by = F.conv(F.substring(stream, 4 * ((i - 1) % 32) + 1, F.lit(4)), 16, 10).cast("int")
+        def one(c: Column, i: Column) -> Column:
+            by = F.conv(F.substring(stream, 4 * (i % 32) + 1, F.lit(4)), 16, 10).cast("int")
             move = lambda first, size: F.char(F.lit(first) + F.pmod(F.ascii(c) - first + by, size))
             return F.when(c.between("0", "9"), move(48, F.lit(10))).when(c.between("a", "z"), move(97, lower)).when(c.between("A", "Z"), move(65, F.lit(26))).otherwise(c)
 
-        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), one), ""))
+        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.split(part, ""), one), ""))
 
     def turn(state: Column, n: Column) -> Column:
         """The left half takes the right half's place, the right half shifted by the left one's hash."""
@@ -224,14 +226,29 @@ def kind(m: Column) -> Column:
     return out
 
 
+def read(m: Column, of: Column) -> Column:
+    """How many characters of a match of a kind are its value: of a card or an IBAN the longest reading that ends at a space or the match's end, has enough digits or characters and is valid; all, if none is."""
+
+    def longest(valid) -> Column:
+        ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda i: (i == F.length(m)) | (F.substring(m, i + 1, F.lit(1)) == " "))
+        return F.coalesce(F.get(F.filter(ends, lambda i: valid(F.substring(m, F.lit(1), i))), F.lit(0)), F.length(m))
+
+    cards = lambda x: let(_digits(x), lambda d: (F.length(d) >= 13) & (luhn(d) == 0))
+    ibans = lambda x: let(F.replace(x, F.lit(" "), F.lit("")), lambda f: (F.length(f) >= 12) & (mod97(F.concat(F.substring(f, F.lit(5), F.length(f)), F.substring(f, 1, 4))) == 1))
+    return F.when(of == "card", longest(cards)).when(of == "iban", longest(ibans)).otherwise(F.length(m))
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match; the match itself where it is not valid."""
+    """new, the pseudonym of a match (the match itself where it is not valid), n, whether they differ, and rest, the match's end that is not part of the value."""
 
     def by(of: Column) -> Column:
-        out = m
-        for name, make in KINDS.items():
-            out = F.when(of == name, make(m, key)).otherwise(out)
-        return out
+        def whole(value: Column) -> Column:
+            out = value
+            for name, make in KINDS.items():
+                out = F.when(of == name, make(value, key)).otherwise(out)
+            return let(out, lambda x: F.struct(x.alias("new"), (x != value).cast("int").alias("n"), F.substring(m, F.length(value) + 1, F.length(m)).alias("rest")))
+
+        return let(let(read(m, of), lambda n: F.substring(m, F.lit(1), n)), whole)
 
     return let(kind(m), by)
 
@@ -239,20 +256,27 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, *, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
     """The columns of docs, with _text and _n_replaced. Null texts stay null, empty texts empty; no row sees another, nothing is shuffled; columns with a name that is used here give way.
 
-    A text is cut at its matches by one pattern; the matches are replaced and set between the pieces again."""
+    A text is cut at its matches by one pattern; the matches are replaced and set between the pieces again. What a match leaves over is searched once more with the piece behind it: a match found there begins in what was left over."""
     docs = common.giving_way(docs, "_text", "_n_replaced", "_new")
     hit = F.coalesce(F.col(text).rlike(SOME) & F.col(text).rlike(ANY), F.lit(False))
-    cut = F.when(hit, F.struct(F.split(F.col(text), ANY, -1).alias("pieces"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("found")))
+    part = lambda t, n, again: F.struct(t.alias("text"), n.cast("int").alias("n"), again.alias("again"))
+
+    def searched(t: Column) -> Column:
+        """A text as parts: pieces, pseudonyms, and pieces to be searched again."""
+        cut = F.struct(F.split(t, ANY, -1).alias("pieces"), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key)).alias("found"))
+
+        def told(x: Column) -> Column:
+            behind = lambda y, i: F.array(part(y["new"], y["n"], F.lit(False)), part(F.concat(y["rest"], F.get(x["pieces"], i + 1)), F.lit(0), y["rest"] != ""))
+            return F.concat(F.array(part(F.get(x["pieces"], F.lit(0)), F.lit(0), F.lit(False))), F.flatten(F.transform(x["found"], behind)))
 
-    def replaced(x: Column) -> Column:
-        def told(new: Column) -> Column:
-            between = F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(new)), new, lambda a, b: F.concat(a, b))
-            changed = F.size(F.filter(F.zip_with(x["found"], new, lambda a, b: a != b), lambda y: y))
-            return F.struct(F.concat(F.array_join(between, ""), F.element_at(x["pieces"], -1)).alias("text"), changed.alias("n"))
+        return let(cut, told)
 
-        return let(F.transform(x["found"], lambda m: pseudonym(m, key)), told)
+    def turn(parts: Column, _: Column) -> Column:
+        return F.when(F.exists(parts, lambda p: p["again"]), F.flatten(F.transform(parts, lambda p: F.when(p["again"], searched(p["text"])).otherwise(F.array(p))))).otherwise(parts)
 
-    done = docs.withColumn("_new", F.when(hit, let(cut, replaced)))
+    start = F.array(part(F.col(text), F.lit(0), F.lit(True)))
+    joined = lambda parts: F.struct(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.aggregate(parts, F.lit(0), lambda n, p: n + p["n"]).alias("n"))
+    done = docs.withColumn("_new", F.when(hit, F.aggregate(F.sequence(F.lit(1), F.lit(SEARCHES)), start, turn, joined)))
     return done.select(*docs.columns, F.coalesce(F.col("_new.text"), F.col(text)).alias("_text"), F.coalesce(F.col("_new.n"), F.lit(0)).cast("long").alias("_n_replaced"))
 
 

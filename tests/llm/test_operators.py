@@ -433,3 +433,19 @@ def test_short_and_repetitive_near_copies_are_grouped(spark):
     want = plain_groups(rows, 0.8, 5)
     assert sum(want[i] != i for i in want) > 150
     assert {x["doc_id"]: x["component_id"] for x in simhash.grouped_documents(df, shingle=5, similarity=0.8).collect()} == want
+
+
+def test_shorter_readings_and_long_secrets_are_replaced(spark):
+    secret = "token=" + "aB3" * 100
+    card, be, de = "4111 1111 1111 1111", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    values = [f"{card} 12/27", f"{card} 123", f"{be} EUR", f"{be} PAID NOW", f"{card} 28.02.2023", f"{card} 192.168.10.1", f"{be} {de}", f"{card} 555 123-4567", secret, card, be, "192.168.10.1", "28.02.2023", de, "4111 1111 1111 1112 12"]
+    df = spark.createDataFrame([(i, f"see {v}, then.") for i, v in enumerate(values)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    got = {v: out[i]["_text"][4:-7] for i, v in enumerate(values)}
+    assert got[f"{card} 12/27"] == got[card] + " 12/27" and got[f"{card} 123"] == got[card] + " 123" and got[card] != card
+    assert got[f"{be} EUR"] == got[be] + " EUR" and got[f"{be} PAID NOW"] == got[be] + " PAID NOW" and got[be] != be
+    assert got[f"{card} 28.02.2023"] == got[card] + " " + got["28.02.2023"] and got[f"{card} 192.168.10.1"] == got[card] + " " + got["192.168.10.1"]
+    assert got[f"{be} {de}"] == got[be] + " " + got[de] and "555 123-4567" not in got[f"{card} 555 123-4567"]
+    assert len(got[secret]) == len(secret) and got[secret] != secret and got[secret].startswith("token=")
+    assert got["4111 1111 1111 1112 12"] == "4111 1111 1111 1112 12"
+    assert [out[i]["_n_replaced"] for i in range(9)] == [1, 1, 1, 1, 2, 2, 2, 2, 1]
