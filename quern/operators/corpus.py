@@ -167,11 +167,11 @@ def matrix(docs: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
     return docs.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def verified_against(left: DataFrame, right: DataFrame, terms: str, least: int = 2) -> DataFrame:
-    """Arg-max join: each left row (left_id, terms) with the right row (right_id, terms) that shares most terms, smallest id on ties, and a status. Joined on terms, so only rows that share one meet."""
-    a = left.select("left_id", F.explode(F.array_distinct(terms)).alias("_t"))
-    b = right.select("right_id", F.explode(F.array_distinct(terms)).alias("_t"))
-    n = a.join(b, "_t").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+def verified_against(left: DataFrame, right: DataFrame, terms: str, least: int = 2, salts: int = 8) -> DataFrame:
+    """Arg-max join: each left row (left_id, terms) with the right row (right_id, terms) that shares most terms, smallest id on ties, and a status. Joined on terms, so only rows that share one meet; a term's right rows are dealt over `salts` parts."""
+    a = left.select("left_id", F.explode(F.array_distinct(terms)).alias("_t")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = right.select("right_id", F.explode(F.array_distinct(terms)).alias("_t"), F.pmod(F.xxhash64("right_id"), F.lit(salts)).cast("int").alias("_s"))
+    n = a.join(b, ["_t", "_s"]).groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
     best = n.withColumn("_n", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("shared"), "right_id"))).filter("_n = 1").drop("_n")
     status = F.when(F.size(terms) < least, "low_signal").when(F.col("shared").isNull(), "unverified").when(F.col("shared") >= least, "station_matched").otherwise("conflict")
     return left.join(best, "left_id", "left").select("left_id", "right_id", F.coalesce("shared", F.lit(0)).alias("shared"), status.alias("status"))

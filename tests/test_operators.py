@@ -165,3 +165,26 @@ def test_urls(spark):
 def test_denoised_lines(spark):
     x = one(spark, "Hello  world\nhello world\n----\nAb\nGood line here", X.denoised)
     assert (x["text"], x["n_lines"], x["n_repeated"], x["n_noise"]) == ("Hello world\nGood line here", 5, 1, 2)
+
+
+def test_verification_join_counts_all_terms(spark, tmp_path):
+    import re
+
+    from quern.plans import catalogue
+
+    passages = [(0, "the cat sat on the mat"), (1, "\u65b0\u95fb\u62a5\u9053 today"), (2, "ox"), (3, "responsibility alone here"), (4, "zebra quartz")]
+    docs = [(10, "a cat sat there"), (11, "the responsibility"), (12, "\u65b0\u95fb\u62a5"), (13, "alone and here"), (14, None)]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def terms(t):
+        run = re.sub(r"[^\u4e00-\u9fff]", "", t or "")
+        return set(re.findall(r"[a-z0-9]{3,}", (t or "").lower())) | {run[i : i + n] for n in range(2, 7) for i in range(len(run) - n + 1)}
+
+    want = set()
+    for i, t in passages:
+        n, j = max(((len(terms(t) & terms(u)), -j) for j, u in docs), default=(0, 0))
+        status = "low_signal" if len(terms(t)) < 2 else "unverified" if not n else "station_matched" if n >= 2 else "conflict"
+        want.add((i, -j if n else None, n, status))
+    got = catalogue.queries()["verification_join"](spark, str(tmp_path)).select("left_id", "right_id", "shared", "status").collect()
+    assert set(map(tuple, got)) == want
