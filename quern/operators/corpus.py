@@ -112,9 +112,11 @@ def neighbour_pairs(docs: DataFrame, block: Sequence[str], order: Sequence[str],
     return left.join(placed.select(*block, "_n", F.col(key).alias("b"), F.col(value).alias("b_value")), [*block, "_n"]).select("a", "b", "a_value", "b_value")
 
 
-def near_duplicates(docs: DataFrame, block: Sequence[str], order: Sequence[str], value: str, threshold: float, window: int = 4) -> DataFrame:
-    """Neighbours whose ratio reaches the threshold; lengths are compared first."""
-    pairs = neighbour_pairs(docs, block, order, value, window=window).filter(similarity_gate(F.col("a_value"), F.col("b_value"), threshold))
+def near_duplicates(docs: DataFrame, block: Sequence[str], order: Sequence[str], value: str, threshold: float, window: int = 4, exact: str | None = None) -> DataFrame:
+    """Neighbours whose ratio reaches the threshold; lengths are compared first. Those with the same value of `exact` are left out."""
+    both = docs.withColumn("_value", F.struct(F.col(value).alias("v"), (F.col(exact) if exact else F.lit(None).cast("string")).alias("x")))
+    pairs = neighbour_pairs(both, block, order, "_value", window=window).filter(~F.coalesce(F.col("a_value.x") == F.col("b_value.x"), F.lit(False)))
+    pairs = pairs.select("a", "b", F.col("a_value.v").alias("a_value"), F.col("b_value.v").alias("b_value")).filter(similarity_gate(F.col("a_value"), F.col("b_value"), threshold))
     return pairs.withColumn("ratio", F.round(matching_ratio(F.col("a_value"), F.col("b_value"), threshold), 6)).filter(F.col("ratio") >= threshold).select("a", "b", "ratio")
 
 

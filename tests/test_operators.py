@@ -188,3 +188,22 @@ def test_verification_join_counts_all_terms(spark, tmp_path):
         want.add((i, -j if n else None, n, status))
     got = catalogue.queries()["verification_join"](spark, str(tmp_path)).select("left_id", "right_id", "shared", "status").collect()
     assert set(map(tuple, got)) == want
+
+
+def test_near_duplicates_in_two_passes(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quern.plans import catalogue
+
+    body = "the council met in the old hall and spoke of roads, schools and the new bridge over the river " * 8
+    day = 4000  # ids so far apart have the same day
+    texts = ["Alpha news\n" + body, "Zulu wire\n" + body, "Alpha news\n" + body[:400] + "x" * 500, "Alpha news\n" + "quite another story " * 30, "Alpha news\n" + body, "Mike\nnothing like it"]
+    rows = [(i * day, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1, texts[0] + "!", "en", "s", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    ratio = lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio()
+    want, block = set(), [r for r in rows if r[0] % day == 0]
+    for value, order, least in ((lambda t: t.split("\n")[0],) * 2 + (0.9,), (lambda t: t[:1000], lambda t: t[:200], 0.95)):
+        placed = sorted(block, key=lambda r: (order(r[1]), r[0]))
+        want |= {tuple(sorted((x[0], y[0]))) for i, x in enumerate(placed) for y in placed[i + 1 : i + 5] if x[1] != y[1] and ratio(value(x[1]), value(y[1])) >= least}
+    got = [(r["a"], r["b"]) for r in catalogue.queries()["near_dup_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (0, day) in want and (0, 3 * day) in want
