@@ -201,13 +201,17 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(text[0], 1)
     out = np.zeros((n, N_FEATURES))
     inherited = [0] * n
+    places = [0] * n
+    for x in nodes:
+        for k, child in enumerate(x.children):
+            places[child] = k
     log = math.log1p
     for i, x in enumerate(nodes):
         p = max(x.parent, 0)
         above = inherited[p]
         inherited[i] = above | x.groups | (1 << 20 if x.tag in ("article", "main") else 0)
         siblings = nodes[p].children if i else [0]
-        k = siblings.index(i) if len(siblings) < 64 else 32
+        k = places[i]
         row = out[i]
         row[:22] = (
             log(text[i]), linked[i] / max(text[i], 1), log(text[i] / inside[i]), x.depth, log(paras[i]), marks[i] / max(text[i], 1), x.start / total, text[i] / total, len(siblings), k / max(len(siblings) - 1, 1), log(links[i]),

@@ -449,3 +449,10 @@ def test_shorter_readings_and_long_secrets_are_replaced(spark):
     assert len(got[secret]) == len(secret) and got[secret] != secret and got[secret].startswith("token=")
     assert got["4111 1111 1111 1112 12"] == "4111 1111 1111 1112 12"
     assert [out[i]["_n_replaced"] for i in range(9)] == [1, 1, 1, 1, 2, 2, 2, 2, 1]
+
+
+def test_places_among_many_siblings():
+    for n in (5, 63, 64, 1000):
+        nodes, _ = html_extract.parse("<html><body><ul>" + "".join(f"<li>item {i}</li>" for i in range(n)) + "</ul></body></html>")
+        items = [i for i, x in enumerate(nodes) if x.tag == "li"]
+        assert np.allclose(html_extract.features(nodes)[items, 9], np.arange(n) / (n - 1))
