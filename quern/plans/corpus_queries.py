@@ -128,7 +128,7 @@ def neighbour_pairs(spark, d):
 @query("near_dup_pairs")
 def near_dup_pairs(spark, d):
     """Two passes over each source's days: titles in their order at 0.90, and heads of 1,000 characters in the order of their first 200 at 0.95. A pair of both has the larger ratio; equal contents are exact duplicates and left out."""
-    n = news(spark, d).withColumns({"day": F.floor(F.col("publish_ts") / 86400), "head": F.substring("content", 1, 1000), "first": F.substring("content", 1, 200), "hash": F.sha1("content")})
+    n = news(spark, d).withColumns({"day": F.floor(F.col("publish_ts") / 86400), "flat": X.collapse(F.col("content"))}).withColumns({"head": F.substring("flat", 1, 1000), "first": F.substring("flat", 1, 200), "hash": F.sha1("flat")})
     titles = C.near_duplicates(n, ["source", "day"], ["title"], "title", 0.90, exact="hash")
     heads = C.near_duplicates(n, ["source", "day"], ["first"], "head", 0.95, exact="hash")
     return titles.unionByName(heads).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("ratio").alias("ratio"))

@@ -202,7 +202,7 @@ def test_near_duplicates_in_two_passes(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     ratio = lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio()
     want, block = set(), [r for r in rows if r[0] % day == 0]
-    for value, order, least in ((lambda t: t.split("\n")[0],) * 2 + (0.9,), (lambda t: t[:1000], lambda t: t[:200], 0.95)):
+    for value, order, least in ((lambda t: t.split("\n")[0],) * 2 + (0.9,), (lambda t: " ".join(t.split())[:1000], lambda t: " ".join(t.split())[:200], 0.95)):
         placed = sorted(block, key=lambda r: (order(r[1]), r[0]))
         want |= {tuple(sorted((x[0], y[0]))) for i, x in enumerate(placed) for y in placed[i + 1 : i + 5] if x[1] != y[1] and ratio(value(x[1]), value(y[1])) >= least}
     got = [(r["a"], r["b"]) for r in catalogue.queries()["near_dup_pairs"](spark, str(tmp_path)).collect()]
