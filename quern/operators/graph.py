@@ -1,62 +1,44 @@
-"""Connected components by minimum labels with pointer jumping; every round is a written table."""
+"""Connected components by stars that are drawn together; every round is a written table."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended
+from .. import runtime
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (its smallest node) of every node with an edge; edges with a null end are left out, a node that is linked to itself alone is its own component.
+
+    Large stars and small stars in turn: each node links its larger neighbours, and then its smaller ones and itself, to the smallest of its neighbourhood, until nothing changes. Neither a node of many edges nor a long chain is slow: links of a node are folded before the shuffle, and the rounds grow as the logarithm of the largest component."""
+    known = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    given = runtime.written(known.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    now, seen = given.filter("a <> b"), None
+    while True:
+        every = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = every.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        far = every.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        far = runtime.written(far.filter("a <> b").distinct(), "edges")
+        down = far.groupBy("a").agg(F.min("b").alias("m"))
+        near = far.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = runtime.written(near.filter("a <> b").distinct(), "edges")
+        told = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if told == seen:
             break
-
-
-atexit.register(_clean)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 64) -> DataFrame:
-    """node, component (its smallest node) of every node with an edge."""
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        now = written(stepped.join(jump, stepped["next"] == jump["_n"], "left").select("node", "label", F.least("next", F.coalesce("_l", "next")).alias("next")))
-        if now.filter("label <> next").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        labels = now.select("node", F.col("next").alias("label"))
-    raise RuntimeError(f"no fixed point after {most} rounds")
+        seen = told
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    alone = given.filter("a = b").select(F.col("a").alias("node")).join(stars.select("node").unionByName(roots.select("node")), "node", "left_anti").distinct()
+    return stars.unionByName(roots).unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def groups_by_token(rows: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Rows that share a token, directly or by others, are one group, named by its smallest token; a row without tokens is its own. The bipartite graph is joined through each token's smallest row, so a token of many rows gives as many edges, not pairs."""
+    """Rows that share a token, directly or by others, are one group, named by its smallest token; a row without tokens is its own. The bipartite graph is joined through each token, so a token of many rows gives as many edges, not pairs."""
     long = rows.select(F.col(key).cast("string").alias("row"), F.explode_outer(tokens).alias("token"))
     long = long.select("row", F.coalesce(F.concat(F.lit("t:"), "token"), F.concat(F.lit("r:"), "row")).alias("token"))
     edges = long.select(F.concat(F.lit("row:"), "row").alias("a"), F.col("token").alias("b"))
     found = components(edges)
-    return found.filter(F.col("node").startswith("row:")).select(F.substring("node", 5, 1 << 20).alias(key), F.col("component").alias("_c")).join(found.filter(~F.col("node").startswith("row:")).groupBy(F.col("component").alias("_c")).agg(F.min("node").alias("group_key")), "_c").select(key, "group_key")
+    ours = F.col("node").startswith("row:")
+    named = found.filter(~ours).groupBy(F.col("component").alias("_c")).agg(F.min("node").alias("group_key"))
+    return found.filter(ours).select(F.substring("node", 5, 1 << 20).alias(key), F.col("component").alias("_c")).join(named, "_c").select(key, "group_key")

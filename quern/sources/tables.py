@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..runtime import prepare
+
 #: The engine takes times as parameters; the catalogue's queries use these.
 NOW, AS_OF = 1704067200, "2024-01-31"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
