@@ -2,71 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..runtime import new_path, prepare, shared_dir  # noqa: F401
+from ..runtime import written as materialize  # noqa: F401
+
 #: ASCII white space: x20 and x09-x0D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package; keep Arrow batches small, as texts can be long."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        _written.append((spark, found))
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: it cuts lineage, survives lost executors, and nothing above it is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the cluster's cleaner owns the folder then
-            break
-
-
-atexit.register(_clean)
 
 
 def giving_way(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that an operator adds or uses itself: on a clash of names the input's column gives way."""
+    """df without columns that an operator adds or uses itself: on a clash of names the input's column gives way. Python workers of df's session can import the package from then on."""
+    prepare(df.sparkSession)
     return df.drop(*(n for n in names if n in df.columns))
 
 
