@@ -125,7 +125,7 @@ def kept_lines(text: str, packed: bytes) -> tuple[str, int]:
 
 def bitmaps(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """_doc, _row, _bitmap of every document that loses a line."""
-    found = places(docs, least_chars=least_chars)
+    found = common.materialize(places(docs, least_chars=least_chars), "places")  # range partitioning reads its input twice
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = found.repartitionByRange(n, "_h1", "_h2", "_doc").sortWithinPartitions("_h1", "_h2", F.desc("_doc"), "_row", "_pos")
     told = common.materialize(streamed(ordered, least_docs), "lines")
