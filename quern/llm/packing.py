@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,6 @@ from . import bpe, common
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length are ranked in so many hashed buckets at least, and in one for so many pieces at least.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
-#: Bytes of a word up to which its pairs are scanned.
-SCANNED = 40
-NONE = 1 << 30
 
 
 class CapacityTree:
@@ -95,49 +93,41 @@ def layout(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray
 
 
 class Tokens:
-    """The ids that the tokenizers library gives. Words are mostly short: there a scan for the lowest rank beats a queue, which long words keep."""
+    """The ids of the tokenizers library: texts are split into words as bpe has it, and the library's model gives the ids of each word, which are remembered."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path).model
         self.own = bpe.WordBPE(path)
         self.own.make = self.word
-        self.rank = {pair: rank for pair, (rank, _) in self.own.ranks.items()}
-        self.made = [made for _, made in sorted(self.own.ranks.values())]
+        self.symbols = dict(enumerate(bpe.byte_symbols()))
 
     def word(self, word: str) -> bytes:
-        own, data = self.own, word.encode("utf-8", "surrogatepass")
-        if len(data) > SCANNED:
-            return own.word(word)
-        ids = [own.inner[x] for x in data]
-        ids[-1] = own.final[data[-1]]
-        rank, made = self.rank.get, self.made
-        ranks = [rank(p, NONE) for p in zip(ids, ids[1:])]
-        while ranks and (low := min(ranks)) < NONE:
-            i = ranks.index(low)
-            ids[i] = new = made[low]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((new, ids[i + 1]), NONE)
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], new), NONE)
+        ids = [t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         return self.own.encode(text)
 
 
-_tokens: dict[str, Tokens] = {}
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    """One for each Python worker."""
+    return Tokens(path)
 
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids and its end id. Null texts count as empty: one piece that holds the end id alone."""
+    common.prepare(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
+        encode = tokens(path).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(t or "") + end
+                ids = encode(t or "") + end
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
                     for to, x in zip(out, (doc, k, lo // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -177,7 +167,7 @@ def place(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Documents longer than capacity alone are cut."""
+    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Documents longer than capacity alone are cut. Null and empty texts are one piece with the end id alone; rows that repeat are packed as often as they come; which of equally long pieces takes which place is settled by their ids; an empty table gives none; other columns don't matter."""
     return place(common.materialize(pieces(docs, path, capacity=capacity), "pieces"), capacity=capacity)
 
 
