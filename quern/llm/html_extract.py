@@ -18,10 +18,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, html_pages, trees
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A comment, a declaration or a tag, from its first character on: STRICT reads quoted attribute values whole, LOOSE ends a tag at the next >.
+OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+STRICT = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+LOOSE = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Where one of them can begin.
+OPENS = re.compile(r"<[!?/a-zA-Z]")
+#: Zeros before a numeric character reference's digits, and references to numbers beyond the last character.
+ZEROS, BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,18 +80,43 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def decoded(text: str) -> str:
+    """With its character references decoded, numbers of any length included."""
+    return html.unescape(BEYOND.sub("\ufffd", ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
+class Open:
+    """The open elements, and for each tag where it is open: the innermost of some tags is found without a walk."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, int]] = [("html", 0)]  # tag and block; inline elements keep their block's number
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.items))
+        self.items.append((tag, node))
+
+    def pop(self) -> tuple[str, int]:
+        self.at[self.items[-1][0]].pop()
+        return self.items.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these tags; -1 if none is open."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order (parents first) and text blocks (node, text), white space made single, character references decoded."""
+    """Block elements in page order (parents first) and text blocks (node, text), white space made single, character references decoded. The time grows with the page's length alone, whatever is broken in it: a < that no > follows is text, and from the first tag with an unclosed quote on, tags end at the next >."""
     nodes = [Node("html", -1, 0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones keep their block's number
+    stack = Open()
     blocks: list[tuple[int, str]] = []
     held: list[tuple[str, bool]] = []
-    hidden = anchors = at = seen = 0
+    hidden = anchors = seen = 0
 
     def flush(node: int) -> None:
         nonlocal seen
         if held:
-            text = " ".join(html.unescape("".join(t for t, _ in held)).split())
+            text = " ".join(decoded("".join(t for t, _ in held)).split())
             if text:
                 n = nodes[node]
                 whole = sum(len(t) for t, _ in held) or 1
@@ -96,8 +130,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def pop(upto: int) -> None:
         nonlocal hidden, anchors
-        while len(stack) > upto:
-            tag, node = stack[-1]
+        while len(stack.items) > upto:
+            tag, node = stack.items[-1]
             if tag not in INLINE:
                 flush(node)
             hidden -= tag in HIDDEN
@@ -105,23 +139,30 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.pop()
 
     def close(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return pop(i)
-            if stack[i][0] in scope:
-                return None
-        return None
+        at = stack.last(tags)
+        if at > 0 and at > stack.last(scope):
+            pop(at)
 
     position, size = 0, len(source)
+    end_of_tags = source.rfind(">")
+    pattern = STRICT
     while position < size:
-        m = TAG.search(source, position)
+        m, begin = None, position
+        while first := OPENS.search(source, begin):
+            m = pattern.match(source, first.start())
+            if m is None and pattern is STRICT and source[first.start() + 1] not in "!?":
+                if LOOSE.match(source, first.start()):
+                    pattern, m = LOOSE, LOOSE.match(source, first.start())
+            if m is not None or first.start() > end_of_tags:
+                break
+            begin = first.start() + 1
         text = source[position : m.start() if m else size]
         if text and not hidden:
             held.append((text, anchors > 0))
         if not m:
             break
         position = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        end, tag, attrs = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -130,7 +171,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if end:
             if tag == "br":
                 held.append((" ", False))
-            elif any(t == tag for t, _ in stack[1:]):
+            else:
                 close((tag,), () if tag not in INLINE else ("td", "th", "table", "li", "div", "section", "article"))
             continue
         if tag == "br":
@@ -140,27 +181,27 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             close(("p",), SCOPE["p"])
         if tag in CLOSES:
             close(CLOSES[tag], SCOPE[tag])
-        if tag == "body" and any(t == "head" for t, _ in stack):
+        if tag == "body":
             close(("head",), ())
-        node = stack[-1][1]
+        node = stack.items[-1][1]
         if tag in INLINE:
             if tag in VOID or attrs.rstrip().endswith("/") and tag not in ("a",):
                 continue
             anchors += tag == "a"
             if tag == "a":
                 nodes[node].links += 1
-            stack.append((tag, node))
+            stack.push(tag, node)
             continue
         flush(node)
         if tag in VOID:
             continue
         if tag in RAW or tag in HIDDEN:
             if tag in RAW:
-                found = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, position)
+                found = _raw_end(tag).search(source, position)
                 position = found.end() if found else size
                 continue
             hidden += 1
-            stack.append((tag, node))
+            stack.push(tag, node)
             continue
         groups, label = 0, -1
         for name, value in ATTR.findall(attrs):
@@ -169,13 +210,12 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 for token in TOKEN.findall(value.lower()):
                     if (g := _GROUP_OF.get(token)) is not None:
                         groups |= 1 << g
-            elif name == "data-q" and value.strip("'\"") in "012":
-                label = int(value.strip("'\""))
+            elif name == "data-q" and (value := value.strip("'\"")) in ("0", "1", "2"):
+                label = int(value)
         n = Node(tag, node, nodes[node].depth + 1, groups, label, start=seen)
         nodes[node].children.append(len(nodes))
-        stack.append((tag, len(nodes)))
+        stack.push(tag, len(nodes))
         nodes.append(n)
-        at += 1
     pop(1)
     flush(0)
     for n in nodes:
@@ -184,6 +224,11 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
+@lru_cache(maxsize=16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I)
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """Of each node: subtree text, density and links, depth, place, siblings, parent, tag, attribute tokens (own and inherited)."""
     n = len(nodes)
@@ -285,9 +330,7 @@ def main_texts(pages: list[str | None], forests: tuple[trees.Forest, trees.Fores
 
 
 def extract(pages: DataFrame, *, html_column: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all but the html, if none are named), _text and _n_chars of every page. No row sees another; nothing is shuffled."""
-    from pyspark.sql import types as T
-
+    """The kept columns (all but the html, if none are named), _text and _n_chars: one row per row of pages. Null and empty pages have an empty text; rows that repeat stay and get the same text; an empty table gives none; input columns named like a result give way. No row sees another; nothing is shuffled."""
     pages = common.giving_way(pages, "_text", "_n_chars", "_html_")
     keep = [c for c in pages.columns if c != html_column] if keep is None else keep
     forests = trained()
@@ -300,12 +343,8 @@ def extract(pages: DataFrame, *, html_column: str = "html", keep: list[str] | No
                 texts = main_texts(part.column(part.num_columns - 1).to_pylist(), forests)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    from pyspark.sql import functions as F
-
     return pages.select(*keep, F.col(html_column).alias("_html_")).mapInArrow(each, schema)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return extract(common.table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"))
