@@ -1,25 +1,34 @@
 """Format-preserving pseudonyms: a keyed Feistel network over column expressions alone.
 
 What a pattern finds and its rule validates is permuted within its own format: digits stay digits,
-letters stay letters, check digits are right, dates and addresses exist. A value's pseudonym depends
-on the key and on its canonical form (without separators), so equal values stay linked across
-documents however they are written. Every permutation is a bijection on its format, but for the
-check digits, which follow from the rest.
-
-Kinds: email, card (Luhn), iban (mod 97), ssn, phone, ipv4, mac, date, and credentials (access keys,
-tokens, passwords). Whatever looks like one and fails its rule stays as it is; of a card or an IBAN the
-readings that end at an earlier space are tried too, and what follows such a reading is searched again.
+capitals and small letters stay such, check digits are right, dates and addresses exist. A value's
+pseudonym depends on the key and on its canonical form (without separators), so equal values stay
+linked across documents however they are written. Every permutation is a bijection on its format, but
+for the check digits, which follow from the rest.
+
+Kinds: email, card (an issuer's leading digits and Luhn), iban (mod 97), ssn, phone, ipv4, mac, date, and
+credentials (access keys, tokens, passwords). Whatever looks like one and fails its rule stays as it is;
+of a card or an IBAN the readings that end at an earlier space are tried too, and what follows such a
+reading is searched again.
+
+The key is a secret of the caller: a parameter, or KEY_CONF of the session. Where neither is set, a
+session draws a key of its own, so that nothing outside it can undo or link its pseudonyms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 8
-DEFAULT_KEY = "quern-pseudonyms-1"
+#: Where a session holds the key; Spark's default redaction hides the value of a setting with such a name.
+KEY_CONF = "spark.quern.pseudonyms.secret"
+#: What payment card numbers of 13 to 19 digits start with, by issuer.
+ISSUERS = "4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|309|3[689]|352[89]|35[3-8]|50|5[6-9]|6"
 #: Dates from 1800-01-01 to DATE_HALF ** 2 days later are permuted among themselves.
 FIRST_DAY, DATE_HALF = "1800-01-01", 340
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -37,7 +46,8 @@ PATTERNS = {
     "phone": r"(?=[\d+(])(?<!\d\.)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))",
 }
 ANY = BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")"
-#: A text is searched so often at most: once, and again behind shorter readings.
+#: A text is searched once, and again behind shorter readings. A match found there begins in what the last one left over,
+#: which is under 32 characters; a value has 12 at least. So three more rounds are as many as any text can need.
 SEARCHES = 4
 #: A text without any of these has no match.
 SOME = "[0-9@=:]|A[KS]IA"
@@ -48,30 +58,37 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; one is drawn where none is set."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        spark.conf.set(KEY_CONF, key := secrets.token_hex(32))
+    return key
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, r"\D", "")
 
 
 def feistel(s: Column, key: str, tweak: str) -> Column:
-    """A permutation of strings: digits, lower and upper case letters move within their class (in a string of small hexadecimal digits, among those), other characters and the length stay. Each round shifts one half, character by character, by a hash of the other half."""
+    """A permutation of the strings of one shape: every digit, small letter and capital moves within its class, other characters and the length stay. Each round shifts one half, character by character, by a hash of the other half."""
 
-    def shifted(part: Column, stream: Column, lower: Column) -> Column:
+    def shifted(part: Column, stream: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             by = F.conv(F.substring(stream, 4 * (i % 32) + 1, F.lit(4)), 16, 10).cast("int")
-            move = lambda first, size: F.char(F.lit(first) + F.pmod(F.ascii(c) - first + by, size))
-            return F.when(c.between("0", "9"), move(48, F.lit(10))).when(c.between("a", "z"), move(97, lower)).when(c.between("A", "Z"), move(65, F.lit(26))).otherwise(c)
+            move = lambda first, size: F.char(F.lit(first) + F.pmod(F.ascii(c) - first + by, F.lit(size)))
+            return F.when(c.between("0", "9"), move(48, 10)).when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).otherwise(c)
 
         return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.split(part, ""), one), ""))
 
     def turn(state: Column, n: Column) -> Column:
         """The left half takes the right half's place, the right half shifted by the left one's hash."""
         stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), n.cast("string"), state["b"]), 512)
-        return F.struct(state["b"].alias("a"), let(stream, lambda x: shifted(state["a"], x, state["lower"])).alias("b"), state["lower"].alias("lower"))
+        return F.struct(state["b"].alias("a"), let(stream, lambda x: shifted(state["a"], x)).alias("b"))
 
     def whole(s: Column) -> Column:
         half = F.floor((F.length(s) + 1) / 2).cast("int")
-        lower = F.when(s.rlike("^[0-9a-f]+$"), 6).otherwise(26)
-        start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"), lower.alias("lower"))
+        start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda x: F.concat(x["a"], x["b"]))
 
     return let(s, whole)
@@ -118,11 +135,19 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), add)
 
 
+def is_card(d: Column) -> Column:
+    """13 to 19 digits that an issuer's numbers start with, and a Luhn sum of 0."""
+    return F.length(d).between(13, 19) & d.rlike(f"^(?:{ISSUERS})") & (luhn(d) == 0)
+
+
 def card(m: Column, key: str) -> Column:
+    """The digits that tell the issuer stay: the first one of a number that starts with 4, else the first four. The others but the check digit are permuted."""
+
     def of(d: Column) -> Column:
-        body = F.concat(F.substring(d, 1, 1), feistel(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+        kept = F.when(d.startswith("4"), 1).otherwise(4)
+        body = F.concat(F.substring(d, F.lit(1), kept), feistel(F.substring(d, kept + 1, F.length(d) - kept - 1), key, "card"))
         whole = let(body, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
-        return F.when(luhn(d) == 0, let(whole, lambda x: refill(m, x, "0-9"))).otherwise(m)
+        return F.when(is_card(d), let(whole, lambda x: refill(m, x, "0-9"))).otherwise(m)
 
     return let(_digits(m), of)
 
@@ -209,10 +234,17 @@ def credential(m: Column, key: str) -> Column:
 
 
 def mac(m: Column, key: str) -> Column:
+    """The 48 bits are permuted. Written in capitals alone, capitals stay; where both cases stand, each letter takes the case of the character in its place."""
     half = lambda at: F.conv(F.substring(F.replace(m, F.lit(":"), F.lit("")), at, 6), 16, 10).cast("long")
     pair = numbers(half(1), half(7), 1 << 24, key, "mac")
     flat = let(pair, lambda x: F.lower(F.concat(F.lpad(F.hex(x["a"]), 6, "0"), F.lpad(F.hex(x["b"]), 6, "0"))))
-    return let(flat, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(x, 2 * i + 1, F.lit(2))), ":"))
+    small = let(flat, lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(x, 2 * i + 1, F.lit(2))), ":"))
+
+    def cased(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: F.when(F.substring(m, i, F.lit(1)).between("A", "F"), F.upper(F.substring(x, i, F.lit(1)))).otherwise(F.substring(x, i, F.lit(1))))
+        return F.when(~m.rlike("[A-F]"), x).when(~m.rlike("[a-f]"), F.upper(x)).otherwise(F.array_join(each, ""))
+
+    return let(small, cased)
 
 
 KINDS = {"email": email, "credential": credential, "iban": iban, "mac": mac, "ipv4": ipv4, "date": date, "ssn": ssn, "card": card, "phone": phone}
@@ -233,7 +265,7 @@ def read(m: Column, of: Column) -> Column:
         ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda i: (i == F.length(m)) | (F.substring(m, i + 1, F.lit(1)) == " "))
         return F.coalesce(F.get(F.filter(ends, lambda i: valid(F.substring(m, F.lit(1), i))), F.lit(0)), F.length(m))
 
-    cards = lambda x: let(_digits(x), lambda d: (F.length(d) >= 13) & (luhn(d) == 0))
+    cards = lambda x: let(_digits(x), is_card)
     ibans = lambda x: let(F.replace(x, F.lit(" "), F.lit("")), lambda f: (F.length(f) >= 12) & (mod97(F.concat(F.substring(f, F.lit(5), F.length(f)), F.substring(f, 1, 4))) == 1))
     return F.when(of == "card", longest(cards)).when(of == "iban", longest(ibans)).otherwise(F.length(m))
 
@@ -253,11 +285,12 @@ def pseudonym(m: Column, key: str) -> Column:
     return let(kind(m), by)
 
 
-def pseudonymize(docs: DataFrame, *, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """The columns of docs, with _text and _n_replaced. Null texts stay null, empty texts empty; no row sees another, nothing is shuffled; columns with a name that is used here give way.
+def pseudonymize(docs: DataFrame, *, key: str | None = None, text: str = "text") -> DataFrame:
+    """The columns of docs, with _text and _n_replaced: one row per row of docs. key: the session's, if none is given. Null texts stay null, empty texts empty; rows that repeat stay and get the same text; an empty table gives none; no row sees another, nothing is shuffled; columns with a name that is used here give way.
 
     A text is cut at its matches by one pattern; the matches are replaced and set between the pieces again. What a match leaves over is searched once more with the piece behind it: a match found there begins in what was left over."""
     docs = common.giving_way(docs, "_text", "_n_replaced", "_new")
+    key = key or session_key(docs.sparkSession)
     hit = F.coalesce(F.col(text).rlike(SOME) & F.col(text).rlike(ANY), F.lit(False))
     part = lambda t, n, again: F.struct(t.alias("text"), n.cast("int").alias("n"), again.alias("again"))
 
