@@ -22,8 +22,12 @@ from . import chi2, common
 
 #: Projections; chance of a nearer point at which the search ends; neighbours.
 PROJECTIONS, MISS, K = 8, 0.01, 20
-#: Rows of a cell, of a cell's piece, of a leaf; queries searched in a piece at once. The cells are fitted on so many rows at most.
-CELL_ROWS, PIECE_ROWS, LEAF_ROWS, QUERY_ROWS, FIT_ROWS = 16_384, 32_768, 128, 4096, 20_000
+#: Rows of a cell, of a cell's piece, of a leaf; queries searched in a piece at once.
+CELL_ROWS, PIECE_ROWS, LEAF_ROWS, QUERY_ROWS = 16_384, 32_768, 128, 4096
+#: Cells at most (larger tables have larger cells, in more pieces), and rows of the sample on which they are fitted: at least so many, and so many for each cell. The sample's projections are all that comes to the driver: 21 MB at most.
+CELLS, FIT_ROWS, CELL_FIT_ROWS = 16_384, 20_000, 20
+#: Distances to cells that are held at once.
+HELD = 1 << 22
 EVERY = 20
 SEED = 11
 
@@ -72,20 +76,30 @@ class Space:
                 node = 2 * node + 1 + (projected[np.arange(len(node)), side[node]] > at[node])
         return node - (2**self.depth - 1)
 
-    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.full((1, self.m), -np.inf), np.full((1, self.m), np.inf)
-        first = 0
-        for _ in range(self.depth):
-            lows, highs = [], []
-            for i in range(len(low)):
-                side, at = self.cuts[first + i]
-                h, l = high[i].copy(), low[i].copy()  # noqa: E741
-                h[side] = l[side] = at
-                lows += [low[i], l]
-                highs += [h, high[i]]
-            first += len(low)
-            low, high = np.array(lows), np.array(highs)
-        return low, high
+    def near(self, projected: np.ndarray, reach: np.ndarray) -> list[list[int]]:
+        """For each point the cells within a squared distance, found by a descent of the tree that leaves out what is too far; few points at a time, so that what is held is bounded."""
+        out: list[list[int]] = []
+        side, at = (np.array(x) for x in zip(*self.cuts, strict=True)) if self.cuts else (np.zeros(0, dtype=int), np.zeros(0))
+        step = max(1, HELD // (2**self.depth * (self.m + 2)))
+        for lo in range(0, len(projected), step):
+            p, r = projected[lo : lo + step], reach[lo : lo + step]
+            who, node = np.arange(len(p)), np.zeros(len(p), dtype=np.int64)
+            gaps = np.zeros((len(p), self.m))  # to the node's box, by coordinate
+            for _ in range(self.depth):
+                d = p[who, side[node]] - at[node]
+                beyond = np.abs(d)
+                left, right = gaps.copy(), gaps.copy()
+                rows = np.arange(len(who))
+                left[rows, side[node]] = np.where(d > 0, np.maximum(beyond, gaps[rows, side[node]]), gaps[rows, side[node]])
+                right[rows, side[node]] = np.where(d > 0, gaps[rows, side[node]], np.maximum(beyond, gaps[rows, side[node]]))
+                who, node, gaps = np.concatenate([who, who]), np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([left, right])
+                keep = np.einsum("ij,ij->i", gaps, gaps) <= r[who]
+                who, node, gaps = who[keep], node[keep], gaps[keep]
+            cell = node - (2**self.depth - 1)
+            order = np.lexsort((cell, who))
+            found = np.split(cell[order], np.searchsorted(who[order], np.arange(1, len(p))))
+            out += [x.tolist() for x in found]
+        return out
 
 
 def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -167,44 +181,55 @@ def search(space: Space, ids: np.ndarray, vectors: np.ndarray, query_ids: np.nda
 
 
 def neighbours(vectors: DataFrame, *, every: int = EVERY, k: int = K, miss: float = MISS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest of all other rows by inner product. Rows whose vector is null, zero or not finite, or whose vec_id is null, take no part; of rows that repeat a vec_id one stays; a table of one row gives none. All vectors must have the dimension of most."""
-    spark = vectors.sparkSession
+    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest of all other rows by inner product, nearest first, ties to the smaller vec_id; all of them, if there are fewer. Rows whose vector is null, zero or not finite, or whose vec_id is null, take no part; of rows that repeat a vec_id the one with the smallest vector (in the order of arrays) stays; an empty table, and a table of one row, give none. Vectors of several lengths are as many searches: an inner product is one of vectors of the same length. Other columns don't matter."""
+    spark = common.prepare(vectors.sparkSession)
     base = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("_v"))
-    told = base.agg(F.count("*").alias("n"), F.max(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.mode(F.size("_v")).alias("dims")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not told["n"]:
-        return spark.createDataFrame([], empty)
-    base = base.filter(F.size("_v") == told["dims"])
-    space = Space(told["dims"], float(np.sqrt(told["longest"])))
-    sample = base.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).toPandas()
-    space.fit_cells(space.project(matrix(sample["_v"]), False), -(-told["n"] // CELL_ROWS))
+    base = common.materialize(base.groupBy("vec_id").agg(F.min("_v").alias("_v")).withColumn("_dims", F.size("_v")), "vectors")
+    told = base.groupBy("_dims").agg(F.count("*").alias("n"), F.max(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy("_dims").collect()
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for t in told:  # mostly one length
+        found = found.unionByName(nearest(base.filter(F.col("_dims") == t["_dims"]).drop("_dims"), t["_dims"], t["n"], float(np.sqrt(t["longest"])), every, k, miss))
+    return found
+
+
+def nearest(base: DataFrame, dims: int, n: int, longest: float, every: int, k: int, miss: float) -> DataFrame:
+    """neighbours() among n vectors (vec_id, _v) of one length, the longest of the given norm."""
+    space = Space(dims, longest)
+
+    @F.pandas_udf("array<double>")
+    def projection(v: pd.Series) -> pd.Series:
+        return pd.Series(list(space.project(matrix(v), False)))
+
+    cells = min(CELLS, -(-n // CELL_ROWS))
+    if cells > 1:
+        sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(FIT_ROWS, CELL_FIT_ROWS * cells))
+        space.fit_cells(matrix(sample.select(projection("_v").alias("_p")).toPandas()["_p"]), cells)
 
     @F.pandas_udf("long")
     def cell_of(v: pd.Series) -> pd.Series:
         return pd.Series(space.cell(space.project(matrix(v), False)))
 
-    placed = common.materialize(base.dropDuplicates(["vec_id"]).withColumn("_cell", cell_of("_v")), "cells")
-    sizes = placed.groupBy("_cell").agg(F.count("*").alias("_n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("_q"))
-    sizes = F.broadcast(sizes.select("_cell", F.ceil(F.col("_n") / PIECE_ROWS).cast("int").alias("_pieces")))  # a row for each cell
+    placed = common.materialize(base.withColumn("_cell", cell_of("_v")), "cells")
+    sizes = placed.groupBy("_cell").agg(F.count("*").alias("_n"))
+    sizes = F.broadcast(sizes.select("_cell", F.ceil(F.col("_n") / PIECE_ROWS).cast("int").alias("_pieces")))  # a row for each of at most CELLS cells
     data = placed.join(sizes, "_cell").withColumn("_piece", F.pmod(F.xxhash64("vec_id"), F.col("_pieces").cast("long")).cast("int")).drop("_pieces")
     asked = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("_v").alias("_qv"), "_cell")
 
     first = common.materialize(searched(space, data, spread(asked.withColumn("_worst", F.lit(float("inf"))), sizes), k, miss), "found")
-    reached = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("_s")).select("query_id", F.get("_s", F.lit(0)).alias("_kth"))
-    low, high = space.boxes()
-    limit, longest = chi2.quantile(1 - miss, space.m), space.longest
-
-    @F.pandas_udf("array<long>")
-    def cells(v: pd.Series, worst: pd.Series) -> pd.Series:
-        gaps = box_distance(space.project(matrix(v), True), low, high)
-        return pd.Series([np.flatnonzero(g <= limit * max(w, 0)).tolist() for g, w in zip(gaps, worst, strict=True)])
-
-    length = F.aggregate("_qv", F.lit(longest**2), lambda a, x: a + x * x)
-    again = asked.join(reached, "query_id", "left").withColumn("_worst", F.coalesce(length - 2 * F.col("_kth"), F.lit(float("inf"))))
-    again = again.withColumn("_to", F.explode(cells("_qv", "_worst"))).filter(F.col("_to") != F.col("_cell")).select("query_id", "_qv", F.col("_to").alias("_cell"), "_worst")
-    second = searched(space, data, spread(again, sizes), k, miss)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(second).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if cells > 1:
+        reached = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("_s")).select("query_id", F.get("_s", F.lit(0)).alias("_kth"))
+        limit = chi2.quantile(1 - miss, space.m)
+
+        @F.pandas_udf("array<long>")
+        def cells_near(v: pd.Series, worst: pd.Series) -> pd.Series:
+            return pd.Series(space.near(space.project(matrix(v), True), limit * np.maximum(worst.to_numpy(), 0) * (1 + 1e-12)))
+
+        length = F.aggregate("_qv", F.lit(longest**2), lambda a, x: a + x * x)
+        again = asked.join(reached, "query_id", "left").withColumn("_worst", F.coalesce(length - 2 * F.col("_kth"), F.lit(float("inf"))))
+        again = again.withColumn("_to", F.explode(cells_near("_qv", "_worst"))).filter(F.col("_to") != F.col("_cell")).select("query_id", "_qv", F.col("_to").alias("_cell"), "_worst")
+        first = first.unionByName(searched(space, data, spread(again, sizes), k, miss))
+    return first.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def spread(asked: DataFrame, sizes: DataFrame) -> DataFrame:
