@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from . import common
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -37,8 +38,8 @@ PARITIES, SAMPLE, FREQUENT = 1024, 16_000, 100_000
 MEETING = 512
 #: Buckets of more fingerprints are cut into blocks of about so many.
 BLOCK = 2048
-#: Cost of a probe (a shuffled row) in verified candidates.
-PROBE_COST = 100.0
+#: Cost of a probe (a shuffled row) in verified candidates; fingerprints of the sample whose pairs tell how many candidates there will be.
+PROBE_COST, PAIRED = 100.0, 2000
 _ASCII_LOWER = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 
 
@@ -291,7 +292,7 @@ def grouped(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 
 def within(p: np.ndarray, t: int) -> np.ndarray:
-    """Chance that two fingerprints differ in at most 0, 1 .. t of some bits, from the chance of each bit to be set."""
+    """Chance that two fingerprints differ in at most 0, 1 .. t of some bits, from the chance of each bit to be set, as if bits were independent."""
     chance = np.zeros(t + 2)
     chance[0] = 1
     for q in 2 * p * (1 - p):
@@ -300,6 +301,16 @@ def within(p: np.ndarray, t: int) -> np.ndarray:
     return np.cumsum(chance)[: t + 1]
 
 
+def apart(sample: np.ndarray, p: np.ndarray, part: list[int], t: int) -> np.ndarray:
+    """The same chance for a partition's bits, counted over all pairs of a sample, as the bits that share a partition are correlated; where fewer than five pairs are that near, the chance of independent bits."""
+    v = sample & np.uint64(sum(1 << b for b in part))
+    counts = np.zeros(t + 1)
+    for i in range(len(v) - 1):
+        counts += np.bincount(np.minimum(np.bitwise_count(v[i + 1 :] ^ v[i]), t + 1), minlength=t + 2)[: t + 1]
+    seen = np.cumsum(counts)
+    return np.where(seen >= 5, seen / max(len(v) * (len(v) - 1) / 2, 1), within(p[part], t))
+
+
 def allocate(costs: list[list[float]], need: int) -> tuple[float, tuple[int, ...]]:
     """Least total cost, and thresholds t_i, with a sum of (t_i + 1) of need at least; costs[i][t + 1] is that of threshold t in partition i."""
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -315,9 +326,11 @@ def allocate(costs: list[list[float]], need: int) -> tuple[float, tuple[int, ...
 
 
 def planned(fps: DataFrame, *, radius: int = RADIUS) -> Plan:
-    """The cheapest of plans with up to radius + 2 partitions. Counts of bits and pairs of bits are over all fingerprints."""
+    """The cheapest of plans with up to radius + 2 partitions. Counts of bits and pairs of bits are over all fingerprints; candidates are estimated from PAIRED of them, which decides costs and no result."""
     n, both = bit_counts(fps)
     p = np.diag(both) / max(n, 1)
+    some = fps.orderBy(F.xxhash64("_fp"), "_fp").limit(PAIRED).collect()
+    sample = np.array([r["_fp"] for r in some], dtype=np.int64).view(np.uint64)
     ball = lambda w, t: sum(float(np.prod([(w - i) / (i + 1) for i in range(k)])) for k in range(t + 1))
     plans = []
     for m in range(1, radius + 3):
@@ -325,7 +338,7 @@ def planned(fps: DataFrame, *, radius: int = RADIUS) -> Plan:
         costs = []
         for part in parts:
             top = min(radius, 2)
-            chance = within(p[part], top)
+            chance = apart(sample, p, part, top)
             costs.append([0.0] + [n * ball(len(part), t) * PROBE_COST + n * n / 2 * float(chance[t]) for t in range(top + 1)])
         if sum(len(c) - 1 for c in costs) > radius:
             plans.append((*allocate(costs, radius + 1), parts))
@@ -437,21 +450,8 @@ def links(fps: DataFrame, *, radius: int = RADIUS, plan: Plan | None = None, blo
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """_node, _root: the smallest node of each node's component, for nodes with an edge (_a, _b). Stars are drawn together, larger neighbours and then smaller ones, until nothing changes; every round is a written table."""
-    now = common.materialize(edges.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).filter(F.col("_a") != F.col("_b")).distinct(), "edges")
-    seen = None
-    while True:
-        every = now.unionByName(now.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        least = every.groupBy("_a").agg(F.least(F.min("_b"), F.first("_a")).alias("_m"))
-        far = every.filter(F.col("_b") > F.col("_a")).join(least, "_a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
-        far = common.materialize(far.filter(F.col("_a") != F.col("_b")).distinct(), "edges")
-        down = far.groupBy("_a").agg(F.min("_b").alias("_m"))
-        near = far.join(down, "_a").select(F.when(F.col("_b") == F.col("_m"), F.col("_a")).otherwise(F.col("_b")).alias("_a"), F.col("_m").alias("_b"))
-        now = common.materialize(near.filter(F.col("_a") != F.col("_b")).distinct(), "edges")
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
-        if told == seen:
-            return now.select(F.col("_a").alias("_node"), F.col("_b").alias("_root")).unionByName(now.select(F.col("_b").alias("_node"), F.col("_b").alias("_root")).distinct())
-        seen = told
+    """_node, _root: the smallest node of each node's component, for nodes with an edge (_a, _b)."""
+    return graph.components(edges, "_a", "_b").select(F.col("node").alias("_node"), F.col("component").alias("_root"))
 
 
 def grouped_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
