@@ -109,16 +109,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Rules:
-    """Fit on the labelled rows that are not held out, at most sample_rows of them. Only their ids (a bounded table, so broadcast) and their statistics leave the executors' tables. Labels of an id that differ count as their smallest."""
+    """Fit on the labelled rows that are not held out, at most sample_rows of them. Only their ids (a bounded table, so broadcast) and their statistics leave the executors' tables. Labels of an id that differ count as their smallest, and of rows that repeat an id the one with the smallest statistics is taken; without a labelled row the score is constant."""
+    common.prepare(docs.sparkSession)
     usable = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = textstats.with_stats(found, keep=["doc_id", "_label"]).select("doc_id", "_label", *features()).toPandas().sort_values("doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    told = textstats.with_stats(found, keep=["doc_id", "_label"]).select("doc_id", "_label", F.struct(*features()).alias("_x"))
+    rows = told.groupBy("doc_id", "_label").agg(F.min("_x").alias("_x")).select("doc_id", "_label", "_x.*").toPandas().sort_values("doc_id")
     return fit(rows[list(FEATURES)].to_numpy(), rows["_label"].to_numpy())
 
 
 def score(docs: DataFrame, rules: Rules, *, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, if none are named), _score and _predicted. Null and empty texts are scored by their statistics, as any; columns of docs with a result's name give way."""
+    """The kept columns (all, if none are named), _score and _predicted: one row per row of docs. Null and empty texts are scored by their statistics, as any; rows that repeat stay and get the same score; an empty table gives none; columns of docs with a result's name give way."""
     docs = common.giving_way(docs, "_score", "_predicted")
     keep = docs.columns if keep is None else keep
     told = textstats.with_stats(docs, keep=keep)
