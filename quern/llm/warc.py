@@ -31,8 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 #: An archive is closed after so many bytes; its dictionary is trained on so many bytes of its own first records.
 ARCHIVE_BYTES, TRAIN_BYTES, DICT_BYTES, LEVEL = 32 << 20, 2 << 20, 64 << 10, 3
-#: Payloads of fewer bytes are never revisits.
-LEAST_BYTES = 0
+#: Payloads of fewer bytes are never revisits; the copies of a payload are dealt over so many parts.
+LEAST_BYTES, SALTS = 0, 16
 
 
 class BadRecord(ValueError):
@@ -145,16 +145,18 @@ def frames(source: io.RawIOBase, *, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def revisits(pages: DataFrame, *, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id and refers_to: of pages with equal payloads of at least least_bytes bytes, all but the largest page_id refer to it. Payloads are compared by SHA-1 and length, which are all that is shuffled; counting by payload is partly done before the shuffle."""
+    """page_id, _sha and refers_to: of pages with equal payloads of at least least_bytes bytes, all but the largest page_id refer to it. Payloads are compared by SHA-1 and length, which are all that is shuffled; counting by payload is partly done before the shuffle, and the copies of one payload meet their response in SALTS parts."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    told = pages.select("page_id", F.sha1(payload).alias("_sha"), F.length(payload).alias("_len"))
-    top = told.filter(F.col("_len") >= least_bytes).groupBy("_sha", "_len").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    return told.join(top, ["_sha", "_len"]).filter(F.col("page_id") != F.col("_top")).select("page_id", "_sha", F.col("_top").alias("refers_to")).distinct()
+    told = pages.select("page_id", F.sha1(payload).alias("_sha"), F.length(payload).alias("_len")).filter(F.col("_len") >= least_bytes)
+    top = told.groupBy("_sha", "_len").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    top = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = told.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return told.join(top, ["_sha", "_len", "_salt"]).filter(F.col("page_id") != F.col("_top")).select("page_id", "_sha", F.col("_top").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """Archives of all pages (page_id, url, html); returns a written table of them: path, n_records, n_bytes. A null html is an empty payload. Rows with a null page_id are responses. Only archives of tasks that ended are in the table, so what a lost executor left is never read."""
-    spark = pages.sparkSession
+    """Archives of all pages (page_id, url, html; other columns don't matter): a record for each row; returns a written table of the archives: path, n_records, n_bytes. A null html is an empty payload, a null url none. Rows with a null page_id are responses; rows that repeat a page_id and its html are as many records, of one kind; an empty table gives no archive. Only archives of tasks that ended are in the table, so what a lost executor left is never read."""
+    spark = common.prepare(pages.sparkSession)
     where = common.new_path(spark, "warc")
     where = where if "://" in where or where.startswith("file:") else "file://" + where
     tagged = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("_sha"))
