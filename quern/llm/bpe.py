@@ -174,7 +174,8 @@ def encoder(path: str) -> WordBPE:
 
 
 def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit), decoded. Null texts count as empty; empty texts have no ids; rows that repeat stay. No row sees another, so nothing is shuffled."""
+    """key, ids (binary, little-endian unsigned 32-bit), decoded: one row per row of docs. Null texts count as empty; empty texts have no ids; rows that repeat stay; an empty table gives none; other columns don't matter. No row sees another, so nothing is shuffled."""
+    common.prepare(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -188,7 +189,8 @@ def encode_decode(docs: DataFrame, path: str, *, text: str = "text", key: str =
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_decode gives, digested where it is made."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_decode gives, digested where it is made, with the same results for nulls, empty texts, repeated rows and an empty table."""
+    common.prepare(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
