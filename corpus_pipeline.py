@@ -34,13 +34,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_text(line_dedup.dedup(docs.select(*COLUMNS)), "_text")
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each id: of rows that repeat one, that with the smallest hash of all columns; rows without an id stay."""
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_row"))
+    repeated = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_row").alias("_least")).filter("_n > 1")
+    repeated = common.materialize(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs.select(*COLUMNS)
+    joined = rows.join(repeated, "doc_id", "left").filter("_least IS NULL OR _row = _least")
+    again = joined.filter("_least IS NOT NULL").dropDuplicates(["doc_id"])  # rows of one id and hash are equal
+    return common.materialize(joined.filter("_least IS NULL").unionByName(again).select(*COLUMNS), "single")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, and of rows that repeat an id, the smallest id's first row; rows without an id stay."""
+    """Of each group of near duplicates the smallest id's row. Of rows that repeat an id that with the smallest hash takes part; rows without an id stay."""
     common.prepare(spark)
+    docs = one_row_each(docs)
     groups = simhash.grouped_documents(docs, shingle=SHINGLE, similarity=SIMILARITY)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
