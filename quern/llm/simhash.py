@@ -21,19 +21,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from . import common
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Bits of a set's parities, the number of texts from which frequent shingles are estimated (they order the shingles, nothing more), and how many of these there are at most.
+#: Least bits of a set's parities, the number of texts from which frequent shingles are estimated (they order the shingles, nothing more), and how many of these there are at most.
 PARITIES, SAMPLE, FREQUENT = 1024, 16_000, 100_000
+#: A table of up to so many texts' hashes (8 MB) is broadcast to find the texts; a larger one is joined with a shuffle. Texts whose shingles a task remembers.
+BROADCAST_ROWS, REMEMBERED = 1 << 20, 64
 #: Texts under one shingle meet in pairs of blocks of about so many.
 MEETING = 512
 #: Buckets of more fingerprints are cut into blocks of about so many.
@@ -113,11 +116,24 @@ def leading(h: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarr
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """For each of PARITIES buckets whether a set has an odd number of shingles in it, as longs. Two sets differ in at least as many shingles as they do in these bits."""
-    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    """For each of two buckets a shingle, or a few more (a power of two, PARITIES at least), whether a set has an odd number of shingles in it, as longs. Two sets differ in at least as many shingles as they do in these bits."""
+    buckets = max(PARITIES, 1 << (2 * len(h) - 1).bit_length()) if len(h) else PARITIES
+    odd = np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def halved(odd: Column) -> Column:
+    """The parities in half as many buckets."""
+    half = (F.size(odd) / 2).cast("int")
+    return F.zip_with(F.slice(odd, F.lit(1), half), F.slice(odd, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits the parities of two sets differ, whose sizes are less than a factor of two apart (null beyond)."""
+    one, two = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def described(docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, _fp, _row (the text's hash), _size (distinct shingles), _keys (the leading ones), _odd (parities). Null texts have no words."""
     keys, counts = frequent(docs, shingle=shingle)
@@ -138,17 +154,20 @@ def described(docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) ->
 
 
 def alike(pairs: DataFrame, docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
-    """_a, _b: fingerprints of those pairs of texts (_x, _y, with _a, _b) whose shingles, as sets, reach the similarity."""
+    """_a, _b: fingerprints of those pairs of texts (_x, _y, with _a, _b) whose shingles, as sets, reach the similarity. Only the texts of pairs are shuffled."""
     pairs = common.materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("_x", "_y")).alias("_row")).distinct()
+    wanted = common.materialize(pairs.select(F.explode(F.array("_x", "_y")).alias("_row")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), "text").join(wanted, "_row", "left_semi").dropDuplicates(["_row"])
+    texts = common.materialize(texts, "pair-texts")
     both = pairs.join(texts.select(F.col("_row").alias("_x"), F.col("text").alias("_t1")), "_x").join(texts.select(F.col("_row").alias("_y"), F.col("text").alias("_t2")), "_y")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = lru_cache(maxsize=REMEMBERED)(lambda t: np.unique(shingle_hashes(t, shingle)))
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = (np.unique(shingle_hashes(t, shingle)) for t in (x, y))
+                x, y = distinct(x), distinct(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             keep = pa.array(keep, pa.bool_())
@@ -167,14 +186,21 @@ def meeting(blocks: DataFrame, similarity: float) -> DataFrame:
 
     def found(cols: list[np.ndarray], lo: int, hi: int) -> Iterator[np.ndarray]:
         row, root, size, odd = (c[lo:hi] for c in cols[3:])
-        odd = odd.view(np.uint64)
-        for i in range(hi - lo - 1):
-            r = slice(i + 1, None)
-            ok = np.flatnonzero((root[r] != root[i]) & (np.minimum(size[r], size[i]) >= similarity * np.maximum(size[r], size[i]) - 1e-9)) + i + 1
-            if len(ok):
-                ok = ok[np.bitwise_count(odd[ok] ^ odd[i]).sum(axis=1, dtype=np.int64) <= most_apart(similarity, size[ok] + size[i])]
-                if len(ok):
-                    yield np.stack([np.full(len(ok), row[i]), row[ok]], axis=1)
+        width = np.fromiter(map(len, odd), dtype=np.int64, count=hi - lo)
+        at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        bits = {w: np.stack(odd[i]).view(np.uint64) for w, i in at.items()}
+        for w, own in at.items():
+            half = bits[w][:, : w // 2] ^ bits[w][:, w // 2 :] if w // 2 in at else None
+            for n, i in enumerate(own):
+                sides = [(own[n + 1 :], bits[w][n + 1 :], bits[w][n])]
+                if half is not None:
+                    sides.append((at[w // 2], bits[w // 2], half[n]))
+                for others, theirs, mine in sides:
+                    ok = np.flatnonzero((root[others] != root[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9))
+                    if len(ok):
+                        ok = ok[np.bitwise_count(theirs[ok] ^ mine).sum(axis=1, dtype=np.int64) <= most_apart(similarity, size[others[ok]] + size[i])]
+                        if len(ok):
+                            yield np.stack([np.full(len(ok), row[i]), row[others[ok]]], axis=1)
 
     def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
         xy = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
@@ -183,7 +209,7 @@ def meeting(blocks: DataFrame, similarity: float) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, out, n = None, [], 0
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [b.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(-1, PARITIES // 64)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]  # of the last, an array for each row
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -223,8 +249,7 @@ def near_links(docs: DataFrame, told: DataFrame, known: DataFrame, similarity: f
     met = common.materialize(posts.join(shared, "_k"), "met")
     side = lambda a, b, n: one.select(F.col("_row").alias(a), F.col("_fp").alias(b), F.col("_size").alias(f"_s{n}"), F.col("_odd").alias(f"_o{n}"))
     sided = lambda pairs: pairs.join(side("_x", "_a", 1), "_x").join(side("_y", "_b", 2), "_y")
-    apart = F.aggregate(F.zip_with("_o1", "_o2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = (F.least("_s1", "_s2") >= similarity * F.greatest("_s1", "_s2") - 1e-9) & (apart <= most_apart(similarity, F.col("_s1") + F.col("_s2")))
+    near = (F.least("_s1", "_s2") >= similarity * F.greatest("_s1", "_s2") - 1e-9) & (bits_apart(F.col("_o1"), F.col("_o2")) <= most_apart(similarity, F.col("_s1") + F.col("_s2")))
     pairs = met.select("_row", F.explode(F.array("_min", "_max")).alias("_c")).filter("_row <> _c").select(F.least("_row", "_c").alias("_x"), F.greatest("_row", "_c").alias("_y")).distinct()
     first = common.materialize(alike(sided(pairs).filter((F.col("_a") != F.col("_b")) & near).select("_x", "_y", "_a", "_b"), docs, similarity, shingle=shingle), "links")
     roots = components(known.unionByName(first))
