@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-YMD = r"(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})"
+#: A year of four digits, a month and a day that a calendar has, with one sign between them or the signs for year and month; no digit stands right before or after.
+YMD = r"(?<![0-9])([0-9]{4})(?:年| ?[./-] ?)(1[0-2]|0?[1-9])(?:月| ?[./-] ?)(3[01]|[12][0-9]|0?[1-9])(?![0-9])"
 #: The steps of the recency score, oldest age in days and score.
 RECENCY = ((7, 1.0), (30, 0.95), (90, 0.80), (180, 0.60), (365, 0.45), (365 * 3, 0.20), (365 * 10, 0.05))
 
@@ -55,3 +56,34 @@ def constraint(c: Column, recent=("recent", "latest", "最近", "近期")) -> Co
     soft = F.exists(F.array(*(F.lit(x) for x in recent)), lambda t: F.contains(F.lower(value), t))
     kind = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").when(year.isNotNull(), "year").when(since.isNotNull(), "since").when(soft, "recent").otherwise("none")
     return F.struct(kind.alias("kind"), year.alias("year"), month.alias("month"), day.alias("day"), since.alias("since"))
+
+
+#: Points for a year, a month, a day and a month since which, and for a named source.
+POINTS = {"year": 2.0, "month": 3.0, "day": 2.0, "since": 2.0}
+SOURCE_POINTS = 3.0
+
+
+def names_month(hay: Column, month: Column) -> Column:
+    """Whether a text names a month, as a number before the sign for month or behind a year of four digits."""
+    return F.regexp_like(hay, F.concat(F.lit("(?<![0-9])0?"), month.cast("string"), F.lit("月|[0-9]{4}[./-]0?"), month.cast("string"), F.lit("(?![0-9])")))
+
+
+def names_day(hay: Column, day: Column) -> Column:
+    return F.regexp_like(hay, F.concat(F.lit("(?<![0-9])0?"), day.cast("string"), F.lit("日|[0-9]{4}[./-][0-9]{1,2}[./-]0?"), day.cast("string"), F.lit("(?![0-9])")))
+
+
+def match_score(date: Column, hay: Column) -> Column:
+    """Points of a text (publication time and title) for each part of a constraint that it has; 0 without a constraint."""
+    hit = lambda part, found: F.when(date[part].isNotNull() & found, POINTS[part]).otherwise(0.0)
+    return hit("year", F.contains(hay, date["year"].cast("string"))) + hit("month", names_month(hay, date["month"])) + hit("day", names_day(hay, date["day"])) + hit("since", names_month(hay, date["since"]))
+
+
+def meets(date: Column, hay: Column) -> Column:
+    """Whether a text has a constraint's year and month, or the month since which; true without one."""
+    year = F.contains(hay, date["year"].cast("string")) & (date["month"].isNull() | names_month(hay, date["month"]))
+    return F.coalesce(F.when(date["year"].isNotNull(), year), F.when(date["since"].isNotNull(), names_month(hay, date["since"])), F.lit(True))
+
+
+def source_score(aliases: Column, source: Column, title: Column) -> Column:
+    """Points where the source or the title has one of a named source's aliases."""
+    return F.when(F.exists(aliases, lambda a: F.contains(F.lower(F.concat_ws(" ", source, title)), a)), SOURCE_POINTS).otherwise(0.0)

@@ -17,18 +17,28 @@ def min_max(value: Column, *keys: str) -> Column:
     return F.when(low == high, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((value - low) / (high - low))
 
 
-def quality(title: Column, summary: Column, source: Column | None = None, *, artefacts: Sequence[str] = (), clickbait: Sequence[str] = (), generic: Sequence[str] = (), legacy: str = "old", topics: Sequence[str] = ()) -> Column:
-    """1 less penalties: no title .55, short summary .20, artefacts .85, .25 for each click-bait word up to .75, generic title .70, legacy source off topic .75; held to .05 .. 1."""
+#: What a flaw of a title or summary costs; click-bait costs as much for each word, up to three.
+PENALTIES = {"no title": 0.55, "short summary": 0.20, "artefact": 0.85, "click-bait": 0.25, "generic title": 0.70, "legacy source off topic": 0.75, "undated bulletin": 0.20}
+
+
+def quality(title: Column, summary: Column, source: Column | None = None, *, artefacts: Sequence[str] = (), clickbait: Sequence[str] = (), generic: Sequence[str] = (), legacy: str = "old", topics: Sequence[str] = (), bulletin: Sequence[str] = (), dated: Column | None = None) -> Column:
+    """1 less PENALTIES, held to .05 .. 1."""
     t, s = X.text(title), X.text(summary)
     joined = F.lower(F.concat_ws(" ", t, F.substring(s, 1, 160)))
     has = lambda terms, c: F.exists(X.words_of([x.lower() for x in terms]), lambda x: F.contains(c, x))
-    hits = F.size(F.filter(X.words_of(clickbait), lambda x: F.contains(t, x)))
-    out = F.lit(1.0) - F.when(X.strip(t) == "", 0.55).otherwise(0.0) - F.when(F.length(X.strip(s)) < 12, 0.20).otherwise(0.0)
-    out = out - F.when(has(artefacts, joined), 0.85).otherwise(0.0) - F.least(F.lit(0.75), hits * 0.25)
-    out = out - F.when(F.array_contains(X.words_of(generic), X.strip(t)), 0.70).otherwise(0.0)
+    flaws = {
+        "no title": X.strip(t) == "",
+        "short summary": F.length(X.strip(s)) < 12,
+        "artefact": has(artefacts, joined),
+        "click-bait": F.least(F.lit(3), F.size(F.filter(X.words_of(clickbait), lambda x: F.contains(t, x)))),
+        "generic title": F.array_contains(X.words_of(generic), X.strip(t)),
+    }
     if source is not None:
-        out = out - F.when((F.lower(X.text(source)) == legacy) & ~has(topics, joined), 0.75).otherwise(0.0)
-    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), out))
+        flaws["legacy source off topic"] = (F.lower(X.text(source)) == legacy) & ~has(topics, joined)
+    if dated is not None:
+        flaws["undated bulletin"] = has(bulletin, F.lower(t)) & ~dated
+    cost = sum((PENALTIES[k] * F.coalesce(c.cast("int"), F.lit(0)) for k, c in flaws.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), 1.0 - cost))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WHITE = r"(?U)\s+"
+#: Signs after which a sentence ends.
+SENTENCE_ENDS = ". ! ? ; 。 ！ ？ ；"
+SENTENCE = "(?<=[" + SENTENCE_ENDS.replace(" ", "") + "])"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -21,13 +23,19 @@ def words_of(terms: Sequence[str]) -> Column:
     return F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(text(c), WHITE, " "))
+    """Every run of white space as one space, none at the ends. Single spaces, which are most, are not replaced."""
+    return F.trim(F.regexp_replace(text(c), r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def clip(c: Column, limit: int, tail: str = "...") -> Column:
@@ -101,18 +109,27 @@ def longest_common(a: Column, b: Column) -> Column:
     return _common(compact(a), compact(b))
 
 
+def n_windows(length: Column, size: int, overlap: int, most: int | None = None) -> Column:
+    """How many windows a text of a length has."""
+    n = F.when(length == 0, 0).otherwise(F.greatest(F.ceil((length - size) / (size - overlap)), F.lit(0)).cast("int") + 1)
+    return F.least(n, F.lit(most)) if most else n
+
+
 def windows(c: Column, size: int, overlap: int, most: int | None = None) -> Column:
     """Fixed windows of `size` characters that overlap; the last ends with the text."""
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(c) - size) / step), F.lit(0)).cast("int"))
-    parts = F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(c, i * step + 1, F.lit(size))))
-    return F.slice(parts, 1, most) if most else parts
+
+    def cut(t: Column) -> Column:
+        n = n_windows(F.length(t), size, overlap, most)
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(t, i * step + 1, F.lit(size))))
+
+    return let(c, cut)
 
 
 def paragraphs(c: Column, longest: int = 1000) -> Column:
     """Lines that are not blank, stripped; longer ones cut after sentence ends."""
     lines = F.filter(F.transform(F.split(text(c), r"\n"), strip), lambda p: p != "")
-    return F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > longest, F.filter(F.transform(F.split(p, r"(?<=[。！？；.!?;])"), strip), lambda x: x != "")).otherwise(F.array(p))))
+    return F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > longest, F.filter(F.transform(F.split(p, SENTENCE), strip), lambda x: x != "")).otherwise(F.array(p))))
 
 
 def packed_chunks(c: Column, size: int = 600, overlap: int = 120, most: int = 8) -> Column:
@@ -133,10 +150,25 @@ def stable_id(key: Column) -> Column:
     return (F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
 
 
-def garbled(c: Column, chars: int = 1000) -> Column:
-    """Control characters, replacement characters, or too many Latin-1 supplement letters in a row, in the first characters."""
-    head = F.substring(text(c), 1, chars)
-    return head.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]") | (F.regexp_count(head, F.lit(r"[\x{c0}-\x{ff}]{4,}")) >= 3)
+def garbled(c: Column, chars: int = 1000, *, least: int = 3, share: float = 0.02, judged: int = 40, letters: float = 0.3) -> Column:
+    """By the first characters: a replacement character; `least` or more control or private-use characters that are more than a share of all; or, from `judged` characters on, no CJK and few Latin letters."""
+
+    def told(head: Column) -> Column:
+        n = F.length(head)
+        count = lambda p: F.regexp_count(head, F.lit(p))
+        odd = count(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\x{e000}-\x{f8ff}]")
+        return F.contains(head, F.lit("\ufffd")) | ((odd >= least) & (odd > share * n)) | ((n >= judged) & ~head.rlike(CJK) & (count("[A-Za-z]") < letters * n))
+
+    return let(F.substring(text(c), 1, chars), told)
+
+
+def marker_count(c: Column, markers: Sequence[str]) -> Column:
+    """How many of the markers a text has."""
+    return F.size(F.filter(words_of(markers), lambda m: F.contains(text(c), m)))
+
+
+def has_cjk(c: Column) -> Column:
+    return text(c).rlike(CJK)
 
 
 def tail_noise(c: Column, terms: Sequence[str], window: int = 160) -> Column:
@@ -168,14 +200,26 @@ def denoised(c: Column, noise: Sequence[str] = (), least: int = 4, ratio: float
     return clean(c)
 
 
-def visible_text(html: Column, separator: str = "\n") -> Column:
-    """Text outside scripts, styles and other hidden elements, pieces joined by the separator, the commonest character references decoded."""
-    bare = F.regexp_replace(text(html), r"(?is)<!--.*?-->|<(script|style|noscript|svg|canvas)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", " ")
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    import html
+    import re
+
+    zeros, beyond = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
+    return texts.map(lambda t: None if t is None else html.unescape(beyond.sub("\ufffd", zeros.sub("&#", t))))
+
+
+def unescaped(c: Column) -> Column:
+    """Character references decoded; there are over 2,000 names and no built-in for them, so texts with an ampersand go through Arrow, and only those."""
+    return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+
+
+def visible_text(html: Column, separator: str = "\n", *, hidden: Sequence[str] = ("script", "style", "noscript", "svg", "canvas")) -> Column:
+    """Text outside hidden elements, pieces without white space at their ends joined by the separator, character references decoded. hidden=() with a space as separator keeps all text."""
+    apart = "|<(" + "|".join(hidden) + r")\b[^>]*>.*?</\1\s*>" if hidden else ""
+    bare = F.regexp_replace(text(html), rf"(?is)<!--.*?-->|<!doctype[^>]*>{apart}", " ")
     pieces = F.filter(F.transform(F.split(bare, r"<[^>]*>"), collapse), lambda x: x != "")
-    out = F.array_join(pieces, separator)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    return unescaped(F.array_join(pieces, separator))
 
 
 def host(url: Column) -> Column:
@@ -218,6 +262,11 @@ def quoted(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"[\"“《]([^\"”》]{2,40})[\"”》]"), F.lit(1)))
 
 
+def unsupported_terms(query: Column, evidence: Column) -> Column:
+    """Quoted terms of a query that its evidence does not have."""
+    return F.filter(quoted(query), lambda t: ~F.contains(text(evidence), t))
+
+
 def cleaned_query(c: Column, phrases: Sequence[str] = ()) -> Column:
     """Without instruction phrases, punctuation at the ends and double spaces."""
     out = text(c)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,14 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import relational
 
 
 def document_chunks(docs: DataFrame, *, size: int = 600, overlap: int = 120, most: int = 8, collection: str = "docs") -> DataFrame:
     """One summary chunk and up to `most` body chunks of each document, with a key, a stable 63-bit id and the text to embed."""
-    body = X.windows(X.collapse(F.col("content")), size, overlap, most)
-    summary = F.array(F.struct(F.lit("summary").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.substring(X.collapse(F.col("content")), 1, 200).alias("chunk_text")))
-    bodies = F.transform(body, lambda t, i: F.struct(F.lit("body").alias("chunk_type"), i.alias("chunk_index"), t.alias("chunk_text")))
-    out = docs.withColumn("_c", F.explode(F.concat(summary, bodies))).select(*docs.columns, "_c.*")
+
+    def chunks(flat: Column) -> Column:
+        summary = F.array(F.struct(F.lit("summary").alias("chunk_type"), F.lit(0).alias("chunk_index"), F.substring(flat, 1, 200).alias("chunk_text")))
+        bodies = F.transform(X.windows(flat, size, overlap, most), lambda t, i: F.struct(F.lit("body").alias("chunk_type"), i.alias("chunk_index"), t.alias("chunk_text")))
+        return F.concat(summary, bodies)
+
+    out = docs.withColumn("_c", F.explode(X.let(X.collapse(F.col("content")), chunks))).select(*docs.columns, "_c.*")
     key = F.concat_ws("|", F.lit(collection), F.concat(F.lit("news:"), F.col("doc_id").cast("string")), "chunk_type", F.col("chunk_index").cast("string"))
     return out.withColumns({"chunk_key": key, "point_id": X.stable_id(key), "embed_text": F.concat_ws("\n", "title", "chunk_text")})
 
@@ -60,18 +66,19 @@ def top_share(docs: DataFrame, column: str, k: int) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select(column, "n", X.percent(F.col("n"), F.col("_t")).alias("percent")).orderBy(F.desc("n"), F.asc(column)).limit(k)  # one row
 
 
-def percentiles(docs: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Median and 90th percentile by three rules: nearest rank, rounded index (half to even), linear interpolation. A value's counts stand for its rows, so that a group's rows need not meet."""
+def percentiles(docs: DataFrame, value: str, keys: Sequence[str], points: Sequence[int] = (50, 90)) -> DataFrame:
+    """Percentiles by three rules: nearest rank, rounded index (half to even), linear interpolation. A value's counts stand for its rows, and their running sums spread over many tasks, so that a group's rows need not meet."""
     n = docs.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    run = n.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_c").over(w))
+    total = docs.groupBy(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    run = relational.running_sum(n, keys, [value], "_c", "_to").join(F.broadcast(total) if not keys else total, same)
     at = lambda rank: F.min(F.when(F.col("_to") >= rank, F.col(value)))
     near = lambda p: F.ceil(F.col("_all") * p / 100)
     index = lambda p: F.bround((F.col("_all") - 1) * p / 100.0) + 1
     exact = lambda p: (F.col("_all") - 1) * p / 100.0
-    out = run.groupBy(*keys).agg(*(f(p).alias(f"{name}_{p}") for p in (50, 90) for name, f in (("nearest", lambda p: at(near(p))), ("rounded", lambda p: at(index(p))), ("_lo", lambda p: at(F.floor(exact(p)) + 1)), ("_hi", lambda p: at(F.ceil(exact(p)) + 1)), ("_f", lambda p: F.max(exact(p) - F.floor(exact(p)))))))
-    linear = [(F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(f"linear_{p}") for p in (50, 90)]
-    return out.select(*keys, *(f"{name}_{p}" for p in (50, 90) for name in ("nearest", "rounded")), *linear)
+    out = run.groupBy(*keys).agg(*(f(p).alias(f"{name}_{p}") for p in points for name, f in (("nearest", lambda p: at(near(p))), ("rounded", lambda p: at(index(p))), ("_lo", lambda p: at(F.floor(exact(p)) + 1)), ("_hi", lambda p: at(F.ceil(exact(p)) + 1)), ("_f", lambda p: F.max(exact(p) - F.floor(exact(p)))))))
+    linear = [(F.col(f"_lo_{p}") + (F.col(f"_hi_{p}") - F.col(f"_lo_{p}")) * F.col(f"_f_{p}")).alias(f"linear_{p}") for p in points]
+    return out.select(*keys, *(f"{name}_{p}" for p in points for name in ("nearest", "rounded")), *linear)
 
 
 def recent_windows(docs: DataFrame, ts: str, now: int, days: Sequence[int]) -> DataFrame:
@@ -105,9 +112,9 @@ def matching_ratio(a: Column, b: Column, threshold: float) -> Column:
 
 
 def neighbour_pairs(docs: DataFrame, block: Sequence[str], order: Sequence[str], value: str, key: str = "doc_id", window: int = 4) -> DataFrame:
-    """Each row with the next `window` rows of its block, by an equi-join on the position: rows that repeat a value stand next to each other."""
-    w = Window.partitionBy(*block).orderBy(*order, key)
-    placed = docs.withColumn("_n", F.row_number().over(w)).select(*block, "_n", F.col(key), F.col(value))
+    """Each row with the next `window` rows of its block, by an equi-join on the position: rows that repeat a value stand next to each other. Positions come from a range partitioning, so a block of any size spreads over many tasks."""
+    light = relational.numbered(docs.select(*dict.fromkeys([*block, *order, key])), block, [*order, key], "_n").select(*block, "_n", key)
+    placed = light.join(docs.select(F.col(key), F.col(value)), key)
     left = placed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(window)))).withColumn("_to", F.col("_n") + F.col("_k")).select(*block, F.col("_to").alias("_n"), F.col(key).alias("a"), F.col(value).alias("a_value"))
     return left.join(placed.select(*block, "_n", F.col(key).alias("b"), F.col(value).alias("b_value")), [*block, "_n"]).select("a", "b", "a_value", "b_value")
 
@@ -122,22 +129,22 @@ def near_duplicates(docs: DataFrame, block: Sequence[str], order: Sequence[str],
 
 def tagged(value: Column, rules: Mapping[str, Sequence[str]], priority: Sequence[str]) -> tuple[Column, Column]:
     """All labels whose keywords a text has (ASCII keywords as whole words in any case, others as substrings), and the first by priority, else other."""
-    low = F.lower(X.text(value))
 
-    def has(word: str) -> Column:
-        if word.isascii():
-            import re
+    def found(low: Column) -> Column:
+        """One pass makes a space of all that is no letter or digit; a word is then looked for between spaces."""
+        return X.let(F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9 ]+", " "), F.lit(" ")), lambda spaced: marked(low, spaced))
 
-            return low.rlike(rf"(?<![a-z0-9]){re.escape(word.lower())}(?![a-z0-9])")
-        return F.contains(low, F.lit(word))
+    def marked(low: Column, spaced: Column) -> Column:
+        def has(word: str) -> Column:
+            word = word.lower()
+            if re.fullmatch("[a-z0-9]+", word):
+                return F.contains(spaced, F.lit(f" {word} "))
+            return low.rlike(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])") if word.isascii() else F.contains(low, F.lit(word))
 
-    def any_(words: Sequence[str]) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | has(w)
-        return out
+        any_ = lambda words: reduce(lambda a, b: a | b, map(has, words), F.lit(False))
+        return F.array_compact(F.array(*(F.when(any_(ws), F.lit(k)) for k, ws in rules.items())))
 
-    labels = F.array_compact(F.array(*(F.when(any_(ws), F.lit(k)) for k, ws in rules.items())))
+    labels = X.let(F.lower(X.text(value)), found)
     primary = F.coalesce(F.get(F.filter(X.words_of(priority), lambda p: F.array_contains(labels, p)), F.lit(0)), F.lit("other"))
     return labels, primary
 
