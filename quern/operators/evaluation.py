@@ -12,28 +12,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 
-def gold_rank(retrieved: Column, gold: Column) -> Column:
-    """1-based rank of the first retrieved item that is gold; null if none is."""
-    hits = F.filter(F.transform(retrieved, lambda x, i: F.when(F.array_contains(gold, x), i + 1)), lambda x: x.isNotNull())
-    return F.get(hits, F.lit(0))
+
+def flagged(df: DataFrame) -> DataFrame:
+    """Adds flags (for each retrieved item whether it is gold; of an item that repeats only the first) and n_gold, from arrays retrieved and gold: for gold lists as short as those of labelled cases."""
+    first = F.transform("retrieved", lambda x, i: F.array_position(F.col("retrieved"), x) == i + 1)
+    return df.withColumns({"flags": F.zip_with(F.transform("retrieved", lambda x: F.array_contains("gold", x)), first, lambda g, f: g & f), "n_gold": F.size(F.array_distinct("gold"))})
 
 
 def case_metrics(df: DataFrame, k: int = 5) -> DataFrame:
-    """Per case, from arrays retrieved and gold: any hit in the first k, reciprocal rank within them, hits and gold counted, recall against min(gold, k), reciprocal rank over the full list. Null without gold."""
-    head = F.slice("retrieved", 1, k)
-    hits = F.size(F.array_intersect(F.array_distinct(head), "gold"))
-    has = F.size("gold") > 0
-    r_k, r_all = gold_rank(head, F.col("gold")), gold_rank(F.col("retrieved"), F.col("gold"))
+    """Per case, from flags (in rank order) and n_gold: any hit in the first k, reciprocal rank within them, hits and gold counted, recall against min(gold, k), reciprocal rank over the full list. Null without gold."""
+    place = lambda flags: F.nullif(F.array_position(flags, True), F.lit(0))
+    head = F.slice("flags", 1, k)
+    hits = F.size(F.filter(head, lambda x: x))
+    has = F.col("n_gold") > 0
+    r_k, r_all = place(head), place(F.col("flags"))
     return df.withColumns({
         "hit": F.when(has, (hits > 0).cast("double")), "rr_k": F.when(has, F.coalesce(1.0 / r_k, F.lit(0.0))), "rr_full": F.when(has, F.coalesce(1.0 / r_all, F.lit(0.0))),
-        "n_hits": F.when(has, hits), "n_gold": F.when(has, F.size("gold")), "recall_k": F.when(has, hits / F.least(F.size("gold"), F.lit(k))), "first_rank": r_all,
+        "n_hits": F.when(has, hits), "recall_k": F.when(has, hits / F.least(F.col("n_gold"), F.lit(k))), "first_rank": r_all.cast("int"),
     })
 
 
 def metrics_a(cases: DataFrame) -> DataFrame:
     """Any-hit recall, reciprocal rank within k, hits over gold."""
-    return cases.agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall_at_k"), F.round(F.avg("rr_k"), 6).alias("mrr"), F.round(F.sum("n_hits") / F.sum("n_gold"), 6).alias("evidence_recall"))
+    return cases.agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall_at_k"), F.round(F.avg("rr_k"), 6).alias("mrr"), F.round(F.sum("n_hits") / F.sum(F.when(F.col("n_gold") > 0, F.col("n_gold"))), 6).alias("evidence_recall"))
+
+
+#: Checks of a case that hold, fail or do not apply (true, false, null), and the rates that report them.
+CHECKS = {
+    "confirmed_when_asked": "confirmation_required_accuracy", "overconfident": "overconfident_answer_rate", "topic_recalled": "long_context_topic_recall", "anchor_recalled": "long_context_anchor_recall", "memory_apart": "memory_source_separation_rate", "source_labelled": "source_label_accuracy",
+    "low_tier_warned": "low_credibility_warning_rate", "fell_back": "external_fallback_trigger_accuracy", "ocr_traced": "ocr_trace_completeness", "carried_over": "confirmed_carryover_accuracy", "said_insufficient": "insufficient_evidence_correctness",
+}
+
+
+def report(cases: DataFrame, keys: Sequence[str] = (), *, refusal: Column | None = None) -> DataFrame:
+    """Every rate of an evaluation run, one row for each of the keys: counts, retrieval metrics of the answerable cases, citations, refusals, routes, validation, CHECKS, timeouts, ends of streams, and latencies (mean, P50 and P95 by linear interpolation). A rate whose cases are none is null.
+
+    cases: what case_metrics gives, should_answer, should_refuse, answer, citations, evidence, must_cite, validated, risk, route, expected_route, latency_ms, error, done, CHECKS."""
+    from . import corpus
+
+    flag = lambda c: c.cast("double")
+    answered, refuses = F.col("answer").isNotNull(), F.col("refused") if refusal is None else refusal
+    no_answer = ~F.col("should_answer") | F.col("should_refuse")
+    answerable = ~no_answer & (F.col("n_gold") > 0)
+    cited = F.when(F.size("citations") > 0, F.size(F.array_except("citations", "evidence")) == 0).otherwise(F.lit(False))
+    rates = {
+        "recall_at_k": F.when(answerable, F.col("hit")), "mrr": F.when(answerable, F.col("rr_k")), "evidence_recall": F.when(answerable, F.col("n_hits") / F.col("n_gold")),
+        "citation_valid_rate": F.when(answered & F.col("must_cite") & (F.col("answer") != ""), flag(cited)), "no_answer_accuracy": F.when(no_answer & answered, flag(refuses)), "refusal_correctness": F.when(F.col("should_refuse") & answered, flag(refuses)),
+        "route_accuracy": F.when(F.col("expected_route") != "", flag(F.coalesce(F.col("route") == F.col("expected_route"), F.lit(False)))), "validation_pass_rate": F.when(answered, flag(F.col("validated"))), "hallucination_risk_rate": F.when(answered & F.col("validated").isNotNull(), flag(F.coalesce(F.col("risk").isin("medium", "high"), F.lit(False)))),
+        **{name: flag(F.col(c)) for c, name in CHECKS.items()}, "timeout_rate": flag(F.coalesce(F.col("error"), F.lit(False))), "done_rate": flag(F.coalesce(F.col("done"), F.lit(False))), "latency_mean": F.col("latency_ms"),
+    }
+    cases = cases.withColumn("_every", F.lit(0))
+    by = ["_every", *keys]
+    out = cases.groupBy(*by).agg(F.count("*").alias("cases"), F.count_if(answerable).alias("answerable"), *(F.round(F.avg(c), 6).alias(n) for n, c in rates.items()))
+    timed = corpus.percentiles(cases.filter("latency_ms IS NOT NULL"), "latency_ms", by, points=(50, 95)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.round("linear_50", 6).alias("latency_p50"), F.round("linear_95", 6).alias("latency_p95"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return out.join(timed, on, "left").select(*keys, "cases", "answerable", *rates, "latency_p50", "latency_p95")
 
 
 def metrics_b(cases: DataFrame) -> DataFrame:
@@ -43,7 +81,7 @@ def metrics_b(cases: DataFrame) -> DataFrame:
 
 def failures(cases: DataFrame, k: int = 5) -> DataFrame:
     """Failing cases with their buckets: missing gold, gold not retrieved, gold ranked below k, route mismatch."""
-    none = F.size("gold") == 0
+    none = F.col("n_gold") == 0
     b = F.array_compact(F.array(F.when(none, F.lit("no_gold")), F.when(~none & F.col("first_rank").isNull(), F.lit("gold_not_retrieved")), F.when(F.col("first_rank") > k, F.lit("gold_ranked_low")), F.when(F.col("route") != F.col("expected_route"), F.lit("route_mismatch"))))
     return cases.withColumn("buckets", b).filter(F.size("buckets") > 0)
 
@@ -105,50 +143,52 @@ def quotas(counts: Mapping[str, int], share: float) -> dict[str, int]:
     total = max(1, round(sum(counts.values()) * share))
     exact = {k: total * n / max(1, sum(counts.values())) for k, n in counts.items()}
     out = {k: min(int(x), max(0, counts[k] - 1)) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (-(exact[k] - int(exact[k])), k)):
+    for k in sorted(exact, key=lambda k: (-(exact[k] - int(exact[k])), str(k))):
         if sum(out.values()) < total and out[k] < counts[k] - 1:
             out[k] += 1
     return out
 
 
-def split_groups(groups: DataFrame, share: float = 0.3, seed: int = 0, most: int = 100_000) -> dict[str, str]:
-    """group_key to train or heldout: whole groups, chosen greedily for what their classes still lack. groups: group_key, class, n. The table of groups comes to the driver; a larger one than `most` is refused."""
-    rows = groups.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} groups")
-    of: dict[str, dict[str, int]] = {}
-    for r in rows:
-        of.setdefault(r["group_key"], {})[r["class"]] = r["n"]
-    counts: dict[str, int] = {}
-    for g in of.values():
-        for c, n in g.items():
-            counts[c] = counts.get(c, 0) + n
-    lack = quotas(counts, share)
-    order = sorted(of, key=lambda g: (sum(of[g].values()), hashlib.sha256(f"{seed}:{g}".encode()).hexdigest()))
-    out = dict.fromkeys(of, "train")
-    for g in order:
-        if all(n <= lack.get(c, 0) for c, n in of[g].items()):
-            out[g] = "heldout"
-            for c, n in of[g].items():
-                lack[c] -= n
-    return out
-
+def split_groups(groups: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
+    """group_key and side, train or heldout: whole groups, smaller ones first and then by a seeded hash, as long as no class exceeds its share of held-out rows. groups: group_key, class, n.
 
-def answer_checks(answers: DataFrame, *, required: bool, longest: int, refusals: Sequence[str], unsafe: Sequence[str]) -> DataFrame:
-    """Violations of an answer's contract: missing citations, citations without evidence, too long, unsafe wording, numbers without evidence. answers: id, answer, citations, evidence, evidence_text."""
-    from ..functions import text as X
+    A group is held out if, for each of its classes, the rows of the groups up to it stay within the class's quota: running sums, which no group has to wait for. To the driver come the classes' totals alone."""
+    from . import relational
 
-    has = lambda terms: F.exists(X.words_of(terms), lambda t: F.contains(F.lower("answer"), t))
-    refused = has(refusals)
-    strange = F.array_except("citations", "evidence")
-    numbers = F.array_except(X.numbers(F.col("answer")), X.numbers(F.col("evidence_text")))
-    v = F.array_compact(F.array(F.when(F.lit(required) & ~refused & (F.size("citations") == 0), F.lit("missing_citation")), F.when(F.size(strange) > 0, F.lit("unknown_citation")), F.when(F.length("answer") > longest, F.lit("too_long")), F.when(has(unsafe), F.lit("unsafe")), F.when(F.size(numbers) > 0, F.lit("unsupported_number"))))
-    return answers.withColumn("violations", F.array_join(v, ",")).withColumn("risk", F.when(F.size(v) == 0, "low").when(F.size(v) == 1, "medium").otherwise("high"))
+    counts = {r["class"]: r["n"] for r in groups.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    lack = quotas(counts, share)
+    sized = groups.groupBy("group_key").agg(F.sum("n").alias("_size"))
+    placed = groups.join(sized, "group_key").withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(seed), "group_key"), 256))
+    running = relational.running_sum(placed, ["class"], ["_size", "_hash", "group_key"], "n", "_run")
+    quota = F.lit(0)
+    for c, n in lack.items():
+        quota = F.when(F.col("class").eqNullSafe(F.lit(c)), n).otherwise(quota)
+    return running.groupBy("group_key").agg(F.bool_and(F.col("_run") <= quota).alias("_held")).select("group_key", F.when(F.col("_held"), "heldout").otherwise("train").alias("side"))
+
+
+def answer_checks(answers: DataFrame, *, longest: int, refusals: Sequence[str], unsafe: Sequence[str], guards: Sequence[str] = (), asks: Sequence[str] = (), phrases: Sequence[str] = (), slack: float = 1.05) -> DataFrame:
+    """Violations and warnings of an answer's contract, whether it passed, and the risk: high with a violation, medium with a warning, else low. answers: query, answer, citations, evidence (ids), evidence_text, needs_evidence, must_cite.
+
+    Violations: a fact without evidence, a citation that is no evidence, no citation, too long (by more than the slack), a phrase of no evidence, quoted terms of the query that the evidence lacks, unsafe wording or no guard where certainty is asked for. Warning: numbers that the evidence lacks. A refusal without evidence passes."""
+    has = lambda column, terms: F.exists(X.words_of(list(terms)), lambda t: F.contains(F.lower(X.text(F.col(column))), t)) if terms else F.lit(False)
+    refused, some = has("answer", refusals), (F.size("evidence") > 0) | (X.text(F.col("evidence_text")) != "")
+    free = F.col("needs_evidence") & ~some & refused
+    numbers = F.array_except(X.numbers(F.regexp_replace("answer", r"\[[^\]]*\]", "")), X.numbers(F.col("evidence_text")))
+    asked = has("query", asks) & ~refused
+    rules = {
+        "no_evidence_fact_answer": F.col("needs_evidence") & ~some, "invalid_citation": F.size(F.array_except("citations", "evidence")) > 0, "missing_citation": F.col("must_cite") & some & (F.size("citations") == 0) & ~refused,
+        "max_chars_exceeded": F.length("answer") > int(longest * slack), "non_evidence_expression": has("answer", phrases), "evidence_not_support_query": ~refused & (F.size(X.unsupported_terms(F.col("query"), F.col("evidence_text"))) > 0),
+        "certainty": asked & has("answer", unsafe) & ~has("answer", guards), "missing_guard": asked & ~has("answer", unsafe) & ~has("answer", guards),
+    }
+    violations = F.array_compact(F.array(*(F.when(~free & F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))
+    warnings = F.array_compact(F.array(F.when(~free & (F.size(numbers) > 0), F.lit("unsupported_number"))))
+    out = answers.withColumns({"violations": violations, "warnings": warnings})
+    return out.withColumns({"passed": F.size("violations") == 0, "risk": F.when(F.size("violations") > 0, "high").when(F.size("warnings") > 0, "medium").otherwise("low")})
 
 
 def winnowed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """key and hashes of a text's runs of length // 2 characters, thinned: of any `length` characters that two texts share, at least one hash is kept in both."""
-    k = length // 2
+    k = max(length // 2, 1)
     width = length - k + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +211,34 @@ def winnowed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(each, f"{key} long, _h long")
 
 
+def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str) -> DataFrame:
+    """text, passage: pairs of a text and a passage that it holds as a whole, both given once each. An empty passage is in every text; nulls are in none.
+
+    Of the thinned hashes of a text's runs of characters, any text that holds a passage has the smallest of the passage's first run of windows, so the tables meet in an equi-join on one hash of each passage, and pairs are verified. Passages are taken by length: those of 16 characters or more together, shorter ones with shorter runs."""
+    texts = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+    passages = passages.select(F.col(passage).alias("passage")).filter("passage IS NOT NULL").distinct()
+    lengths = [1, 2, 4, 8, 16]
+    of = F.lit(0)
+    for n in lengths:
+        of = F.when(F.length("passage") >= n, n).otherwise(of)
+    passages = passages.withColumn("_class", of)
+    present = [r["_class"] for r in passages.select("_class").distinct().collect()]
+    numbered = texts.withColumn("_id", F.xxhash64("text"))
+    out = None
+    for n in sorted(present):
+        some = passages.filter(F.col("_class") == n).drop("_class")
+        if n == 0:
+            pairs = texts.join(some, F.col("passage") == "")  # one row
+        else:
+            held = winnowed(numbered, "_id", "text", n).distinct()
+            keys = winnowed(some.select(F.xxhash64("passage").alias("_pid"), F.substring("passage", 1, n).alias("_start")), "_pid", "_start", n).distinct()
+            met = held.join(keys, "_h").select("_id", "_pid").distinct()
+            pairs = met.join(numbered, "_id").join(some.withColumn("_pid", F.xxhash64("passage")), "_pid").filter(F.contains("text", F.col("passage")))
+        pairs = pairs.select("text", "passage")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out if out is not None else texts.select("text", F.lit(None).cast("string").alias("passage")).limit(0)
+
+
 def large_copies(answers: DataFrame, evidence: DataFrame, length: int = 50) -> DataFrame:
     """Pairs of answer and evidence that share a run of `length` characters. Pairs come from thinned hashes (a join, with repeats taken out on both sides first) and are verified on the texts."""
     a, e = winnowed(answers, "answer_id", "answer", length), winnowed(evidence, "evidence_id", "evidence", length)

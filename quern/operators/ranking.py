@@ -82,6 +82,29 @@ def stale(df: DataFrame, floor: float, shared: Column, exempt: int = 6) -> DataF
     return df.filter((F.col("recency_score") >= floor) | (shared >= exempt))
 
 
+def must_should(df: DataFrame, must: dict[str, str], field: str, terms: Sequence[str], *, most: int = 4, limit: int = 20, order: Sequence[Column] | None = None) -> DataFrame:
+    """Rows that equal all that must be, and whose field has any of the first `most` terms: the newest `limit`. Without terms there are none."""
+    if not terms:
+        return df.limit(0)
+    kept = df
+    for c, v in must.items():
+        kept = kept.filter(F.col(c) == v)
+    any_ = F.exists(X.words_of(list(terms)[:most]), lambda t: F.contains(X.text(F.col(field)), t))
+    return kept.filter(any_).orderBy(*(order or [F.desc("publish_ts"), F.asc("doc_id")])).limit(limit)
+
+
+def keyword_channel(asked: DataFrame, docs: DataFrame, field: str, vocabulary: Sequence[str], *, limit: int = 20) -> DataFrame:
+    """must_should() for many queries at once: query_id, doc_id, pos of the newest `limit` documents whose field has any of a query's terms and, if it names a source, that source. asked: query_id, terms (of the vocabulary), source (null: any). Of each term, and of each term and source, the newest `limit` documents are enough, so queries and documents meet over those alone."""
+    hits = docs.select("doc_id", "source", "publish_ts", F.explode(X.vocabulary_hits(F.col(field), vocabulary)).alias("_t"))
+    newest = lambda *keys: Window.partitionBy("_t", *keys).orderBy(F.desc("publish_ts"), "doc_id")
+    top = lambda *keys: hits.withColumn("_n", F.row_number().over(newest(*keys))).filter(F.col("_n") <= limit).drop("_n")
+    wanted = asked.select("query_id", F.explode("terms").alias("_t"), F.col("source").alias("_s"))
+    any_ = wanted.filter("_s IS NULL").join(top(), "_t").select(Q, "doc_id", "publish_ts")
+    one = wanted.filter("_s IS NOT NULL").withColumnRenamed("_s", "source").join(top("source"), ["_t", "source"]).select(Q, "doc_id", "publish_ts")
+    found = any_.unionByName(one).distinct().filter(F.col("doc_id") != F.col(Q))
+    return ranked(found, F.desc("publish_ts"), F.asc("doc_id"), name="pos").filter(F.col("pos") <= limit).select(Q, "doc_id", "pos")
+
+
 def merged(channels: Sequence[tuple[str, DataFrame]], key: str = "doc_id") -> DataFrame:
     """Channels in order, first wins by key for each query, with the channel that brought a row."""
     out = None

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions import text as X
 
 
@@ -40,6 +41,30 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """The exact row number (from 1) within each key by the order's columns, which must be a total order; a key of any size spreads over many tasks."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", name).drop("_one")
+
+
+def related(df: DataFrame, key: str, group: str, order: Sequence[Column], n: int) -> DataFrame:
+    """For each row the first n others of its group: key, related, rank. Of a group its first n + 1 rows are enough, so a row meets those alone."""
+    first = top_per(df, [group], order, n + 1, "_r").select(group, F.col(key).alias("related"), "_r")
+    both = df.select(key, group).join(first, group).filter(F.col(key) != F.col("related"))
+    return top_per(both, [key], [F.asc("_r")], n).select(key, "related", "rank")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The sum of a value over the rows of a key up to each row, by the order's columns. Rows are range-partitioned by keys and order, so that a key of any size spreads over many tasks; to the sum within a row's part comes that of its key in the parts before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = runtime.written(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    inside = placed.withColumn("_in", F.sum(value).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = placed.groupBy("_part", *keys).agg(F.sum(value).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    same = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))]
+    return inside.join(before, reduce(lambda a, b: a & b, same)).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+
+
 def merge_into(old: DataFrame, new: DataFrame, key: str, overwrite: Sequence[str]) -> DataFrame:
     """An upsert that on conflict takes the named columns from the new row (a null there keeps the old value) and all others from the old one."""
     o, n = old.alias("o"), new.alias("n")
@@ -108,10 +133,13 @@ def multi_key(wanted: DataFrame, stores: Mapping[str, DataFrame], keys: Sequence
 
 
 def two_way_contains(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of which either text contains the other. right is a list of terms: it is broadcast, and a list too long for that is refused."""
-    if right.limit(10_001).count() > 10_000:
-        raise ValueError("the term list exceeds 10,000 rows")
-    return left.join(F.broadcast(right), F.contains(F.lower(F.col(a)), F.lower(F.col(b))) | F.contains(F.lower(F.col(b)), F.lower(F.col(a))))
+    """Rows of left and right of which either text contains the other, letter case aside. Pairs of different texts are found by the runs of characters that the contained one has, whatever the size of either table."""
+    from .evaluation import containing
+
+    texts = lambda df, c: df.select(F.lower(F.col(c)).alias("t")).filter("t IS NOT NULL").distinct()
+    one, other = texts(left, a), texts(right, b)
+    pairs = containing(one, "t", other, "t").select(F.col("text").alias("_a"), F.col("passage").alias("_b")).unionByName(containing(other, "t", one, "t").select(F.col("passage").alias("_a"), F.col("text").alias("_b"))).distinct()
+    return left.join(pairs, F.lower(F.col(a)) == F.col("_a")).join(right, F.lower(F.col(b)) == F.col("_b")).drop("_a", "_b")
 
 
 def recommended(news: DataFrame, order: Sequence[Column], limit: int = 5) -> DataFrame:

@@ -73,12 +73,20 @@ def memory(messages: DataFrame, *, each: int = 160, total: int = 1800) -> DataFr
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "_line"))), lambda x: x["_line"]), "\n").alias("memory"))
 
 
+def hints(messages: DataFrame, topics: Sequence[str]) -> DataFrame:
+    """conv_id, turn, hints: for each user turn the topics of the user turns before it, in order of their names."""
+    seen = F.filter(X.words_of(topics), lambda t: F.contains(F.lower("text"), t))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    told = messages.filter("role = 'user'").withColumn("_t", F.flatten(F.collect_list(seen).over(before)))
+    return told.select("conv_id", "turn", F.array_sort(F.array_distinct("_t")).alias("hints"))
+
+
 def follow_ups(messages: DataFrame, markers: Sequence[str], pronouns: str, hints: DataFrame, least: int = 6) -> DataFrame:
-    """User turns that look like follow-ups, without pronouns where enough remains, with up to six hints of the session before them. hints: conv_id, hints (array)."""
+    """User turns that look like follow-ups, without pronouns where enough remains, with up to six hints of the turns before them. hints: conv_id, turn, hints (array)."""
     u = messages.filter("role = 'user'").filter(F.exists(X.words_of(markers), lambda m: F.contains(F.lower("text"), m)))
     bare = F.regexp_replace("text", pronouns, " ")
     query = F.when(X.signal_chars(bare) >= least, X.collapse(bare)).otherwise(X.collapse(F.col("text")))
-    return u.join(hints, "conv_id", "left").select("conv_id", "turn", F.concat_ws(" ", F.slice(F.coalesce("hints", F.array().cast("array<string>")), 1, 6), query).alias("query"))
+    return u.join(hints, ["conv_id", "turn"], "left").select("conv_id", "turn", F.concat_ws(" ", F.slice(F.coalesce("hints", F.array().cast("array<string>")), 1, 6), query).alias("query"))
 
 
 def selections(messages: DataFrame) -> DataFrame:
