@@ -56,21 +56,28 @@ def session_summaries(spark, d):
     return M.summaries(messages(spark, d), TOPICS)
 
 
-@query("session_memory")
+@query("session_memory", "WITH l AS (SELECT conv_id, turn, role || ': ' || CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 160)) || '...' ELSE f END AS line FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM conversations)), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS c FROM l) SELECT conv_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY turn) AS memory FROM s WHERE c <= 1800 GROUP BY conv_id")
 def session_memory(spark, d):
     return M.memory(messages(spark, d))
 
 
-@query("followup_hints")
+@query("followup_hints", f"""WITH u AS (SELECT conv_id, turn, text, list_filter({TOPIC_LIST}, lambda x: contains(lower(text), x)) AS t FROM conversations WHERE role = 'user'),
+h AS (SELECT a.conv_id, a.turn, a.text, list_sort(list_distinct(flatten(list(b.t) FILTER (WHERE b.t IS NOT NULL)))) AS hints FROM u a LEFT JOIN u b ON b.conv_id = a.conv_id AND b.turn < a.turn GROUP BY 1, 2, 3),
+q AS (SELECT *, regexp_replace(text, '(?i)\\b(it|this|that)\\b', ' ', 'g') AS bare FROM h WHERE contains(lower(text), 'it') OR contains(lower(text), 'this') OR contains(lower(text), 'that'))
+SELECT conv_id, turn, concat_ws(' ', nullif(array_to_string(coalesce(hints, [])[1:6], ' '), ''), CASE WHEN length(regexp_replace(bare, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g')) >= 6 THEN trim(regexp_replace(bare, '\\s+', ' ', 'g')) ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS query FROM q""")
 def followup_hints(spark, d):
     m = messages(spark, d)
-    hints = M.ledger(m, TOPICS).groupBy("conv_id").agg(F.array_sort(F.collect_list("topic")).alias("hints"))
-    return M.follow_ups(m, ["it", "this", "that"], r"(?i)\b(it|this|that)\b", hints)
+    return M.follow_ups(m, ["it", "this", "that"], r"(?i)\b(it|this|that)\b", M.hints(m, TOPICS))
 
 
-@query("ordinal_selections")
+PICKS = "SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN '1. first of ' || conv_id || chr(10) || '2) second' || chr(10) || '3. third' WHEN 'user' THEN CASE WHEN turn % 4 <> 0 THEN 'number ' || (conv_id % 4 + 1) || ' please' ELSE 'none of them' END ELSE text END AS text FROM conversations"
+
+
+@query("ordinal_selections", f"WITH m AS ({PICKS}), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM m) SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'first of ' || conv_id WHEN 1 THEN 'second' WHEN 2 THEN 'third' END AS picked FROM l WHERE role = 'user' AND prior = 'assistant' AND turn % 4 <> 0")
 def ordinal_selections(spark, d):
-    return M.selections(messages(spark, d))
+    """Choices from lists of three: the first, second or third, and a fourth that is not there."""
+    messages(spark, d).createOrReplaceTempView("conversations")
+    return M.selections(spark.sql(PICKS))
 
 
 @query("memory_recall", f"WITH {LEDGER} SELECT conv_id, arg_min(topic, (first_turn, topic)) AS first_topic FROM g GROUP BY conv_id")

@@ -36,7 +36,7 @@ def chunk_flatmap_ids(spark, d):
 
 @query("index_build_estimate", f"WITH f AS (SELECT doc_id, source, {FLAT} AS t FROM documents) SELECT source, count(*) AS docs, CAST(sum(1 + CASE WHEN t = '' THEN 0 ELSE least(8, greatest(CAST(ceil((length(t) - 600) / 480.0) AS INT), 0) + 1) END) AS BIGINT) AS chunks FROM f GROUP BY source")
 def index_build_estimate(spark, d):
-    n = 1 + F.size(X.windows(X.collapse(F.col("text")), 600, 120, 8))
+    n = 1 + X.n_windows(F.length(X.collapse(F.col("text"))), 600, 120, 8)
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(n.cast("long")).alias("chunks"))
 
 
@@ -54,9 +54,23 @@ def flag_examples(spark, d):
     return C.flag_examples(news(spark, d), marks, "doc_id")
 
 
-@query("garbled_documents")
+BROKEN = "CASE doc_id % 10 WHEN 0 THEN chr(65533) || text WHEN 1 THEN repeat(chr(1), 40) || text WHEN 2 THEN repeat('12345 67890 ', 20) WHEN 3 THEN chr(1) || text ELSE text END"
+_GARBLED = "CASE WHEN contains(h, chr(65533)) THEN 'replaced' WHEN odd >= 3 AND odd > 0.02 * length(h) THEN 'control' WHEN length(h) >= 40 AND length(regexp_replace(h, '[^A-Za-z]', '', 'g')) < 0.3 * length(h) THEN 'letterless' END"
+
+
+@query("garbled_documents", f"WITH x AS (SELECT doc_id, {BROKEN} AS t FROM documents), s AS (SELECT doc_id, substr(split_part(t, chr(10), 1), 1, 1000) AS a, substr(t, 1, 1000) AS b FROM x), l AS (SELECT 'title' AS part, a AS h FROM s UNION ALL SELECT 'content', b FROM s), o AS (SELECT *, length(h) - length(regexp_replace(h, '[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\x{{e000}}-\\x{{f8ff}}]', '', 'g')) AS odd FROM l) SELECT part, count({_GARBLED}) AS garbled, count(*) AS n FROM o GROUP BY part")
 def garbled_documents(spark, d):
-    return news(spark, d).agg(F.count_if(X.garbled(F.col("title"))).alias("titles"), F.count_if(X.garbled(F.col("content"))).alias("contents"))
+    """Documents, some of them broken in three ways, by their titles and contents."""
+    i, t = F.col("doc_id") % 10, F.col("text")
+    broken = F.when(i == 0, F.concat(F.lit("\ufffd"), t)).when(i == 1, F.concat(F.lit("\x01" * 40), t)).when(i == 2, F.lit("12345 67890 " * 20)).when(i == 3, F.concat(F.lit("\x01"), t)).otherwise(t)
+    x = table(spark, d, "documents").select(broken.alias("content")).withColumn("title", F.substring_index("content", "\n", 1))
+    parts = x.select(F.explode(F.array(F.struct(F.lit("title").alias("part"), X.garbled(F.col("title")).alias("g")), F.struct(F.lit("content").alias("part"), X.garbled(F.col("content")).alias("g")))).alias("_x"))
+    return parts.groupBy("_x.part").agg(F.count_if(F.col("_x.g")).alias("garbled"), F.count("*").alias("n"))
+
+
+@query("readability_markers", "SELECT doc_id, contains(text, '###')::INT + contains(text, ' | ')::INT + contains(text, 'token')::INT AS n_markers, regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AS cjk FROM documents")
+def readability_markers(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.marker_count(F.col("text"), ["###", " | ", "token"]).alias("n_markers"), X.has_cjk(F.col("text")).alias("cjk"))
 
 
 @query("one_pass_histograms", f"WITH {NEWS}, b AS (SELECT category, source, CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars <= 1000 THEN 'medium' WHEN n_chars <= 5000 THEN 'long' ELSE 'very_long' END AS bucket, year(to_timestamp(publish_ts)) AS year FROM news) SELECT 'category' AS dim, category AS value, count(*) AS n FROM b GROUP BY category UNION ALL SELECT 'source', source, count(*) FROM b GROUP BY source UNION ALL SELECT 'bucket', bucket, count(*) FROM b GROUP BY bucket UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM b GROUP BY year")
@@ -160,7 +174,8 @@ def corpus_verdict(spark, d):
 
 @query("html_visible_text")
 def html_visible_text(spark, d):
-    return table(spark, d, "pages").select("page_id", X.visible_text(F.col("html")).alias("text"))
+    """Both variants: without hidden elements and joined by line breaks, and all text joined by spaces."""
+    return table(spark, d, "pages").select("page_id", X.visible_text(F.col("html")).alias("text"), X.visible_text(F.col("html"), " ", hidden=()).alias("all_text"))
 
 
 @query("url_source_policy", """WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages) SELECT page_id, host, CASE WHEN contains(host, '.org') THEN 'high' WHEN contains(host, 'blog.') THEN 'low' ELSE 'medium' END AS tier, NOT (host = 'example.net' OR ends_with(host, '.example.net')) AS allowed FROM h""")
@@ -184,7 +199,12 @@ def rank_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(X.rank_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("verification_join")
+_TERMS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{3,}'))"
+
+
+@query("verification_join", f"""WITH b AS (SELECT item_id, {_TERMS} AS ts FROM benchmark), n AS (SELECT doc_id, {_TERMS} AS ts FROM documents), p AS (SELECT item_id, unnest(ts) AS t FROM b), q AS (SELECT doc_id, unnest(ts) AS t FROM n), s AS (SELECT item_id, doc_id, count(*) AS shared FROM p JOIN q USING (t) GROUP BY 1, 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM s) WHERE k = 1)
+SELECT item_id AS left_id, doc_id AS right_id, coalesce(shared, 0) AS shared, CASE WHEN len(ts) < 2 THEN 'low_signal' WHEN shared IS NULL THEN 'unverified' WHEN shared >= 2 THEN 'station_matched' ELSE 'conflict' END AS status FROM b LEFT JOIN r USING (item_id)""")
 def verification_join(spark, d):
     """Benchmark passages against documents, by all terms that they share."""
     terms = lambda c: X.verification_terms(F.col(c))

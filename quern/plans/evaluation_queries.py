@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..functions import dates as D
 from ..functions import text as X
+from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import vector as V
@@ -22,9 +25,11 @@ def cases(spark, d):
     """Queries with what was retrieved for them and what counts as gold: vectors of the same label whose id is divisible by seven."""
     e = table(spark, d, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("_l"))
-    found = V.exact_knn(asked, e, 20).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("retrieved"))
-    gold = asked.join(e.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("_v"), F.col("label").alias("_l")), "_l").filter("_v <> query_id").groupBy("query_id").agg(F.collect_list("_v").alias("gold"))
-    df = found.join(gold, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>")))
+    is_gold = (F.col("label") == F.col("_l")) & (F.col("vec_id") % 7 == 0)
+    found = V.exact_knn(asked, e, 20).join(e.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "_l"), "query_id").select("query_id", "_l", "rank", is_gold.alias("g"))
+    found = found.groupBy("query_id", "_l").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "g"))), lambda x: x["g"]).alias("flags"))
+    gold = e.filter("vec_id % 7 = 0").groupBy(F.col("label").alias("_l")).agg(F.count("*").alias("_n"))
+    df = found.join(gold, "_l", "left").withColumn("n_gold", (F.coalesce("_n", F.lit(0)) - (F.col("query_id") % 7 == 0).cast("int")).cast("int"))
     return E.case_metrics(df.withColumns({"route": F.when(F.col("query_id") % 3 == 0, "title").otherwise("detail"), "expected_route": F.when(F.col("query_id") % 4 == 0, "title").otherwise("detail")}))
 
 
@@ -57,7 +62,7 @@ def failure_classes(spark, d):
 SELECT metric, round(o.v, 6) AS old_value, round(n.v, 6) AS new_value, round(round(n.v, 6) - round(o.v, 6), 6) AS delta, CASE metric WHEN 'recall' THEN round(n.v, 6) >= 0.65 WHEN 'latency_p95' THEN round(n.v, 6) <= 1200 ELSE round(n.v, 6) >= 0.94 END AS passed FROM o JOIN n USING (metric)""")
 def ab_gate(spark, d):
     lab = table(spark, d, "labels").agg(F.avg((F.col("quality") == 1).cast("int")).alias("a"), F.avg((F.col("toxic") == 0).cast("int")).alias("b"))
-    ev = table(spark, d, "events").agg(F.expr("percentile(value, 0.95)").alias("a"), F.expr("percentile(value, 0.9)").alias("b"))
+    ev = C.percentiles(table(spark, d, "events").select("value", F.lit(0).alias("_k")), "value", ["_k"], points=(90, 95)).select(F.col("linear_95").alias("a"), F.col("linear_90").alias("b"))
     long = lambda c, route: lab.select(F.lit("recall").alias("metric"), F.round(c, 6).alias("value")).unionByName(ev.select(F.lit("latency_p95").alias("metric"), F.round(c, 6).alias("value"))).unionByName(spark.range(1).select(F.lit("route").alias("metric"), F.lit(route).alias("value")))
     return E.gate(long("a", 0.9), long("b", 0.95), {"recall": 0.65, "latency_p95": 1200, "route": 0.94})
 
@@ -83,22 +88,53 @@ def store_presence(spark, d):
     return E.presence(table(spark, d, "documents"), "doc_id", {"vectors": (table(spark, d, "embeddings"), "vec_id"), "labels": (table(spark, d, "labels"), "doc_id")})
 
 
-@query("gold_evidence_coverage", "WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))) SELECT item_id, count(doc_id) AS n_docs FROM benchmark LEFT JOIN g USING (item_id) GROUP BY item_id")
+@query("gold_evidence_coverage", "WITH g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT item_id, count(doc_id) AS n_docs FROM benchmark LEFT JOIN g USING (item_id) GROUP BY item_id")
 def gold_evidence_coverage(spark, d):
-    """Documents that hold a passage's first 60 characters. The passages, a fixed list, are broadcast; a list too long for that is refused."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("_p"))
-    if b.limit(10_001).count() > 10_000:
-        raise ValueError("the benchmark exceeds 10,000 passages")
-    hits = table(spark, d, "documents").join(F.broadcast(b), F.contains("text", F.col("_p"))).select("item_id", "doc_id")
-    return table(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
+    """Documents that hold a whole passage."""
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    pairs = E.containing(docs, "text", b, "text")
+    n = pairs.join(docs.groupBy("text").agg(F.count("*").alias("_n")), "text").groupBy(F.col("passage").alias("text")).agg(F.sum("_n").alias("_n"))
+    return b.join(n, "text", "left").select("item_id", F.coalesce("_n", F.lit(0)).alias("n_docs"))
 
 
-@query("answer_contract_checks", """WITH a AS (SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, concat_ws(',', CASE WHEN NOT contains(lower(answer), 'sorry') THEN 'missing_citation' END, CASE WHEN length(answer) > 300 THEN 'too_long' END, CASE WHEN contains(lower(answer), 'guarantee') THEN 'unsafe' END) AS violations FROM a""")
+@query("gold_ids_in_corpus", "SELECT item_id, item_id IN (SELECT doc_id FROM documents) AS in_corpus FROM benchmark")
+def gold_ids_in_corpus(spark, d):
+    """Gold ids that the corpus has (semi join) and lacks (anti join)."""
+    b, docs = table(spark, d, "benchmark").select("item_id"), table(spark, d, "documents").select(F.col("doc_id").alias("item_id"))
+    return b.join(docs, "item_id", "left_semi").withColumn("in_corpus", F.lit(True)).unionByName(b.join(docs, "item_id", "left_anti").withColumn("in_corpus", F.lit(False)))
+
+
+WINDOWS = "CASE doc_id % 4 WHEN 0 THEN '2021-05 early' WHEN 1 THEN '2020-11 mid' WHEN 2 THEN '2019-02 late' ELSE '2018-07' END"
+
+
+@query("time_sensitive_labels", """WITH e AS (SELECT doc_id, CAST(to_timestamp(1704067200 - (doc_id * 7919 % 4000) * 86400) AS DATE) AS day FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN DATE '2021-05-01' WHEN 1 THEN DATE '2020-11-11' WHEN 2 THEN DATE '2019-02-21' ELSE DATE '2018-07-01' END AS lo, CASE doc_id % 4 WHEN 0 THEN DATE '2021-05-10' WHEN 1 THEN DATE '2020-11-20' WHEN 2 THEN DATE '2019-02-28' ELSE DATE '2018-07-31' END AS hi FROM e)
+SELECT doc_id, CAST(lo AS VARCHAR) AS "first", CAST(hi AS VARCHAR) AS "last", day BETWEEN lo AND hi AS inside FROM w""")
+def time_sensitive_labels(spark, d):
+    """Whether the evidence's date lies in the window that a label's text names."""
+    from ..sources.tables import news
+
+    lab = table(spark, d, "labels").select("doc_id", F.expr(WINDOWS).alias("_w"))
+    j = lab.join(news(spark, d).select("doc_id", F.to_date(F.timestamp_seconds("publish_ts")).alias("_day")), "doc_id").withColumn("_i", D.third_of_month(F.col("_w")))
+    return j.select("doc_id", F.col("_i.first").cast("string").alias("first"), F.col("_i.last").cast("string").alias("last"), F.col("_day").between(F.col("_i.first"), F.col("_i.last")).alias("inside"))
+
+
+ANSWERS = """SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' [news:' || conv_id || ']' WHEN 1 THEN ' [news:x' || conv_id || ']' ELSE '' END || CASE turn % 3 WHEN 1 THEN ' in 2023' ELSE '' END || CASE conv_id % 9 WHEN 2 THEN ' sorry' ELSE '' END AS answer,
+ CASE WHEN conv_id % 5 = 0 THEN 'tell of "the"' ELSE 'tell me' END || CASE WHEN conv_id % 7 = 0 THEN ' will it rise' ELSE '' END AS query, conv_id % 3 AS kind FROM conversations WHERE role = 'assistant'"""
+
+
+@query("answer_contract_checks", f"""WITH a AS ({ANSWERS}), e AS (SELECT *, CASE kind WHEN 0 THEN '' WHEN 1 THEN answer ELSE 'other 1999' END AS evidence_text, contains(lower(answer), 'sorry') AS refused, list_filter(regexp_extract_all(answer, '\\[(news:[A-Za-z0-9_:.-]+)\\]', 1), lambda x: x <> 'news:' || conv_id OR kind = 0) AS strange, len(regexp_extract_all(answer, '\\[(news:[A-Za-z0-9_:.-]+)\\]', 1)) AS cited, contains(query, 'will it rise') AS asks, contains(lower(answer), 'guarantee') AS unsafe, contains(lower(answer), 'risk') AS guard FROM a),
+v AS (SELECT *, kind = 0 AND refused AS free, len(list_filter(regexp_extract_all(regexp_replace(answer, '\\[[^\\]]*\\]', '', 'g'), '\\d+(?:\\.\\d+)?%?'), lambda x: NOT list_contains(regexp_extract_all(evidence_text, '\\d+(?:\\.\\d+)?%?'), x))) > 0 AS numbers FROM e),
+w AS (SELECT conv_id, turn, CASE WHEN free THEN '' ELSE concat_ws(',', CASE WHEN kind = 0 THEN 'no_evidence_fact_answer' END, CASE WHEN len(strange) > 0 THEN 'invalid_citation' END, CASE WHEN kind <> 0 AND cited = 0 AND NOT refused THEN 'missing_citation' END, CASE WHEN length(answer) > 315 THEN 'max_chars_exceeded' END, CASE WHEN NOT refused AND contains(query, '"the"') AND NOT contains(evidence_text, 'the') THEN 'evidence_not_support_query' END, CASE WHEN asks AND NOT refused AND unsafe AND NOT guard THEN 'certainty' END, CASE WHEN asks AND NOT refused AND NOT unsafe AND NOT guard THEN 'missing_guard' END) END AS violations, CASE WHEN NOT free AND numbers THEN 'unsupported_number' ELSE '' END AS warnings FROM v)
+SELECT conv_id, turn, violations, warnings, violations = '' AS passed, CASE WHEN violations <> '' THEN 'high' WHEN warnings <> '' THEN 'medium' ELSE 'low' END AS risk FROM w""")
 def answer_contract_checks(spark, d):
-    a = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
-    empty = F.array().cast("array<string>")
-    a = a.withColumns({"citations": X.citations(F.col("answer")), "evidence": empty, "evidence_text": F.col("answer")})
-    return E.answer_checks(a, required=True, longest=300, refusals=["sorry"], unsafe=["guarantee"]).select("conv_id", "turn", "violations")
+    """Answers with known and unknown citations, numbers, refusals and questions with quoted terms, against no evidence, the answer's own text, or another one."""
+    table(spark, d, "conversations").createOrReplaceTempView("conversations")
+    a = spark.sql(ANSWERS)
+    ref = F.concat(F.lit("news:"), F.col("conv_id").cast("string"))
+    a = a.withColumns({"citations": X.citations(F.col("answer")), "evidence": F.when(F.col("kind") == 0, F.array().cast("array<string>")).otherwise(F.array(ref)), "evidence_text": F.when(F.col("kind") == 0, "").when(F.col("kind") == 1, F.col("answer")).otherwise("other 1999"), "needs_evidence": F.lit(True), "must_cite": F.lit(True)})
+    done = E.answer_checks(a, longest=300, refusals=["sorry"], unsafe=["guarantee"], guards=["risk"], asks=["will it rise"])
+    return done.select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), F.array_join("warnings", ",").alias("warnings"), "passed", "risk")
 
 
 @query("citation_anti_join", "WITH c AS (SELECT doc_id, 'news:' || doc_id AS ref, 'news:' || (doc_id * 2) AS other FROM documents) SELECT doc_id, other AS unknown FROM c WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
@@ -109,26 +145,35 @@ def citation_anti_join(spark, d):
     return cited.join(docs.select(F.concat(F.lit("news:"), F.col("doc_id").cast("string")).alias("unknown")), "unknown", "left_anti").select("doc_id", "unknown")
 
 
-@query("large_copy")
+@query("large_copy", "WITH a AS (SELECT DISTINCT doc_id, substr(text, i, 50) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - 48)) AS i FROM documents WHERE length(text) >= 50)), e AS (SELECT DISTINCT item_id, substr(text, i, 50) AS w FROM (SELECT item_id, text, unnest(range(1, length(text) - 48)) AS i FROM benchmark WHERE length(text) >= 50)) SELECT DISTINCT doc_id AS answer_id, item_id AS evidence_id FROM a JOIN e USING (w)")
 def large_copy(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("answer"))
     return E.large_copies(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("evidence")))
 
 
-@query("group_split")
+@query("group_split", """WITH RECURSIVE d AS (SELECT doc_id, lang, 't:' || sha1(text) AS a, 't:line ' || sha1(split_part(text, chr(10), 1)) AS b FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT doc_id, a AS tok FROM d UNION SELECT doc_id, b FROM d),
+reach(doc_id, tok) AS (SELECT doc_id, tok FROM t UNION SELECT r.doc_id, t2.tok FROM reach r JOIN t t1 ON t1.tok = r.tok JOIN t t2 ON t2.doc_id = t1.doc_id),
+g AS (SELECT doc_id, min(tok) AS k FROM reach GROUP BY doc_id), n AS (SELECT k, lang, count(*) AS n FROM g JOIN d USING (doc_id) GROUP BY k, lang),
+c AS (SELECT lang, sum(n) AS n, sum(sum(n)) OVER () AS every FROM n GROUP BY lang), x AS (SELECT *, greatest(1, round_even(every * 0.3, 0)) AS total FROM c), y AS (SELECT *, total * n / every AS exact, greatest(0, least(floor(total * n / every), n - 1)) AS base FROM x),
+q AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, lang) <= total - sum(base) OVER () AND base < n - 1 THEN 1 ELSE 0 END AS quota FROM y),
+s AS (SELECT *, sum(n) OVER (PARTITION BY k) AS size FROM n), r AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY size, sha256('0:' || k), k ROWS UNBOUNDED PRECEDING) AS run FROM s),
+h AS (SELECT k, CASE WHEN bool_and(run <= quota) THEN 'heldout' ELSE 'train' END AS side FROM r JOIN q USING (lang) GROUP BY k)
+SELECT side, lang, CAST(sum(n) AS BIGINT) AS n FROM n JOIN h USING (k) GROUP BY side, lang""")
 def group_split(spark, d):
     """Labelled documents that share a text or a first line stay on one side."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.array(F.sha1("text")).alias("tokens"))
+    tokens = F.array(F.sha1("text"), F.concat(F.lit("line "), F.sha1(F.substring_index("text", "\n", 1))))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", "lang", tokens.alias("tokens"))
     g = G.groups_by_token(docs, "doc_id", "tokens").join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id")
-    sides = E.split_groups(g.groupBy("group_key", F.col("lang").alias("class")).agg(F.count("*").alias("n")))
-    table_ = spark.createDataFrame(list(sides.items()) or [("", "")], "group_key string, side string")
-    return g.join(table_, "group_key").groupBy("side", "lang").agg(F.count("*").alias("n"))
+    counted = runtime.written(g.groupBy("group_key", F.col("lang").alias("class")).agg(F.count("*").alias("n")), "groups")
+    return counted.join(E.split_groups(counted), "group_key").groupBy("side", F.col("class").alias("lang")).agg(F.sum("n").alias("n"))
 
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    p = lambda q: F.round(F.expr(f"percentile(value, {q})"), 6)
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count("*").alias("n"))
+    e = table(spark, d, "events")
+    p = C.percentiles(e, "value", ["event_type"], points=(50, 95)).select("event_type", F.round("linear_50", 6).alias("p50"), F.round("linear_95", 6).alias("p95"))
+    return p.join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
 
 
 @query("status_histogram", "SELECT role, count(*) AS n, count(*) FILTER (WHERE length(text) > 200) AS n_long FROM conversations GROUP BY role")
@@ -154,3 +199,25 @@ def expanded_union(spark, d):
     gold = table(spark, d, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     more = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).join(gold, "doc_id", "left_anti")
     return gold.withColumn("origin", F.lit("gold")).unionByName(more.withColumn("origin", F.lit("accepted")))
+
+
+SPLIT = "CASE query_id % 3 WHEN 0 THEN 'heldout' ELSE 'train' END"
+_CHECK_SQL = ", ".join(f"round(avg(CASE (query_id // 50) % {i + 2} WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END), 6) AS {name}" for i, name in enumerate(E.CHECKS.values()))
+
+
+@query("evaluation_report", f"""WITH {CASES}, r AS (SELECT *, {SPLIT} AS split, query_id % 4 <> 0 AS should_answer, query_id % 12 = 0 AS should_refuse, CASE WHEN query_id % 11 <> 0 THEN CASE WHEN query_id % 8 = 0 THEN 'sorry' ELSE 'yes' END END AS answer, query_id % 5 AS cite, query_id % 9 AS m9, query_id * 37 % 1000 / 7.0 AS latency FROM c),
+m AS (SELECT *, NOT should_answer OR should_refuse AS no_answer FROM r), w AS (SELECT *, NOT no_answer AND len(gold) > 0 AS answerable FROM m)
+SELECT split, count(*) AS cases, count(*) FILTER (WHERE answerable) AS answerable, round(avg((hits > 0)::INT) FILTER (WHERE answerable), 6) AS recall_at_k, round(avg(CASE WHEN rk > 0 THEN 1.0 / rk ELSE 0.0 END) FILTER (WHERE answerable), 6) AS mrr, round(avg(hits / len(gold)) FILTER (WHERE answerable), 6) AS evidence_recall,
+ round(avg((cite = 1)::INT) FILTER (WHERE answer IS NOT NULL AND query_id % 2 = 0), 6) AS citation_valid_rate, round(avg((answer = 'sorry')::INT) FILTER (WHERE no_answer AND answer IS NOT NULL), 6) AS no_answer_accuracy, round(avg((answer = 'sorry')::INT) FILTER (WHERE should_refuse AND answer IS NOT NULL), 6) AS refusal_correctness,
+ round(avg(((query_id % 3 = 0) = (query_id % 4 = 0))::INT), 6) AS route_accuracy, round(avg(CASE m9 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END) FILTER (WHERE answer IS NOT NULL), 6) AS validation_pass_rate, round(avg((m9 IN (1, 2))::INT) FILTER (WHERE answer IS NOT NULL AND m9 <> 0), 6) AS hallucination_risk_rate, {_CHECK_SQL},
+ round(avg((query_id % 13 = 0)::INT), 6) AS timeout_rate, round(avg((query_id % 13 <> 0)::INT), 6) AS done_rate, round(avg(latency), 6) AS latency_mean, round(quantile_cont(latency, 0.5), 6) AS latency_p50, round(quantile_cont(latency, 0.95), 6) AS latency_p95 FROM w GROUP BY split""")
+def evaluation_report(spark, d):
+    """All rates, a row for each split. Answers, citations, verdicts and checks follow from the query's id."""
+    q = F.col("query_id")
+    ref = lambda n: F.array(F.lit(n))
+    made = cases(spark, d).withColumns({
+        "split": F.when(q % 3 == 0, "heldout").otherwise("train"), "should_answer": q % 4 != 0, "should_refuse": q % 12 == 0, "answer": F.when(q % 11 != 0, F.when(q % 8 == 0, "sorry").otherwise("yes")),
+        "citations": F.when(q % 5 == 1, ref("a")).when(q % 5 == 2, ref("x")).otherwise(F.array().cast("array<string>")), "evidence": ref("a"), "must_cite": q % 2 == 0, "validated": F.when(q % 9 != 0, q % 9 != 1), "risk": F.when((q % 9).isin(1, 2), "high").otherwise("low"),
+        "latency_ms": q * 37 % 1000 / 7.0, "error": q % 13 == 0, "done": q % 13 != 0, **{c: F.when(F.floor(q / 50) % (i + 2) == 0, True).when(F.floor(q / 50) % (i + 2) == 1, False) for i, c in enumerate(E.CHECKS)},
+    })
+    return E.report(made, ["split"], refusal=F.contains(F.col("answer"), F.lit("sorry")))

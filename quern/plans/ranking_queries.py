@@ -17,7 +17,7 @@ scored AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(qe, embe
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM scored) WHERE pos <= 50)"""
 TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 CAND = f"""{NEWS}, {KNN},
-cand AS (SELECT query_id, n.doc_id, score, pos, n.title, substr(n.content, 1, 600) AS text, n.source, n.category, n.publish_ts, q.title AS query FROM knn JOIN news n ON n.doc_id = vec_id JOIN news q ON q.doc_id = query_id),
+cand AS (SELECT query_id, n.doc_id, score, pos, n.title, n.content AS text, n.source, n.category, n.publish_ts, q.title AS query FROM knn JOIN news n ON n.doc_id = vec_id JOIN news q ON q.doc_id = query_id),
 lex0 AS (SELECT *, {TOKENS.format("query")} AS qt, {TOKENS.format("title || ' ' || text || ' ' || source")} AS dt FROM cand),
 lex AS (SELECT *, CASE WHEN len(qt) = 0 OR len(dt) = 0 THEN 0.0 ELSE len(list_intersect(qt, dt)) / len(qt) END AS lexical_score,
  round(greatest(0.05, least(1.0, 1.0 - CASE WHEN trim(title) = '' THEN 0.55 ELSE 0 END - CASE WHEN length(trim(text)) < 12 THEN 0.20 ELSE 0 END
@@ -115,6 +115,21 @@ def guarded_date_filter(spark, d):
     return K.guarded(P.recalled(spark, d), F.year(F.timestamp_seconds("publish_ts")) == 2020, 5).select("query_id", "doc_id", "fallback")
 
 
+@query("must_should_filter", f"WITH {NEWS} SELECT doc_id, publish_ts FROM news WHERE category = 'en' AND source = 'src1' AND (contains(title, 'the') OR contains(title, 'tion')) ORDER BY publish_ts DESC, doc_id LIMIT 20")
+def must_should_filter(spark, d):
+    return K.must_should(news(spark, d), {"category": "en", "source": "src1"}, "title", ["the", "tion"]).select("doc_id", "publish_ts")
+
+
+ASKED_DATES = "CASE doc_id % 4 WHEN 0 THEN 'news of 2020-07-15' WHEN 1 THEN 'in 2021-03' WHEN 2 THEN 'since 4' ELSE 'of 2019' END"
+
+
+@query("date_match_scores", f"WITH {NEWS}, d AS (SELECT doc_id, doc_id % 4 AS k, strftime(to_timestamp(publish_ts), '%Y-%m-%d') AS day FROM news) SELECT doc_id, CASE k WHEN 0 THEN 2.0 * (day[1:4] = '2020')::INT + 3.0 * (day[6:7] = '07')::INT + 2.0 * (day[9:10] = '15')::INT WHEN 1 THEN 2.0 * (day[1:4] = '2021')::INT + 3.0 * (day[6:7] = '03')::INT WHEN 2 THEN 2.0 * (day[6:7] = '04')::INT ELSE 2.0 * (day[1:4] = '2019')::INT END::DOUBLE AS score, CASE k WHEN 0 THEN day[1:7] = '2020-07' WHEN 1 THEN day[1:7] = '2021-03' WHEN 2 THEN day[6:7] = '04' ELSE day[1:4] = '2019' END AS meets FROM d")
+def date_match_scores(spark, d):
+    """How well publication days match what a request asks for: a day, a month, a month since which, a year."""
+    n = news(spark, d).select("doc_id", F.date_format(F.timestamp_seconds("publish_ts"), "yyyy-MM-dd").alias("day"), D.constraint(F.expr(ASKED_DATES)).alias("c"))
+    return n.select("doc_id", D.match_score(F.col("c"), F.col("day")).alias("score"), D.meets(F.col("c"), F.col("day")).alias("meets"))
+
+
 @query("stale_filter", f"WITH {CAND} SELECT query_id, doc_id, recency_score FROM lex WHERE recency_score >= 0.45")
 def stale_filter(spark, d):
     return K.stale(P.scored(P.recalled(spark, d)), 0.45, F.lit(0)).select("query_id", "doc_id", "recency_score")

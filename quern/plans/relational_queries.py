@@ -50,6 +50,11 @@ def related_top_n(spark, d):
     return R.top_per(news(spark, d), ["category"], [F.desc("views"), F.desc("publish_ts"), F.asc("doc_id")], 5).select("category", "doc_id", "rank")
 
 
+@query("related_excluding_self", f"WITH {NEWS}, t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY views DESC, publish_ts DESC, doc_id) AS r FROM news), j AS (SELECT n.doc_id, t.doc_id AS related, row_number() OVER (PARTITION BY n.doc_id ORDER BY t.r) AS rank FROM news n JOIN t ON t.category = n.category AND t.r <= 6 AND t.doc_id <> n.doc_id) SELECT doc_id, related, rank FROM j WHERE rank <= 5")
+def related_excluding_self(spark, d):
+    return R.related(news(spark, d), "doc_id", "category", [F.desc("views"), F.desc("publish_ts"), F.asc("doc_id")], 5)
+
+
 SEARCH_SQL = f"""WITH {NEWS},
 hit AS (SELECT *, contains(lower(title), 'the') AS t1, contains(lower(title), 'tion') AS t2, contains(lower(content), 'the') AS b1, contains(lower(content), 'tion') AS b2 FROM news),
 titles AS (SELECT *, 0 AS p FROM hit WHERE t1 OR t2 ORDER BY publish_ts DESC, doc_id LIMIT 200),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions import dates as D
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import ranking as K
+from ..operators import routing as R
 from ..operators import vector as V
 from ..sources.tables import NOW, news, table
 
@@ -25,7 +27,7 @@ def recalled(spark: SparkSession, sf_dir: str, k: int = RECALL) -> DataFrame:
     found = V.exact_knn(asked, e, k).select("query_id", F.col("vec_id").alias("doc_id"), "score", F.col("rank").alias("pos"))
     n = news(spark, sf_dir)
     q = n.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    return found.join(n, "doc_id").join(q, "query_id").withColumn("text", F.substring("content", 1, 600))
+    return found.join(n, "doc_id").join(q, "query_id").withColumn("text", F.col("content"))
 
 
 def scored(df: DataFrame, now: int = NOW) -> DataFrame:
@@ -43,22 +45,43 @@ def v1(spark: SparkSession, sf_dir: str, *, strategy: str = "hybrid", limit: int
     return df.filter(F.col("rank") <= limit)
 
 
+#: What requests look for besides their titles.
+VOCABULARY = R.Vocabulary(entities=ENTITIES, timeline=("latest",), sources={"src1": ("first wire",), "src2": ("second wire",)})
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query and what it asks for: each title with a wish for a source, a month, the latest, or nothing more."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")).join(news(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    wish = F.array(F.lit(" in 2020-07"), F.lit(" from the first wire"), F.lit(" the latest"), F.lit(""))[(F.floor(F.col("query_id") / 50) % 4).cast("int")]
+    return asked.withColumn("_i", R.structured(F.concat("query", wish), VOCABULARY)).select("query_id", "query", F.col("_i.entities").alias("entities"), F.get("_i.source.named", F.lit(0)).alias("wanted_source"), F.col("_i.source.aliases").alias("aliases"), F.col("_i.date").alias("date"), F.col("_i.query_type").alias("query_type"))
+
+
 def v2(spark: SparkSession, sf_dir: str, *, limit: int = TOP) -> DataFrame:
-    """Dense recall and title keywords as channels, merged first-wins, additive rules, source diversity, limit."""
-    dense = recalled(spark, sf_dir)
-    n = news(spark, sf_dir)
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id")).join(n, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    # the keyword channel: the query's longest word, looked up among the words of titles
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), F.lit(0)))
-    terms = asked.select("query_id", "query", F.explode(word(F.col("query"))).alias("_w"))
-    longest = terms.withColumn("_n", F.row_number().over(K.Window.partitionBy("query_id").orderBy(F.desc(F.length("_w")), "_w"))).filter("_n = 1").drop("_n")
-    inverted = n.select("doc_id", F.explode(word(F.col("title"))).alias("_w"))
-    hits = inverted.join(longest, "_w").filter(F.col("doc_id") != F.col("query_id")).join(n, "doc_id")
-    keyword = hits.withColumns({"score": F.lit(0.0), "text": F.substring("content", 1, 600), "pos": F.row_number().over(K.Window.partitionBy("query_id").orderBy(F.desc("publish_ts"), "doc_id"))}).filter("pos <= 20").drop("_w")
-    df = K.merged([("dense", dense), ("title_keyword", keyword.select(*dense.columns))]).withColumn("pos", F.col("merged_pos"))
-    return limited(df, limit)
+    """Intent, then dense recall (of the source that is asked for, where it has any) and keywords in titles and texts as channels, merged first-wins, severe low quality and stale items out, the date asked for where enough remains, additive rules with date and source points, source diversity, the source first, limit."""
+    asked, n = runtime.written(requests(spark, sf_dir), "requests"), news(spark, sf_dir)
+    dense = recalled(spark, sf_dir).drop("query").join(asked, "query_id")
+    inside = dense.filter(F.col("source") == F.col("wanted_source")).select("query_id", "doc_id", F.lit(True).alias("_in"))
+    some = inside.select("query_id").distinct().withColumn("_some", F.lit(True))
+    dense = dense.join(some, "query_id", "left").join(inside, ["query_id", "doc_id"], "left").filter("_some IS NULL OR _in").drop("_some", "_in")
+    terms = asked.select("query_id", F.slice("entities", 1, 3).alias("terms"), F.col("wanted_source").alias("source"))
+
+    def keyword(field: str) -> DataFrame:
+        hits = K.keyword_channel(terms, n, field, ENTITIES)
+        return hits.join(n, "doc_id").join(asked, "query_id").withColumns({"score": F.lit(0.0), "text": F.col("content")}).select(*dense.columns)
+
+    df = K.merged([("dense", dense), ("title_keyword", keyword("title")), ("chunk_keyword", keyword("content"))])
+    df = K.guarded(scored(df.withColumn("pos", F.col("merged_pos"))), F.col("quality_score") > 0.35, limit).drop("fallback")
+    df = df.withColumns({"common": X.longest_common(F.col("title"), F.col("query")), "_hay": F.concat_ws(" ", F.date_format(F.timestamp_seconds("publish_ts"), "yyyy-MM-dd"), "title")})
+    df = df.filter((F.col("date.kind") != "recent") | (F.col("recency_score") >= 0.45) | (F.col("common") >= 6))
+    df = K.guarded(df, D.meets(F.col("date"), F.col("_hay")), 5).drop("fallback")
+    return limited(df.withColumns({"date_score": D.match_score(F.col("date"), F.col("_hay")), "source_score": D.source_score(F.col("aliases"), F.col("source"), F.col("title"))}), limit)
 
 
 def limited(df: DataFrame, limit: int) -> DataFrame:
-    ready = df.withColumns({"entities": X.vocabulary_hits(F.col("query"), ENTITIES), "chunk": F.col("text"), "common": X.longest_common(F.col("title"), F.col("query")), "date_score": F.lit(0.0), "source_score": F.when(F.col("source") == "src1", 3.0).otherwise(0.0), "analysis_score": F.lit(0.0), "chunk_type": F.lit("summary")})
-    return K.diversified(K.light_rules(ready)).filter(F.col("final_rank") <= limit)
+    """Additive rules, diversity, and the source that is asked for first."""
+    given = lambda name, value: F.col(name) if name in df.columns else value
+    ready = df.withColumns({"entities": given("entities", X.vocabulary_hits(F.col("query"), ENTITIES)), "chunk": F.col("text"), "common": given("common", X.longest_common(F.col("title"), F.col("query"))), "date_score": given("date_score", F.lit(0.0)), "source_score": given("source_score", F.when(F.col("source") == "src1", 3.0).otherwise(0.0)), "analysis_score": F.lit(0.0), "chunk_type": F.lit("summary")})
+    ranked = K.diversified(K.light_rules(ready))
+    if "wanted_source" in df.columns:
+        ranked = K.preferred_first(ranked.drop("rank").withColumn("pos", F.col("final_rank")), F.coalesce(F.col("source") == F.col("wanted_source"), F.lit(False))).withColumn("final_rank", F.col("rank"))
+    return ranked.filter(F.col("final_rank") <= limit)
