@@ -129,14 +129,15 @@ def test_merge_keeps_what_is_not_overwritten(spark):
 
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(["x", "b", "a"], ["a", "b"])], "retrieved array<string>, gold array<string>")
-    got = E.metrics_a(E.case_metrics(df)).first()
+    got = E.metrics_a(E.case_metrics(E.flagged(df))).first()
     assert (got["recall_at_k"], got["mrr"], got["evidence_recall"]) == (1.0, 0.5, 1.0)
 
 
 def test_split_keeps_groups_and_quotas(spark):
     rows = [(f"g{i}", "abc"[i % 3], 1 + i % 2) for i in range(40)]
-    sides = E.split_groups(spark.createDataFrame(rows, "group_key string, class string, n int"))
-    assert sides == E.split_groups(spark.createDataFrame(rows[::-1], "group_key string, class string, n int"))
+    split = lambda rows: {x["group_key"]: x["side"] for x in E.split_groups(spark.createDataFrame(rows, "group_key string, class string, n int")).collect()}
+    sides = split(rows)
+    assert sides == split(rows[::-1]) and set(sides) == {g for g, *_ in rows}
     held = sum(n for g, _, n in rows if sides[g] == "heldout")
     assert 0.2 < held / sum(n for *_, n in rows) <= 0.31
 
@@ -207,3 +208,56 @@ def test_near_duplicates_in_two_passes(spark, tmp_path):
         want |= {tuple(sorted((x[0], y[0]))) for i, x in enumerate(placed) for y in placed[i + 1 : i + 5] if x[1] != y[1] and ratio(value(x[1]), value(y[1])) >= least}
     got = [(r["a"], r["b"]) for r in catalogue.queries()["near_dup_pairs"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and (0, day) in want and (0, 3 * day) in want
+
+
+def test_numbers_and_sums_of_hot_keys(spark):
+    r = random.Random(3)
+    rows = [(r.choice(("a", "a", "a", "b", None)), r.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(5)
+    got = {x["id"]: (x["n"], x["s"]) for x in R.running_sum(R.numbered(df, ["k"], ["v", "id"], "n"), ["k"], ["v", "id"], "v", "s").collect()}
+    want, seen = {}, {}
+    for k, v, i in sorted(rows, key=lambda x: (x[1], x[2])):
+        n, s = seen.get(k, (0, 0))
+        seen[k] = want[i] = (n + 1, s + v)
+    assert got == want
+
+
+def test_containment_of_passages_of_any_length(spark):
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("ab é") for _ in range(n))
+    texts = [text(r.randint(0, 120)) for _ in range(60)] + ["", None]
+    passages = [text(n) for n in (1, 2, 3, 4, 5, 7, 9, 15, 17, 40)] + ["", None] + [t[k : k + n] for t, k, n in zip(texts[:20], range(20), (3, 8, 16, 20, 33) * 4)]
+    a, b = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(p,) for p in passages], "p string")
+    got = sorted(map(tuple, E.containing(a, "t", b, "p").collect()))
+    assert got == sorted({(t, p) for t in texts for p in passages if t is not None and p is not None and p in t})
+    assert E.containing(a, "t", b.limit(0), "p").count() == 0
+
+
+def test_garbled_texts(spark):
+    values = ["fine words here", "bad \ufffd sign", "\x01\x02\x03" + "a" * 20, "\x01" + "a" * 200, "1234567890 " * 6, "12 34", "\u65b0\u95fb" + " 12" * 30, "", None]
+    assert [one(spark, v, X.garbled) for v in values] == [False, True, True, False, True, False, False, False, False]
+
+
+def test_visible_text_decodes_all_references(spark):
+    page = "<p>a &eacute;&#233;&#xe9; &lt;b&gt; &hellip;</p><script>x</script><p>c &#99999999999;</p>"
+    assert one(spark, page, X.visible_text) == "a \u00e9\u00e9\u00e9 <b> \u2026\nc \ufffd"
+    assert one(spark, page, lambda c: X.visible_text(c, " ", hidden=())) == "a \u00e9\u00e9\u00e9 <b> \u2026 x c \ufffd"
+
+
+def test_hints_come_from_earlier_turns(spark):
+    m = spark.createDataFrame([(1, 0, "user", "of rates"), (1, 1, "assistant", "banks"), (1, 2, "user", "this one"), (1, 4, "user", "and it, banks")], "conv_id long, turn long, role string, text string")
+    got = M.follow_ups(m, ["it", "this"], r"(?i)\b(it|this)\b", M.hints(m, ["rates", "banks"])).orderBy("turn").collect()
+    assert [(r["turn"], r["query"]) for r in got] == [(2, "rates this one"), (4, "rates and , banks")]
+
+
+def test_keyword_channel_is_the_filter_for_each_query(spark):
+    r = random.Random(1)
+    docs = [(i, f"s{i % 3}", r.randrange(40), " ".join(r.sample(["bank", "rate", "gold", "none"], 2))) for i in range(200)]
+    n = spark.createDataFrame(docs, "doc_id int, source string, publish_ts int, title string")
+    asked = [(1000, ["bank", "gold"], None), (1001, ["rate"], "s1"), (1002, [], None)]
+    got = {}
+    for x in K.keyword_channel(spark.createDataFrame(asked, "query_id int, terms array<string>, source string"), n, "title", ["bank", "rate", "gold"], limit=7).orderBy("pos").collect():
+        got.setdefault(x["query_id"], []).append(x["doc_id"])
+    for q, terms, source in asked:
+        must = {"source": source} if source else {}
+        assert got.get(q, []) == [x["doc_id"] for x in K.must_should(n, must, "title", terms, limit=7).collect()]
