@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import dates as D
 from ..functions import text as X
 from . import relational
 
@@ -28,14 +29,15 @@ def document_chunks(docs: DataFrame, *, size: int = 600, overlap: int = 120, mos
     return out.withColumns({"chunk_key": key, "point_id": X.stable_id(key), "embed_text": F.concat_ws("\n", "title", "chunk_text")})
 
 
-def flags(noise: Sequence[str] = ()) -> dict[str, Column]:
-    """Quality flags of a document with title and content."""
+def flags(noise: Sequence[str] = (), date: Column | None = None, as_of: str = "2024-01-31") -> dict[str, Column]:
+    """Quality flags of a document with title and content, and the bad states of its date as text if one is given. An empty content is not a short one."""
     t, c = X.strip(X.text(F.col("title"))), X.strip(X.text(F.col("content")))
     n = F.length(c)
     return {
-        "empty_title": t == "", "empty_content": c == "", "under_80": n < 80, "under_200": n < 200, "under_500": n < 500,
+        "empty_title": t == "", "empty_content": c == "", **{f"under_{k}": (n > 0) & (n < k) for k in (80, 200, 500)},
         "garbled_title": X.garbled(F.col("title")), "garbled_content": X.garbled(F.col("content")),
         "html_residue": c.rlike(r"(?i)<(p|div|br|span|a|img|script)\b"), "url_residue": c.rlike(r"https?://"), "tail_noise": X.tail_noise(F.col("content"), noise),
+        **({} if date is None else {f"date_{s}": D.parsed(date, as_of)["status"] == s for s in ("missing", "unparseable", "too_old", "future")}),
     }
 
 

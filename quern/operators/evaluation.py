@@ -186,6 +186,67 @@ def answer_checks(answers: DataFrame, *, longest: int, refusals: Sequence[str],
     return out.withColumns({"passed": F.size("violations") == 0, "risk": F.when(F.size("violations") > 0, "high").when(F.size("warnings") > 0, "medium").otherwise("low")})
 
 
+def keyword_gold(cases: DataFrame, docs: DataFrame, key: str, keywords: str, title: str, doc: str) -> DataFrame:
+    """key, doc: the documents whose title has any of a case's keywords, letter case aside, as rows (a set has no bound). Titles and keywords meet as in containing(), in an equi-join."""
+    wanted = cases.select(key, F.explode(F.transform(keywords, F.lower)).alias("passage")).filter("passage <> ''").distinct()
+    titles = docs.select(doc, F.lower(F.col(title)).alias("text"))
+    pairs = containing(titles, "text", wanted, "passage")
+    return wanted.join(pairs, "passage").select(key, "text").distinct().join(titles, "text").select(key, doc)
+
+
+def diagnosed(rows: DataFrame, diagnostics: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of their diagnostics (prefixed diag_; of several for a key the first by all columns) and has_diagnosis; rows without any stay."""
+    from . import relational
+
+    fields = [c for c in diagnostics.columns if c != key]
+    one = relational.latest(diagnostics, [key], [F.col(c).asc_nulls_last() for c in fields])
+    one = one.select(key, *(F.col(c).alias(f"diag_{c}") for c in fields), F.lit(True).alias("_has"))
+    return rows.join(one, key, "left").withColumn("has_diagnosis", F.coalesce("_has", F.lit(False))).drop("_has")
+
+
+def existence_summary(found: DataFrame) -> DataFrame:
+    """section, name, n: distinct references by status, and by store that has them. found: what presence() gives."""
+    status = found.groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n")).withColumn("section", F.lit("status"))
+    stores = found.select(F.explode(F.split("present_in", ",")).alias("name")).filter("name <> ''").groupBy("name").agg(F.count("*").alias("n")).withColumn("section", F.lit("store"))
+    return status.unionByName(stores).select("section", "name", "n")
+
+
+def scenario_coverage(cases: DataFrame, scenario: str, required: Sequence[str]) -> DataFrame:
+    """scenario, n, required, missing: cases of each scenario (null counts as ''), and the required ones of which there is none."""
+    have = cases.groupBy(F.coalesce(scenario, F.lit("")).alias("scenario")).agg(F.count("*").alias("n"))
+    must = cases.sparkSession.range(1).select(F.explode(X.words_of(list(required))).alias("scenario")).withColumn("required", F.lit(True))
+    both = have.join(must, "scenario", "full").select("scenario", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("required", F.lit(False)).alias("required"))
+    return both.withColumn("missing", F.col("required") & (F.col("n") == 0))
+
+
+def readability(rows: DataFrame, fallback: DataFrame, key: str, text: str, *, marks: int = 4) -> DataFrame:
+    """One row of counters: rows with and without a text (a blank one is replaced by that of the fallback's row), with CJK, with replacement characters, with `marks` or more question marks in a row, garbled; blocking rows have no text, a replacement character or such marks, noted ones are garbled alone."""
+    spare = fallback.groupBy(key).agg(F.max(text).alias("_spare"))
+    t = F.coalesce(F.nullif(X.strip(X.text(F.col(text))), F.lit("")), X.strip(X.text(F.col("_spare"))))
+    df = rows.join(spare, key, "left").withColumn("_t", t).withColumns({"_none": F.col("_t") == "", "_lost": F.contains("_t", F.lit("\ufffd")), "_marks": F.contains("_t", F.lit("?" * marks)), "_cjk": X.has_cjk(F.col("_t"))})
+    df = df.withColumns({"_block": F.col("_none") | F.col("_lost") | F.col("_marks"), "_bad": ~F.col("_none") & X.garbled(F.col("_t"))})
+    counts = {"with_text": ~F.col("_none"), "without_text": F.col("_none"), "with_cjk": F.col("_cjk"), "replacement_char": F.col("_lost"), "question_marks": F.col("_marks"), "garbled": F.col("_bad"), "blocking": F.col("_block"), "noted": F.col("_bad") & ~F.col("_block")}
+    return df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def completeness(samples: DataFrame, required: Sequence[str], rates: Mapping[str, Column], errors: Column, *, source: str) -> DataFrame:
+    """One row: samples, sources, the share of required fields that are filled, the share of samples for which each of the rates holds, and errors."""
+    filled = sum((F.count_if(X.strip(X.text(F.col(c).cast("string"))) != "") for c in required), F.lit(0))
+    share = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
+    whole = share(F.try_divide(filled, F.count("*") * len(required)))
+    return samples.agg(F.count("*").alias("samples"), F.count_distinct(F.nullif(X.text(F.col(source)), F.lit(""))).alias("sources"), whole.alias("required_rate"), *(share(F.avg(c.cast("double"))).alias(n) for n, c in rates.items()), F.count_if(errors).alias("errors"))
+
+
+def gated(summary: DataFrame, least: Mapping[str, float], most: Mapping[str, float]) -> DataFrame:
+    """condition, passed: a summary's figures against least and greatest values, and ready: whether all hold."""
+    held = {**{f"{n}_at_least": F.col(n) >= v for n, v in least.items()}, **{f"{n}_at_most": F.col(n) <= v for n, v in most.items()}}
+    ready = F.lit(True)
+    for c in held.values():
+        ready = ready & c
+    rows = F.array(*(F.struct(F.lit(n).alias("condition"), c.alias("passed")) for n, c in [*held.items(), ("ready", ready)]))
+    return summary.select(F.explode(rows).alias("_x")).select("_x.*")
+
+
 def winnowed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """key and hashes of a text's runs of length // 2 characters, thinned: of any `length` characters that two texts share, at least one hash is kept in both."""
     k = max(length // 2, 1)

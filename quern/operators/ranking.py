@@ -93,6 +93,21 @@ def must_should(df: DataFrame, must: dict[str, str], field: str, terms: Sequence
     return kept.filter(any_).orderBy(*(order or [F.desc("publish_ts"), F.asc("doc_id")])).limit(limit)
 
 
+def metadata_filter(df: DataFrame, *, chunk_type: str | None = None, sources: Sequence[str] = (), parent: int | None = None) -> DataFrame:
+    """Rows of the chunk type, of the first of the sources' aliases and of the parent; what is not given does not filter. All three reach a Parquet scan."""
+    for column, value in (("chunk_type", chunk_type), ("source", sources[0] if sources else None), ("doc_id", parent)):
+        df = df if value is None else df.filter(F.col(column) == value)
+    return df
+
+
+def carried(asked: DataFrame, chunks: DataFrame, *, most: int = 8, per_id: int = 2, floor: float = 1.0) -> DataFrame:
+    """Evidence of earlier turns as candidates: of the first `most` of each query's ids (each once, in their order) the first `per_id` chunks, scored `floor` at least. asked: query_id, ids; chunks: doc_id, chunk_type, chunk_index, score (null: the floor)."""
+    ids = asked.select(Q, F.posexplode(F.array_distinct(F.slice("ids", 1, most))).alias("pos", "doc_id")).filter("doc_id IS NOT NULL")
+    some = chunks.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = some.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", F.desc("chunk_type")))).filter(F.col("_n") <= per_id).drop("_n")
+    return ids.join(first, "doc_id").withColumn("score", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(floor)))
+
+
 def keyword_channel(asked: DataFrame, docs: DataFrame, field: str, vocabulary: Sequence[str], *, limit: int = 20) -> DataFrame:
     """must_should() for many queries at once: query_id, doc_id, pos of the newest `limit` documents whose field has any of a query's terms and, if it names a source, that source. asked: query_id, terms (of the vocabulary), source (null: any). Of each term, and of each term and source, the newest `limit` documents are enough, so queries and documents meet over those alone."""
     hits = docs.select("doc_id", "source", "publish_ts", F.explode(X.vocabulary_hits(F.col(field), vocabulary)).alias("_t"))

@@ -91,6 +91,21 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
+def live_owner(tokens: DataFrame, owners: DataFrame, token: str, owner: str, until: str, now: Column) -> DataFrame:
+    """token and the owner's row, for tokens that are not over by now; a token that is over, or whose owner is gone, has none."""
+    live = tokens.filter(F.col(until) >= now).select(token, F.col(owner).alias("_o"))
+    return live.join(owners, F.col("_o") == F.col(owner)).drop("_o")
+
+
+def incremental(old: DataFrame, new: DataFrame, kinds: Mapping[str, int], *, kind: str, key: str, default: int) -> DataFrame:
+    """The rows of new that a load adds: keys that old lacks (of rows that share one the first by all columns), with category_id for their kind, the default for an unknown one."""
+    category = F.lit(default)
+    for name, number in kinds.items():
+        category = F.when(F.col(kind) == name, number).otherwise(category)
+    fresh = latest(new, [key], [F.col(c).asc_nulls_last() for c in new.columns])
+    return fresh.join(old.select(key), key, "left_anti").withColumn("category_id", category)
+
+
 def any_contains(columns: Sequence[str], terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t.lower())) for c in columns for t in terms))
 

@@ -40,15 +40,25 @@ def index_build_estimate(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(n.cast("long")).alias("chunks"))
 
 
-@query("quality_flags", """WITH n AS (SELECT split_part(text, chr(10), 1) AS title, text AS content FROM documents), s AS (SELECT *, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c FROM n)
-SELECT flag, n FROM (SELECT count(*) FILTER (WHERE trim(title) = '') AS empty_title, count(*) FILTER (WHERE c = '') AS empty_content, count(*) FILTER (WHERE length(c) < 80) AS under_80, count(*) FILTER (WHERE length(c) < 200) AS under_200, count(*) FILTER (WHERE length(c) < 500) AS under_500,
- count(*) FILTER (WHERE regexp_matches(c, '(?i)<(p|div|br|span|a|img|script)\\b')) AS html_residue, count(*) FILTER (WHERE regexp_matches(c, 'https?://')) AS url_residue, count(*) FILTER (WHERE contains(right(content, 160), 'reserved')) AS tail_noise FROM s) UNPIVOT (n FOR flag IN (empty_title, empty_content, under_80, under_200, under_500, html_residue, url_residue, tail_noise))""")
+ODD = "length({0}) - length(regexp_replace({0}, '[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\x{{e000}}-\\x{{f8ff}}]', '', 'g'))"
+IS_GARBLED = "(contains({0}, chr(65533)) OR ({1} >= 3 AND {1} > 0.02 * length({0})) OR (length({0}) >= 40 AND NOT regexp_matches({0}, '[\\x{{4e00}}-\\x{{9fff}}]') AND length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) < 0.3 * length({0})))"
+#: Dates as texts in all states, by id.
+DATES = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '2023-02-15' WHEN 2 THEN '2023-02-30' WHEN 3 THEN '2030/01/05' ELSE '1900-01-01' END"
+_FLAGS = {
+    "empty_title": "trim(title) = ''", "empty_content": "c = ''", **{f"under_{k}": f"length(c) BETWEEN 1 AND {k - 1}" for k in (80, 200, 500)}, "garbled_title": IS_GARBLED.format("a", "oa"), "garbled_content": IS_GARBLED.format("b", "ob"),
+    "html_residue": "regexp_matches(c, '(?i)<(p|div|br|span|a|img|script)\\b')", "url_residue": "regexp_matches(c, 'https?://')", "tail_noise": "contains(right(content, 160), 'reserved')",
+    **{f"date_{s}": f"doc_id % 5 = {i}" for s, i in (("missing", 0), ("unparseable", 2), ("future", 3), ("too_old", 4))},
+}
+
+
+@query("quality_flags", f"""WITH n AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS content FROM documents), s AS (SELECT *, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c, substr(title, 1, 1000) AS a, substr(content, 1, 1000) AS b FROM n),
+o AS (SELECT *, {ODD.format("a")} AS oa, {ODD.format("b")} AS ob FROM s) SELECT flag, n FROM (SELECT {", ".join(f"count(*) FILTER (WHERE {x}) AS {k}" for k, x in _FLAGS.items())} FROM o) UNPIVOT (n FOR flag IN ({", ".join(_FLAGS)}))""")
 def quality_flags(spark, d):
-    marks = {k: v for k, v in C.flags(["reserved"]).items() if not k.startswith("garbled")}
-    return C.flag_counts(news(spark, d), marks)
+    """All fourteen flags in one pass."""
+    return C.flag_counts(news(spark, d), C.flags(["reserved"], F.expr(DATES)))
 
 
-@query("flag_examples", "WITH n AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS c FROM documents), l AS (SELECT doc_id, 'under_80' AS flag FROM n WHERE length(c) < 80 UNION ALL SELECT doc_id, 'under_200' FROM n WHERE length(c) < 200) SELECT doc_id, flag, n FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY doc_id) AS n FROM l) WHERE n <= 5")
+@query("flag_examples", "WITH n AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS c FROM documents), l AS (SELECT doc_id, 'under_80' AS flag FROM n WHERE length(c) BETWEEN 1 AND 79 UNION ALL SELECT doc_id, 'under_200' FROM n WHERE length(c) BETWEEN 1 AND 199) SELECT doc_id, flag, n FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY doc_id) AS n FROM l) WHERE n <= 5")
 def flag_examples(spark, d):
     marks = {k: v for k, v in C.flags().items() if k in ("under_80", "under_200")}
     return C.flag_examples(news(spark, d), marks, "doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -56,6 +56,29 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.withColumn("_i", R.structured(F.concat("query", wish), VOCABULARY)).select("query_id", "query", F.col("_i.entities").alias("entities"), F.get("_i.source.named", F.lit(0)).alias("wanted_source"), F.col("_i.source.aliases").alias("aliases"), F.col("_i.date").alias("date"), F.col("_i.query_type").alias("query_type"))
 
 
+#: What requests of routed retrieval look for: the same sources, and a topic with a collection of its own.
+ROUTED = R.Vocabulary(entities=ENTITIES, timeline=("latest",), sources=VOCABULARY.sources, topics=("tion",))
+
+
+def v1_routed(spark: SparkSession, sf_dir: str, *, limit: int = TOP) -> DataFrame:
+    """Route and collection of each request, recall within its collection (topical requests search documents of one category, others all), the source that is asked for where recall has any of it, hybrid ranking, severe low quality out where enough remains, stale items out for timelines, the source first, limit."""
+    n, e = news(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    wish = F.array(F.lit(" in 2020-07"), F.lit(" from the first wire"), F.lit(" the latest"), F.lit(""))[(F.floor(F.col("query_id") / 50) % 4).cast("int")]
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding").join(n.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")), "query_id")
+    ask = F.concat("query", wish)
+    asked = runtime.written(asked.withColumns({"route": R.route(ask, ROUTED)["route"], "collection": R.collection(ask, ROUTED), "wanted": F.get(R.sources_in(ask, ROUTED)["aliases"], F.lit(0))}), "requests")
+    topical = e.join(n.filter("category = 'en'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    of = lambda name: asked.filter(F.col("collection") == name).select("query_id", "embedding")
+    found = V.exact_knn(of("topic"), topical, RECALL).unionByName(V.exact_knn(of("default"), e, RECALL)).select("query_id", F.col("vec_id").alias("doc_id"), "score", F.col("rank").alias("pos"))
+    df = found.join(n, "doc_id").join(asked.drop("embedding"), "query_id").withColumn("text", F.col("content"))
+    hit = F.coalesce(F.col("source") == F.col("wanted"), F.lit(False))
+    df = df.withColumn("_some", F.bool_or(hit).over(Window.partitionBy("query_id"))).filter(hit | ~F.col("_some")).drop("_some")
+    df = K.by_strategy(scored(df), "hybrid")
+    df = K.guarded(df.withColumn("pos", F.col("rank")), F.col("quality_score") > 0.35, 5)
+    df = df.filter((F.col("route") != "timeline") | (F.col("recency_score") >= 0.45)).drop("rank")
+    return K.preferred_first(df, F.coalesce(F.col("source") == F.col("wanted"), F.lit(False))).filter(F.col("rank") <= limit)
+
+
 def v2(spark: SparkSession, sf_dir: str, *, limit: int = TOP) -> DataFrame:
     """Intent, then dense recall (of the source that is asked for, where it has any) and keywords in titles and texts as channels, merged first-wins, severe low quality and stale items out, the date asked for where enough remains, additive rules with date and source points, source diversity, the source first, limit."""
     asked, n = runtime.written(requests(spark, sf_dir), "requests"), news(spark, sf_dir)

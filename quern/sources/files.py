@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import io
 import re
+import time
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..operators.relational import numbered
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -23,6 +28,20 @@ def parse_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(~bad).select("_r.*").drop("_corrupt"), parsed.filter(bad).select("value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of text files. Splits are counted where they lie, so a file of any size is read by many tasks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    return numbered(runtime.written(lines, "lines"), ["_path"], ["_block", "_id"], "line").select("file", "line", "value")
+
+
+def read_jsonl_errors(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their file and line, and an error for each line that is no object: file, line, error. Blank lines are in neither."""
+    parsed = numbered_lines(spark, path).filter(F.trim("value") != "").withColumn("_r", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
+    rows = parsed.filter(~bad).select("_r.*", F.col("file").alias("_file"), F.col("line").alias("_line")).drop("_corrupt")
+    return rows, parsed.filter(bad).select("file", "line", F.format_string("line %d: not an object", "line").alias("error"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, strict: bool = False, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows and bad lines; strict: a bad line fails the job."""
     if strict:
@@ -81,11 +100,28 @@ def read_texts(spark: SparkSession, path: str, hour: int = 19) -> DataFrame:
     return df.withColumn("time", F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")) + F.expr(f"INTERVAL {hour} HOURS"))
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
+def discovered(spark: SparkSession, folder: str, patterns: Sequence[str], prefer: str = "") -> list[str]:
+    """Files below a folder whose name fits any of the patterns, each once: names with the preferred word first, then shorter paths, then by path."""
+    name = lambda p: p.rsplit("/", 1)[-1]
+    fit = {p for p in listed(spark, folder) if any(fnmatch.fnmatchcase(name(p), x) for x in patterns)}
+    return sorted(fit, key=lambda p: (prefer.lower() not in name(p).lower(), len(p), p))
+
+
 def by_year(spark: SparkSession, path: str, years: list[int], pattern: str = "*.parquet") -> DataFrame:
-    """Files whose name has one of the years; lock files (~$...) are not read."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return df.filter(~name.startswith("~$") & F.regexp_extract(name, r"((?:19|20)\d{2})", 1).isin(*map(str, years)))
+    """path and content of the files whose name has one of the years; lock files (~$...) and other years are never opened."""
+    year = lambda n: re.search(r"(?:19|20)\d{2}", n)
+    fit = [p for p in discovered(spark, path, [pattern]) if not (n := p.rsplit("/", 1)[-1]).startswith("~$") and year(n) and int(year(n)[0]) in years]
+    files = spark.read.format("binaryFile")
+    return files.load(fit) if fit else files.load(path).limit(0)
 
 
 def sheet_rows(data: bytes) -> Iterator[list[str]]:
@@ -147,6 +183,43 @@ def overwrite_part(df: DataFrame, path: str, column: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
+def target(df: DataFrame, path: str, *, recreate: bool = False, append: bool = False, dimension: tuple[str, int] | None = None) -> None:
+    """Write a table: made new, emptied and made anew, or appended to; one that exists is refused otherwise. dimension: a vector column and its length, which every row must have, or nothing is written."""
+    if dimension is not None:
+        column, size = dimension
+        if not df.filter(F.col(column).isNull() | (F.size(column) != size)).isEmpty():
+            raise ValueError(f"a vector of {column} is not of length {size}")
+    df.write.mode("overwrite" if recreate else "append" if append else "errorifexists").parquet(path)
+
+
+def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame], *, seconds: int = 3600, now: float | None = None) -> DataFrame:
+    """A result that was kept under a key less than `seconds` ago, else made and kept for the next reader. Whatever goes wrong with the folder is a miss: the result is then made and not kept. Entries that are over stay until drop_cached()."""
+    now = time.time() if now is None else now
+    kept = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}"
+    try:
+        times = [int(p.rsplit("/at=", 1)[1].split("/")[0]) for p in listed(spark, kept) if "/at=" in p and p.endswith("/_SUCCESS")]
+    except Exception:  # no entry, or no folder
+        times = []
+    fresh = [t for t in times if 0 <= now * 1000 - t < seconds * 1000]
+    if fresh:
+        try:
+            return spark.read.parquet(f"{kept}/at={max(fresh)}")
+        except Exception:  # dropped meanwhile
+            pass
+    df = make()
+    try:
+        df.write.mode("overwrite").parquet(f"{kept}/at={int(now * 1000)}")
+        return spark.read.schema(df.schema).parquet(f"{kept}/at={int(now * 1000)}")
+    except Exception:  # the folder cannot be written
+        return df
+
+
+def drop_cached(spark: SparkSession, folder: str, key: str) -> None:
+    """Forget what is kept under a key."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def digest(df: DataFrame, key: str) -> str:
     """A digest of all rows that does not depend on their order or place."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
@@ -155,7 +228,7 @@ def digest(df: DataFrame, key: str) -> str:
 
 
 def promote(spark: SparkSession, staged: str, official: str, backup: str, *, confirm: str, blockers: DataFrame | None = None) -> dict:
-    """Put a staged table in the official one's place: only with the token, rows to promote and no blocker; the old table is kept, and the digest of what was written is told."""
+    """Put a staged table in the official one's place: only with the token, rows to promote and no blocker; the old table is kept, and the digest of what was written is told. The new table is written beside the old one and takes its place by renaming, so that a promotion which breaks off leaves one of them whole."""
     if confirm != "promote":
         raise PermissionError("the confirmation token is missing")
     new = spark.read.parquet(staged)
@@ -164,12 +237,20 @@ def promote(spark: SparkSession, staged: str, official: str, backup: str, *, con
     if blockers is not None and not blockers.isEmpty():
         raise ValueError("validation has blockers")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(official)
+    at, beside, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (official, f"{official}.promoting", f"{official}.replaced"))
     store = at.getFileSystem(conf)
+    if store.exists(old) and not store.exists(at):
+        store.rename(old, at)  # a promotion broke off between its two renames
+    new.write.mode("overwrite").parquet(str(beside))
     if store.exists(at):
         spark.read.parquet(official).write.mode("overwrite").parquet(backup)
-        store.delete(at, True)
-    new.write.parquet(official)
+        store.delete(old, True)
+        if not store.rename(at, old):
+            raise OSError(f"{official} cannot be moved")
+    if not store.rename(beside, at):
+        store.rename(old, at)
+        raise OSError(f"{official} cannot be replaced")
+    store.delete(old, True)
     return {"digest": digest(spark.read.parquet(official), "official"), "backup": backup, "official": official}
 
 

@@ -261,3 +261,37 @@ def test_keyword_channel_is_the_filter_for_each_query(spark):
     for q, terms, source in asked:
         must = {"source": source} if source else {}
         assert got.get(q, []) == [x["doc_id"] for x in K.must_should(n, must, "title", terms, limit=7).collect()]
+
+
+def test_carried_evidence(spark):
+    from quern.operators import ranking as K
+
+    asked = spark.sql("SELECT 1L AS query_id, array(5L, 6L, 5L, null, 99L) AS ids UNION ALL SELECT 2L, null")
+    chunks = spark.sql("SELECT * FROM VALUES (5L, 'body', 0, 3.0D), (5L, 'summary', 0, null), (5L, 'body', 1, 9.0D), (6L, 'body', 0, 0.5D) AS t(doc_id, chunk_type, chunk_index, score)")
+    got = sorted((r["pos"], r["doc_id"], r["chunk_type"], r["score"]) for r in K.carried(asked, chunks).collect())
+    assert got == [(0, 5, "body", 3.0), (0, 5, "summary", 1.0), (1, 6, "body", 1.0)]
+    assert sorted(r["doc_id"] for r in K.carried(asked, chunks, most=1).collect()) == [5, 5]
+
+
+def test_coverage_and_gates(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import evaluation as E
+
+    cases = spark.sql("SELECT * FROM VALUES ('a'), ('a'), (null) AS t(kind)")
+    got = {r["scenario"]: (r["n"], r["required"], r["missing"]) for r in E.scenario_coverage(cases, "kind", ["a", "b"]).collect()}
+    assert got == {"a": (2, True, False), "": (1, False, False), "b": (0, True, True)}
+    samples = spark.sql("SELECT * FROM VALUES ('x', 'u'), (null, 'u'), (' ', null), ('y', 'v') AS t(text, source)")
+    one = E.completeness(samples, ["text", "source"], {"u_rate": F.coalesce(F.col("source") == "u", F.lit(False))}, F.lit(False), source="source")
+    assert tuple(one.first()) == (4, 2, 0.625, 0.5, 0)
+    assert {r["condition"]: r["passed"] for r in E.gated(one, {"samples": 4, "u_rate": 0.6}, {"errors": 0}).collect()} == {"samples_at_least": True, "u_rate_at_least": False, "errors_at_most": True, "ready": False}
+    none = E.completeness(samples.limit(0), ["text"], {"u_rate": F.lit(True)}, F.lit(False), source="source").first()
+    assert tuple(none) == (0, 0, 0.0, 0.0, 0)
+
+
+def test_keyword_gold(spark):
+    from quern.operators import evaluation as E
+
+    cases = spark.sql("SELECT * FROM VALUES (1, array('Rate', 'x')), (2, array('zz', '')), (3, null) AS t(id, words)")
+    docs = spark.sql("SELECT * FROM VALUES (7, 'the RATE rose'), (8, 'axe'), (9, null), (10, 'the rate rose') AS t(doc, title)")
+    assert sorted(map(tuple, E.keyword_gold(cases, docs, "id", "words", "title", "doc").collect())) == [(1, 7), (1, 8), (1, 10)]

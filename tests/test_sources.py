@@ -76,3 +76,62 @@ def test_sinks(spark, tmp_path):
     S.overwrite_part(df, f"{tmp_path}/p", "part")
     S.overwrite_part(df.filter("part = 'y'").selectExpr("v + 10 as v", "part"), f"{tmp_path}/p", "part")
     assert sorted(r["v"] for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [1, 12]
+
+
+def test_numbered_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1}\n\n[1]\n' + '{"id": 2}\n' * 3000 + "{bad\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows, errors = S.read_jsonl_errors(spark, str(tmp_path / "x.jsonl"), "id long")
+        assert [tuple(r) for r in errors.orderBy("line").collect()] == [("x.jsonl", 3, "line 3: not an object"), ("x.jsonl", 3004, "line 3004: not an object")]
+        assert sorted(r["_line"] for r in rows.collect()) == [1, *range(4, 3004)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_discovery(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for n in ("gold_a.jsonl", "deep/gold_longer.jsonl", "other.jsonl", "other.csv", "~$2021.csv", "t2021.csv", "t2020.csv"):
+        (tmp_path / n).write_text("x")
+    names = [p.rsplit("/", 1)[1] for p in S.discovered(spark, str(tmp_path), ["*.jsonl", "o*.jsonl"], prefer="Gold")]
+    assert names == ["gold_a.jsonl", "gold_longer.jsonl", "other.jsonl"]
+    got = S.by_year(spark, str(tmp_path), [2021], "*.csv").select("path").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["t2021.csv"]
+    assert S.by_year(spark, str(tmp_path), [1999], "*.csv").count() == 0
+
+
+def test_targets(spark, tmp_path):
+    df, path = spark.sql("SELECT 1 AS id, array(1.0, 2.0) AS v"), f"{tmp_path}/t"
+    with pytest.raises(ValueError, match="length 3"):
+        S.target(df, path, dimension=("v", 3))
+    S.target(df, path, dimension=("v", 2))
+    with pytest.raises(Exception, match="(?i)exist"):
+        S.target(df, path)
+    S.target(df, path, append=True)
+    assert spark.read.parquet(path).count() == 2
+    S.target(df, path, recreate=True)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_cached_results(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    get = lambda at: S.cached(spark, f"{tmp_path}/c", "news:1", make, seconds=60, now=at).count()
+    assert [get(1000.0), get(1059.0), get(1060.5), get(1061.0)] == [1, 1, 2, 2]
+    S.drop_cached(spark, f"{tmp_path}/c", "news:1")
+    assert get(1062.0) == 3
+    (tmp_path / "file").write_text("")
+    assert S.cached(spark, f"{tmp_path}/file", "k", make).count() == 4  # a folder that cannot be written: made, not kept
+
+
+def test_promotion_that_broke_off(spark, tmp_path):
+    staged, official, backup = (f"{tmp_path}/{n}" for n in ("staged", "official", "backup"))
+    spark.range(3).write.parquet(f"{official}.replaced")
+    spark.range(5).write.parquet(staged)
+    report = S.promote(spark, staged, official, backup, confirm="promote")
+    assert (spark.read.parquet(official).count(), spark.read.parquet(backup).count()) == (5, 3)
+    S.roll_back(spark, report, confirm="rollback")
