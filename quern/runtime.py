@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 ROOT = str(PACKAGE.parent)
-#: Rows of an Arrow batch at most; texts of any length are bounded by Spark's own limit of bytes.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most; one row that is longer is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
@@ -25,10 +25,12 @@ def local(spark: SparkSession) -> bool:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: from its folder where they run beside the driver, else from an archive that Spark hands to every executor, once for an application. Arrow batches of more than BATCH_ROWS rows, of which a worker holds several copies, are made that small for the session."""
+    """Let Python workers import this package: from its folder where they run beside the driver, else from an archive that Spark hands to every executor, once for an application. Arrow batches of more than BATCH_ROWS rows or BATCH_BYTES, of which the executor and its workers hold several copies, are made that small for the session."""
     context = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if local(spark):
         env = context.environment
         if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
