@@ -13,12 +13,13 @@ from ..functions import scores as S
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out.
+def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, by: str | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out. by: a column of both tables; a query meets only vectors with its value there, null ones none.
 
     Vectors are cut into blocks, queries visit each block in turns of bounded size, and a block gives at most k rows for each query."""
     ok = lambda df: df.filter(S.norm(F.col("embedding")) > 0)
-    queries, vectors = ok(queries.select("query_id", "embedding")), ok(vectors.select("vec_id", "embedding"))
+    same = [by] if by else []
+    queries, vectors = (ok(df.select(key, "embedding", *same)).dropna(subset=same or [key]) for df, key in ((queries, "query_id"), (vectors, "vec_id")))
     counts = vectors.agg(F.count("*")).crossJoin(queries.agg(F.count("*"))).first()
     blocks, turns = max(1, -(-counts[0] // BLOCK_ROWS)), max(1, -(-counts[1] // QUERY_ROWS))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -38,7 +39,7 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6
         out = pd.DataFrame({"query_id": np.repeat(q, best.shape[1]), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, axis=1).reshape(-1)})
         return out[np.isfinite(out["score"])]
 
-    found = data.groupBy("_b", "_t").cogroup(asked.groupBy("_qb", "_qt")).applyInPandas(one, "query_id long, vec_id long, score double")
+    found = data.groupBy("_b", "_t", *same).cogroup(asked.groupBy("_qb", "_qt", *same)).applyInPandas(one, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
+
 
 def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     """A folder of parquet files as a stream; times without a zone are read as UTC."""
@@ -69,3 +71,17 @@ def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: st
         w = w.option("checkpointLocation", checkpoint)
     w.start().awaitTermination()
     return df.sparkSession.table(name)
+
+
+def last_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream of updates over what is there, and give the rows of the last batch that changed each key. A batch is written to a folder of its own in the shared folder, so one that runs twice leaves its rows once."""
+    path = runtime.new_path(df.sparkSession, "updates")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    w = df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", runtime.new_path(df.sparkSession, "stream")).trigger(availableNow=True)
+    w.start().awaitTermination()
+    rows = df.sparkSession.read.schema(df.schema.add("_batch", "long")).option("basePath", path).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
+    return rows.join(last, [*keys, "_batch"]).drop("_batch")
