@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": "simhash",
     "op9_rule_ensemble": "rule_classifier",
     "op10_warc": "warc",
+    "op11_hard_negatives": "hard_negatives",
     "op12_spelling_variants": "spelling",
     "op13_substring_dedup": "substring_dedup",
 }
@@ -26,8 +27,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .hard_negatives import OP11_SQL
     from .line_dedup import OP3_SQL
     from .spelling import OP12_SQL
     from .substring_dedup import OP13_SQL
 
-    return {"op3_line_dedup": OP3_SQL, "op12_spelling_variants": OP12_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_substring_dedup": OP13_SQL}
