@@ -267,9 +267,10 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_wo
     held = common.materialize(contents(found), "contents")
     many = held.groupBy("_key").count().filter(F.col("count") > name_contents).select("_key")
     many = common.materialize(many, "names")
-    if not many.isEmpty():
-        found = common.materialize(found.join(many, "_key", "left_anti").unionByName(window_by_window(found.join(many, "_key", "left_semi"), window)), "segments")
-        held = common.materialize(contents(found), "contents")
+    if not many.isEmpty():  # their segments alone are cut anew
+        cut = common.materialize(window_by_window(found.join(many, "_key", "left_semi"), window), "windows")
+        held = held.join(many, "_key", "left_anti").unionByName(common.materialize(contents(cut), "contents"))
+        found = found.join(many, "_key", "left_anti").unionByName(cut)
     words = held.agg(F.sum(F.char_length("_words") - F.char_length(F.replace("_words", F.lit(" "))) + 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     parts = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.sparkSession.sparkContext.defaultParallelism))
