@@ -101,7 +101,7 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int64).reshape(-1, dims) if len(column) else np.zeros((0, dims), np.int64)
+    return np.array(column.to_list(), dtype=np.int64).reshape(len(column), dims)
 
 
 INDEX = "_block int, _n int, _ids binary, _labels binary, _codes binary, _norms binary, _x binary"
@@ -210,7 +210,7 @@ def _mined(base: DataFrame, dims: int, n: int, n_anchors: int, every: int, posit
     anchors = base.filter(F.col("vec_id") % every == 0).select("vec_id", "_label", "_x")
 
     def columns(asked: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([a["vec_id"] for a in asked]), np.array([a["_label"] for a in asked]), np.array([a["_x"] for a in asked], dtype=np.int64).reshape(-1, dims)
+        return np.array([a["vec_id"] for a in asked]), np.array([a["_label"] for a in asked]), np.array([a["_x"] for a in asked], dtype=np.int64).reshape(len(asked), dims)
 
     near = met(blocks, anchors, n_blocks, n_anchors, lambda row: positives_in(Block(row, dims, parts), quantiser, *columns(row["_asked"]), positives), "anchor_id long, positive_id long, score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "positive_id")

@@ -9,11 +9,16 @@ joining forms with forms, which doubles the distance with every round.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Odd multiplier of the keys' hashes, and what undoes it.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(FACTOR), -1, 2**64))
 #: Runs of letters; one of so many loses a letter; least length and number of a word; how much more frequent a form is.
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 SLIP, LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 31, 7, 2, 10
@@ -39,19 +44,32 @@ def words(docs: DataFrame, *, slip: int = SLIP, least_length: int = LEAST_LENGTH
     return found.groupBy(F.col("_word").alias("word")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_count)
 
 
+def deletion_keys(word: str) -> np.ndarray:
+    """Hashes of a word and of its distinct single deletions, in time linear in its length: a sum of its code points times powers, of which a deletion's is the part before it and the part after it, moved by one."""
+    c = common.mixed(np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) + FACTOR)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(c) - 1, FACTOR)]))
+    until = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * powers)])
+    gone = until[:-1] + (until[-1] - until[1:]) * INVERSE
+    return np.unique(np.append(gone, until[-1]).view(np.int64))
+
+
 def keys(counted: DataFrame) -> DataFrame:
-    """_key, word, n: the word itself and its distinct single deletions."""
-    gone = F.transform(F.sequence(F.lit(0), F.char_length("word") - 1), lambda i: without(F.col("word"), i))
-    return counted.select(F.explode(F.array_append(F.array_distinct(gone), F.col("word"))).alias("_key"), "word", "n")
+    """_key, word, n: hashes of the word itself and of its distinct single deletions."""
+
+    @F.pandas_udf("array<long>")
+    def of(words: pd.Series) -> pd.Series:
+        return words.map(deletion_keys)
+
+    return counted.select(F.explode(of("word")).alias("_key"), "word", "n")
 
 
 def apart_by_one(a: Column, b: Column) -> Column:
     """Whether two words differ by exactly one inserted, deleted or replaced code point: between their common prefix and their common suffix nothing else is left."""
     n, m = F.char_length(a), F.char_length(b)
     least = F.least(n, m)
-    same = F.aggregate(  # of the shorter's places, how many agree from the left before the first that doesn't
-        F.sequence(F.lit(1), least), F.lit(0), lambda k, i: F.when((k == i - 1) & (a.substr(i, F.lit(1)) == b.substr(i, F.lit(1))), i).otherwise(k)
-    )
+    steps = F.sequence(F.floor(F.log2(least)).cast("int"), F.lit(0), F.lit(-1))
+    longer = lambda k, j: k + F.pow(F.lit(2), j).cast("int")
+    same = F.aggregate(steps, F.lit(0), lambda k, j: F.when((longer(k, j) <= least) & (F.left(a, longer(k, j)) == F.left(b, longer(k, j))), longer(k, j)).otherwise(k))  # the common prefix, by halving
     rest = lambda w, k, skip: w.substr(k + 1 + skip, F.char_length(w))
     return (
         F.when(n == m, (a != b) & (rest(a, same, 1) == rest(b, same, 1)))

@@ -32,13 +32,6 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit words with their bits mixed (the finalizer of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The least value of each window of so many, and the leftmost place that has it."""
     v, at, has = values, np.arange(len(values)), 1
@@ -66,7 +59,7 @@ class Runs:
         grams = np.zeros(n - gram + 1, dtype=np.uint64)
         for k in range(gram):
             grams = grams * FACTOR + hashes[k : n - gram + 1 + k]
-        value, at = least(mixed(grams), window - gram + 1)
+        value, at = least(common.mixed(grams), window - gram + 1)
         inside = np.flatnonzero(text[: len(value)] == text[window - 1 :])  # windows within one text
         value, at, text = value[inside], at[inside], text[inside]
         fresh = np.ones(len(inside), dtype=bool)
@@ -98,7 +91,7 @@ def names(docs: DataFrame, window: int, gram: int) -> DataFrame:
             at = np.flatnonzero(np.diff(r.text[k], prepend=-1))
             packed = [x.astype("<i4").tobytes() for x in np.split(r.number[k], at[1:])] if len(k) else []
             owner = doc[r.text[k][at]] if len(k) else np.zeros(0, np.int64)
-            to = np.concatenate([value[one], told, mixed(owner.view(np.uint64) + FACTOR).view(np.int64)])
+            to = np.concatenate([value[one], told, common.mixed(owner.view(np.uint64) + FACTOR).view(np.int64)])
             docs_ = np.concatenate([doc[r.text[one]], np.full(len(told), NO_ID), owner])
             run = np.concatenate([r.number[one], np.full(len(told) + len(owner), -1)])
             runs = pa.array([None] * (len(to) - len(packed)) + packed, pa.binary())
