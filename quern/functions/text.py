@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Signs after which a sentence ends.
-SENTENCE_ENDS = ". ! ? ; 。 ！ ？ ；"
-SENTENCE = "(?<=[" + SENTENCE_ENDS.replace(" ", "") + "])"
+#: Signs after which a sentence ends. A full stop is none, as numbers and addresses hold it.
+SENTENCE_ENDS = "。！？!?；;"
+SENTENCE = "(?<=[" + SENTENCE_ENDS + "])"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -127,8 +127,8 @@ def windows(c: Column, size: int, overlap: int, most: int | None = None) -> Colu
 
 
 def paragraphs(c: Column, longest: int = 1000) -> Column:
-    """Lines that are not blank, stripped; longer ones cut after sentence ends."""
-    lines = F.filter(F.transform(F.split(text(c), r"\n"), strip), lambda p: p != "")
+    """Lines that are not blank, stripped, without carriage returns; longer ones cut after sentence ends."""
+    lines = F.filter(F.transform(F.split(F.replace(text(c), F.lit("\r")), r"\n"), strip), lambda p: p != "")
     return F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > longest, F.filter(F.transform(F.split(p, SENTENCE), strip), lambda x: x != "")).otherwise(F.array(p))))
 
 

@@ -7,19 +7,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores as S
-
 #: Vectors of a block, and queries that visit a block at once.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """Rows whose embedding points somewhere: not null, not zero, every component a finite number. _dims is its length."""
+    v = F.col("embedding")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return df.filter(v.isNotNull() & ~F.coalesce(F.exists(v, bad), F.lit(True)) & F.exists(v, lambda x: x != 0)).withColumn("_dims", F.size(v))
+
+
 def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, by: str | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out. by: a column of both tables; a query meets only vectors with its value there, null ones none.
+    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out. by: a column of both tables; a query meets only vectors with its value there, null ones none. A query meets vectors of its own length; those that are null, zero, or hold a null or non-finite component take no part.
 
     Vectors are cut into blocks, queries visit each block in turns of bounded size, and a block gives at most k rows for each query."""
-    ok = lambda df: df.filter(S.norm(F.col("embedding")) > 0)
     same = [by] if by else []
-    queries, vectors = (ok(df.select(key, "embedding", *same)).dropna(subset=same or [key]) for df, key in ((queries, "query_id"), (vectors, "vec_id")))
+    queries, vectors = (usable(df.select(key, "embedding", *same)).dropna(subset=[key, *same]) for df, key in ((queries, "query_id"), (vectors, "vec_id")))
+    same = [*same, "_dims"]
     counts = vectors.agg(F.count("*")).crossJoin(queries.agg(F.count("*"))).first()
     blocks, turns = max(1, -(-counts[0] // BLOCK_ROWS)), max(1, -(-counts[1] // QUERY_ROWS))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

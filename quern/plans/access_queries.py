@@ -10,7 +10,7 @@ from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import ranking as K
 from ..operators import relational as R
-from ..sources.tables import EVENTS, NEWS, news, table
+from ..sources.tables import EVENTS, NEWS, news, over, table
 from . import retrieval as P
 from .corpus_queries import IS_GARBLED, ODD
 from .ranking_queries import CAND, KNN
@@ -71,8 +71,8 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE NOT nil) AS with_text, count(*)
  count(*) FILTER (WHERE bad) AS garbled, count(*) FILTER (WHERE nil OR lost OR marks) AS blocking, count(*) FILTER (WHERE bad AND NOT (nil OR lost OR marks)) AS noted FROM q""")
 def readability_summary(spark, d):
     """Documents, some of them blank, broken or in other scripts; every second one has a spare text."""
-    table(spark, d, "documents").createOrReplaceTempView("documents")
-    return E.readability(spark.sql(_ROWS.replace("chr(65533)", "'�'")), spark.sql(_SPARE), "doc_id", "text")
+    docs = table(spark, d, "documents")
+    return E.readability(over(spark, _ROWS.replace("chr(65533)", "'�'"), documents=docs), over(spark, _SPARE, documents=docs), "doc_id", "text")
 
 
 @query("sample_gate", """WITH c AS (SELECT count(*) AS n, count(DISTINCT nullif(source, '')) AS sources, count(*) FILTER (WHERE trim(coalesce(text, '')) <> '') + count(*) FILTER (WHERE coalesce(lang, '') <> '') + count(*) FILTER (WHERE coalesce(source, '') <> '') AS filled,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import sessions as M
-from ..sources.tables import table
+from ..sources.tables import over, table
 from .registry import query
 
 TOPICS = ("the", "and", "tion", "with", "from")
@@ -76,8 +76,7 @@ PICKS = "SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN '1. first o
 @query("ordinal_selections", f"WITH m AS ({PICKS}), l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM m) SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'first of ' || conv_id WHEN 1 THEN 'second' WHEN 2 THEN 'third' END AS picked FROM l WHERE role = 'user' AND prior = 'assistant' AND turn % 4 <> 0")
 def ordinal_selections(spark, d):
     """Choices from lists of three: the first, second or third, and a fourth that is not there."""
-    messages(spark, d).createOrReplaceTempView("conversations")
-    return M.selections(spark.sql(PICKS))
+    return M.selections(over(spark, PICKS, conversations=messages(spark, d)))
 
 
 @query("memory_recall", f"WITH {LEDGER} SELECT conv_id, arg_min(topic, (first_turn, topic)) AS first_topic FROM g GROUP BY conv_id")

@@ -11,7 +11,7 @@ from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import vector as V
-from ..sources.tables import table
+from ..sources.tables import over, table
 from .ranking_queries import KNN
 from .registry import query
 
@@ -129,8 +129,7 @@ w AS (SELECT conv_id, turn, CASE WHEN free THEN '' ELSE concat_ws(',', CASE WHEN
 SELECT conv_id, turn, violations, warnings, violations = '' AS passed, CASE WHEN violations <> '' THEN 'high' WHEN warnings <> '' THEN 'medium' ELSE 'low' END AS risk FROM w""")
 def answer_contract_checks(spark, d):
     """Answers with known and unknown citations, numbers, refusals and questions with quoted terms, against no evidence, the answer's own text, or another one."""
-    table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    a = spark.sql(ANSWERS)
+    a = over(spark, ANSWERS, conversations=table(spark, d, "conversations"))
     ref = F.concat(F.lit("news:"), F.col("conv_id").cast("string"))
     a = a.withColumns({"citations": X.citations(F.col("answer")), "evidence": F.when(F.col("kind") == 0, F.array().cast("array<string>")).otherwise(F.array(ref)), "evidence_text": F.when(F.col("kind") == 0, "").when(F.col("kind") == 1, F.col("answer")).otherwise("other 1999"), "needs_evidence": F.lit(True), "must_cite": F.lit(True)})
     done = E.answer_checks(a, longest=300, refusals=["sorry"], unsafe=["guarantee"], guards=["risk"], asks=["will it rise"])

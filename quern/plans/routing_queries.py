@@ -8,7 +8,7 @@ from ..functions import table_functions
 from ..functions import text as X
 from ..operators import normalise as N
 from ..operators import routing as R
-from ..sources.tables import NEWS, news, table
+from ..sources.tables import NEWS, news, over, table
 from .registry import query
 
 V = R.Vocabulary(news=("tion",), recommend=("recommend", "suggest"), timeline=("latest", "and"), detail=("detail", "ing"), lists=("list",), topics=("the",), explain=("why", "how"), entities=("the", "tion", "heit"), sources={"wire": ("agency",), "paper": ("daily",)})
@@ -36,8 +36,7 @@ _DATE = """CASE WHEN regexp_matches(text, '[0-9]{4}[-/年][0-9]{1,2}[-/月][0-9]
 SELECT conv_id, turn, CASE WHEN named THEN 'source_constrained' WHEN date_kind IN ('day', 'month', 'year') THEN 'dated' WHEN lists THEN 'list' WHEN explains THEN 'explain' WHEN len(e) > 0 THEN 'entity' ELSE 'semantic' END AS query_type, array_to_string(e, ',') AS entities, concat_ws(',', 'dense', CASE WHEN len(e) > 0 OR named THEN 'title_keyword' END, CASE WHEN len(e) > 0 OR named THEN 'chunk_keyword' END, CASE WHEN date_kind = 'recent' THEN 'recent' END) AS plan, date_kind FROM s""")
 def structured_intents(spark, d):
     """Requests with a month, a source, a wish for the latest, a month since which, or for a list."""
-    table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    return spark.sql(ASKED).select("conv_id", "turn", R.structured(F.col("text"), V).alias("x")).select("conv_id", "turn", "x.query_type", F.array_join("x.entities", ",").alias("entities"), F.array_join("x.plan", ",").alias("plan"), F.col("x.date.kind").alias("date_kind"))
+    return over(spark, ASKED, conversations=table(spark, d, "conversations")).select("conv_id", "turn", R.structured(F.col("text"), V).alias("x")).select("conv_id", "turn", "x.query_type", F.array_join("x.entities", ",").alias("entities"), F.array_join("x.plan", ",").alias("plan"), F.col("x.date.kind").alias("date_kind"))
 
 
 @query("collection_routes", "SELECT conv_id, turn, CASE WHEN NOT (contains(lower(text), 'wire') OR contains(lower(text), 'agency') OR contains(lower(text), 'paper') OR contains(lower(text), 'daily')) AND contains(lower(text), 'the') THEN 'topic' ELSE 'default' END AS collection FROM conversations WHERE role = 'user'")
@@ -55,8 +54,7 @@ CALLS = "SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' see news 42'
 
 @query("fallback_plans", f"WITH a AS ({CALLS}), n AS (SELECT *, regexp_extract(text, '(?i)(?:news|id|#)\\s*(\\d+)', 1) AS num, regexp_extract(text, '(https?://[^\\s]+)', 1) AS url FROM a) SELECT conv_id, turn, CASE WHEN num <> '' THEN 'news_detail' WHEN url <> '' THEN 'web_fetch' WHEN contains(lower(text), 'recommend') OR contains(lower(text), 'suggest') THEN 'recommend_news' ELSE 'news_search' END AS tool, CASE WHEN num <> '' THEN num WHEN url <> '' THEN url ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS argument FROM n")
 def fallback_plans(spark, d):
-    table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    return spark.sql(CALLS).select("conv_id", "turn", R.fallback_plan(F.col("text"), V).alias("p")).select("conv_id", "turn", "p.tool", "p.argument")
+    return over(spark, CALLS, conversations=table(spark, d, "conversations")).select("conv_id", "turn", R.fallback_plan(F.col("text"), V).alias("p")).select("conv_id", "turn", "p.tool", "p.argument")
 
 
 @query("next_actions", "WITH l AS (SELECT doc_id, quality, toxic FROM labels) SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'ask_confirmation' WHEN quality IS NULL THEN 'search' WHEN quality = 0 THEN 'ask_clarification' ELSE 'answer' END AS action FROM documents d LEFT JOIN l USING (doc_id)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """A SQL text over frames in place of the tables that it names; the session's own views stay as they are."""
+    views = {name: f"quern_{name}_{uuid.uuid4().hex}" for name in frames}
+    for name, view in views.items():
+        frames[name].createOrReplaceTempView(view)
+        sql = re.sub(rf"\b(FROM|JOIN|,) {name}\b", rf"\1 {view}", sql)
+    try:
+        return spark.sql(sql)  # analysed here and now
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as news: title (first line), content, category (language), source, and a publication time and number of views that follow from the id."""
     d = table(spark, sf_dir, "documents")
