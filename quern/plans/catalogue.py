@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access_queries, conversation_queries, corpus_queries, evaluation_queries, ranking_queries, relational_queries, routing_queries, streaming_queries  # noqa: F401
+from . import access_queries, conversation_queries, corpus_queries, evaluation_queries, index_queries, ranking_queries, relational_queries, routing_queries, streaming_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
