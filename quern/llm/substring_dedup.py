@@ -228,7 +228,7 @@ class Automaton:
         return lengths, places
 
 
-SPANS = "_key long, _h long, _at int, _n int, _edoc long, _estart int"
+SPANS = "_key long, _h long, _at array<int>, _n array<int>, _edoc array<long>, _estart array<int>"
 
 
 def matched(rows: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -243,36 +243,37 @@ def matched(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     reference.settle()
     out = []
     for key, h, s in zip(rows["_key"].tolist(), rows["_h"].tolist(), sequences, strict=True):
-        _, places = reference.statistics(s, window)
-        at, place = 0, places[window - 1]
-        for k in range(1, len(s) - window + 2):  # one after the last ends the last span
-            if k == len(s) - window + 1 or places[window - 1 + k] != place + k - at:
-                out.append((key, h, at, k - at, int(docs[place >> 32]), (place & 0xFFFFFFFF) - window + 1))
-                if k <= len(s) - window:
-                    at, place = k, places[window - 1 + k]
+        places = np.array(reference.statistics(s, window)[1][window - 1 :], dtype=np.int64)
+        at = np.flatnonzero(np.diff(places, prepend=places[0]) != 1)  # where another place, or the first one, goes on
+        n = np.diff(np.append(at, len(places)))
+        out.append((key, h, at.astype(np.int32), n.astype(np.int32), docs[places[at] >> 32], ((places[at] & 0xFFFFFFFF) - window + 1).astype(np.int32)))
     return pd.DataFrame(out, columns=["_key", "_h", "_at", "_n", "_edoc", "_estart"])
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, name_contents: int = NAME_CONTENTS) -> DataFrame:
-    """_doc, _row, _gone: for each of docs (_doc, _row, text) that has windows which started earlier, the array of (s, n): n of them in a row from word s on."""
+    """_doc, _row, _gone: for each of docs (_doc, _row, text) that has windows which started earlier, its spans: n of them in a row from word s on are s * 2 ** 32 + n."""
     docs = docs.select("_doc", "_row", "text")
     found = common.materialize(segments(docs, marks(docs, window, gram), window, gram), "segments")
-    held = common.materialize(contents(found), "contents")
-    many = held.groupBy("_key").count().filter(F.col("count") > name_contents).select("_key")
-    many = common.materialize(many, "names")
+    size = F.char_length("_words") - F.char_length(F.replace("_words", F.lit(" "))) + 1
+    names = found.groupBy("_key", "_h").agg(F.max(size).alias("_w")).groupBy("_key").agg(F.count("*").alias("_contents"), F.sum("_w").alias("_w"))  # without texts
+    names = common.materialize(names, "names")
+    many = names.filter(F.col("_contents") > name_contents).select("_key")
+    words = names.filter(F.col("_contents") <= name_contents).agg(F.sum("_w")).first()[0] or 0
+    held = contents(found)
     if not many.isEmpty():  # their segments alone are cut anew
         cut = common.materialize(window_by_window(found.join(many, "_key", "left_semi"), window), "windows")
-        held = held.join(many, "_key", "left_anti").unionByName(common.materialize(contents(cut), "contents"))
-        found = found.join(many, "_key", "left_anti").unionByName(cut)
-    words = held.agg(F.sum(F.char_length("_words") - F.char_length(F.replace("_words", F.lit(" "))) + 1)).first()[0] or 0
+        rest = found.join(many, "_key", "left_anti")
+        held, found = contents(rest).unionByName(contents(cut)), rest.unionByName(cut)
+        words += window * cut.count()
     shards = max(1, -(-words // shard_words))
     parts = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.sparkSession.sparkContext.defaultParallelism))
     sharded = held.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).repartition(parts, "_shard")
     spans = common.materialize(sharded.groupBy("_shard").applyInPandas(lambda rows: matched(rows, window), SPANS), "spans")
     judged = found.select("_key", "_h", "_doc", "_row", "_start").join(spans, ["_key", "_h"])
-    before = (F.col("_edoc") < F.col("_doc")) | ((F.col("_edoc") == F.col("_doc")) & (F.col("_estart") < F.col("_start") + F.col("_at")))
-    gone = judged.filter(before).select("_doc", "_row", F.struct((F.col("_start") + F.col("_at")).alias("s"), F.col("_n").alias("n")).alias("_span"))
-    return gone.groupBy("_doc", "_row").agg(F.collect_list("_span").alias("_gone"))
+    zipped = F.arrays_zip("_at", "_n", "_edoc", "_estart")
+    before = lambda x: (x["_edoc"] < F.col("_doc")) | ((x["_edoc"] == F.col("_doc")) & (x["_estart"] < F.col("_start") + x["_at"]))
+    gone = F.transform(F.filter(zipped, before), lambda x: F.shiftleft((F.col("_start") + x["_at"]).cast("long"), 32) + x["_n"])
+    return judged.select("_doc", "_row", F.explode(gone).alias("_span")).groupBy("_doc", "_row").agg(F.collect_list("_span").alias("_gone"))
 
 
 def without(text: str | None, gone: list | None, window: int) -> tuple[str, int, int]:
@@ -282,7 +283,7 @@ def without(text: str | None, gone: list | None, window: int) -> tuple[str, int,
     if gone is not None and len(gone):
         keep = np.ones(n, dtype=bool)
         for x in gone:
-            keep[x["s"] : x["s"] + x["n"] + window - 1] = False
+            keep[x >> 32 : (x >> 32) + (x & 0xFFFFFFFF) + window - 1] = False
         words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
     return b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)
 
