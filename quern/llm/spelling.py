@@ -84,7 +84,7 @@ def near(counted: DataFrame) -> DataFrame:
     told = keys(counted)
     left, right = told.alias("l"), told.select("_key", F.col("word").alias("other"), F.col("n").alias("m")).alias("r")
     pairs = left.join(right, "_key").filter(F.col("word") < F.col("other")).groupBy("word", "other").agg(F.first("n").alias("n"), F.first("m").alias("m"))
-    pairs = pairs.filter(apart_by_one(F.col("word"), F.col("other")))
+    pairs = common.materialize(pairs.filter(apart_by_one(F.col("word"), F.col("other"))), "pairs")  # read twice
     return pairs.select("word", "n", "other", "m").unionByName(pairs.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
 
 
