@@ -64,3 +64,14 @@ def title_match(query: Column, title: Column, common: Column) -> Column:
 
 def length_penalty(n: Column) -> Column:
     return F.when(n < 30, -3.0).when(n < 60, -1.0).otherwise(0.0)
+
+
+#: Fixed value: what an analysis counts for, where a request wants an explanation.
+ANALYSIS_POINTS = 1.2
+
+
+def analysis_section(query: Column, title: Column, section: Column, *, explain: Sequence[str], sections: Sequence[str], in_title: Sequence[str] = ()) -> Column:
+    """ANALYSIS_POINTS where the query asks for an explanation and the item stands in a section of analyses, or its title says so; else 0."""
+    any_ = lambda terms, c: F.exists(X.words_of(list(terms)), lambda t: F.contains(c, t))
+    asked = any_(explain, F.lower(X.text(query)))
+    return F.when(asked & (any_(sections, X.text(section)) | any_(in_title, X.text(title))), ANALYSIS_POINTS).otherwise(0.0)

@@ -109,10 +109,10 @@ def carried(asked: DataFrame, chunks: DataFrame, *, most: int = 8, per_id: int =
 
 
 def keyword_channel(asked: DataFrame, docs: DataFrame, field: str, vocabulary: Sequence[str], *, limit: int = 20) -> DataFrame:
-    """must_should() for many queries at once: query_id, doc_id, pos of the newest `limit` documents whose field has any of a query's terms and, if it names a source, that source. asked: query_id, terms (of the vocabulary), source (null: any). Of each term, and of each term and source, the newest `limit` documents are enough, so queries and documents meet over those alone."""
+    """must_should() for many queries at once: query_id, doc_id, pos of the newest `limit` documents whose field has any of a query's terms and, if it names a source, that source. asked: query_id, terms (of the vocabulary), source (null: any). Of each term, and of each term and source, the newest `limit` documents and one more (a query's own is left out) are enough, so queries and documents meet over those alone."""
     hits = docs.select("doc_id", "source", "publish_ts", F.explode(X.vocabulary_hits(F.col(field), vocabulary)).alias("_t"))
     newest = lambda *keys: Window.partitionBy("_t", *keys).orderBy(F.desc("publish_ts"), "doc_id")
-    top = lambda *keys: hits.withColumn("_n", F.row_number().over(newest(*keys))).filter(F.col("_n") <= limit).drop("_n")
+    top = lambda *keys: hits.withColumn("_n", F.row_number().over(newest(*keys))).filter(F.col("_n") <= limit + 1).drop("_n")
     wanted = asked.select("query_id", F.explode("terms").alias("_t"), F.col("source").alias("_s"))
     any_ = wanted.filter("_s IS NULL").join(top(), "_t").select(Q, "doc_id", "publish_ts")
     one = wanted.filter("_s IS NOT NULL").withColumnRenamed("_s", "source").join(top("source"), ["_t", "source"]).select(Q, "doc_id", "publish_ts")
@@ -202,7 +202,7 @@ def light_rules(df: DataFrame, *, body: float = 0.8, in_text: float = 0.5) -> Da
     }
     df = df.withColumns(parts)
     total = 10 * F.col("score") + 5 * F.col("lexical") + sum((F.col(c) for c in parts if c != "lexical"), F.lit(0.0)) + F.col("date_score") + F.col("source_score") + F.col("analysis_score")
-    return ranked(df.withColumn("final_score", F.round(total, 4)), F.desc("final_score"), F.asc("pos"))
+    return ranked(df.withColumn("final_score", F.round(total, 6)), F.desc("final_score"), F.asc("pos"))
 
 
 def rule_rerank(df: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter(v.isNotNull() & ~F.coalesce(F.exists(v, bad), F.lit(True)) & F.exists(v, lambda x: x != 0)).withColumn("_dims", F.size(v))
 
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, by: str | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out. by: a column of both tables; a query meets only vectors with its value there, null ones none. A query meets vectors of its own length; those that are null, zero, or hold a null or non-finite component take no part.
+def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6, by: str | None = None, own: bool = False) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest vectors of each query by cosine in double precision, rounded; ties to the smaller id; a query's own id is left out, unless own is set. by: a column of both tables; a query meets only vectors with its value there, null ones none. A query meets vectors of its own length; those that are null, zero, or hold a null or non-finite component take no part.
 
     Vectors are cut into blocks, queries visit each block in turns of bounded size, and a block gives at most k rows for each query."""
     same = [by] if by else []
@@ -39,7 +39,8 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int, *, digits: int = 6
         unit = lambda c: (m := np.stack(c.to_list()).astype(np.float64)) / np.sqrt((m * m).sum(axis=1, keepdims=True))
         ids, q = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
         score = np.round(unit(right["embedding"]) @ unit(left["embedding"]).T, digits)
-        score[q[:, None] == ids[None, :]] = -np.inf
+        if not own:
+            score[q[:, None] == ids[None, :]] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(q, best.shape[1]), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, axis=1).reshape(-1)})
         return out[np.isfinite(out["score"])]

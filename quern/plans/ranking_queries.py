@@ -10,6 +10,7 @@ from ..operators import ranking as K
 from ..operators import vector as V
 from ..sources.tables import NEWS, NOW, news, table
 from . import retrieval as P
+from . import retrieval_sql as W
 from .registry import query
 
 KNN = """asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0),
@@ -164,24 +165,28 @@ def body_slots_merge(spark, d):
     return K.slots(c.filter("pos % 2 = 1"), c.filter("pos % 2 = 0"), 8, 2).select("query_id", "doc_id", "kind", "slot")
 
 
-@query("source_quota_top_k")
+@query("source_quota_top_k", f"WITH RECURSIVE {CAND}, f AS (SELECT *, 10 * score AS final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM cand), {W.diversified('f', 'spread')} SELECT query_id, doc_id, final_rank, rank FROM spread")
 def source_quota_top_k(spark, d):
     df = K.ranked(P.recalled(spark, d).withColumn("final_score", 10 * F.col("score")), F.desc("final_score"), F.asc("pos"))
     return K.diversified(df).select("query_id", "doc_id", "final_rank", "rank")
 
 
-@query("light_rule_rank")
+LIGHT = f"""{CAND}, {W.lcs("cand", "shared")}, ready AS (SELECT *, list_filter({W.ENTITIES}, lambda x: contains(query, x)) AS entities, 'dense' AS channel, 'summary' AS chunk_type, 0.0 AS date_score, CASE WHEN source = 'src1' THEN 3.0 ELSE 0.0 END AS source_score, 0.0 AS analysis_score FROM shared)"""
+
+
+@query("light_rule_rank", f"WITH RECURSIVE {LIGHT}, {W.rules('ready', 'ruled')}, {W.diversified('ruled', 'spread')} SELECT query_id, doc_id, final_score, rank, final_rank FROM spread WHERE final_rank <= 10")
 def light_rule_rank(spark, d):
     return P.limited(P.recalled(spark, d).withColumn("channel", F.lit("dense")), 10).select("query_id", "doc_id", "final_score", "rank", "final_rank")
 
 
-@query("rule_rerank")
+@query("rule_rerank", f"""WITH {LIGHT}, s AS (SELECT *, 3 * len(list_filter(entities, lambda x: contains(title, x))) + len(list_filter(entities, lambda x: contains(text, x))) + CASE WHEN common >= 8 THEN common ELSE 0 END + CASE WHEN title <> '' AND contains(query, title) THEN 8 ELSE 0 END AS rule_score FROM ready)
+SELECT query_id, doc_id, rule_score, row_number() OVER (PARTITION BY query_id ORDER BY rule_score DESC, pos) AS rank FROM s""")
 def rule_rerank(spark, d):
     c = P.recalled(spark, d).withColumns({"entities": X.vocabulary_hits(F.col("query"), P.ENTITIES), "chunk": F.col("text"), "common": X.longest_common(F.col("title"), F.col("query")), "source_score": F.lit(0.0)})
     return K.rule_rerank(c).select("query_id", "doc_id", "rule_score", "rank")
 
 
-@query("lcs_bonus")
+@query("lcs_bonus", f"WITH {CAND}, {W.lcs('cand', 'shared')} SELECT query_id, doc_id, common FROM shared")
 def lcs_bonus(spark, d):
     c = P.recalled(spark, d)
     return c.select("query_id", "doc_id", X.longest_common(F.col("title"), F.col("query")).alias("common"))
@@ -197,7 +202,7 @@ def kw_overlap(spark, d):
 s AS (SELECT *, 0.6 * CASE WHEN len(en) = 0 OR length(title) = 0 THEN 0 ELSE len(list_filter(en, lambda x: contains(title, x))) / len(en) END + 0.4 * CASE WHEN len(en) = 0 OR length(text) = 0 THEN 0 ELSE len(list_filter(en, lambda x: contains(text, x))) / len(en) END AS lexical,
  CASE WHEN title <> '' AND contains(query, title) THEN 10.0 ELSE 0.0 END AS title_score, coalesce(list_sum(list_transform(list_filter(en, lambda x: contains(title, x)), lambda x: CASE WHEN length(x) >= 4 THEN 3.0 ELSE 1.5 END)), 0) AS bonus,
  CASE WHEN length(text) < 30 THEN -3.0 WHEN length(text) < 60 THEN -1.0 ELSE 0.0 END AS pen, 0.5 * len(list_filter(en, lambda x: NOT contains(title, x) AND contains(title || ' ' || text, x))) AS only_text FROM e),
-f AS (SELECT *, round(10 * score + 5 * lexical + title_score + bonus + pen + only_text, 4) AS final FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, pos) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM f),
+f AS (SELECT *, round(10 * score + 5 * lexical + title_score + bonus + pen + only_text, 6) AS final FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, pos) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM f),
 a AS (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS top1, round(avg(score), 4) AS top5_avg, (max(score) FILTER (WHERE rank = 1) < 0.55)::INT + (max(lexical) < 0.05)::INT + (max(title_score) < 2)::INT + 1 AS signs, max(n) AS n FROM r WHERE rank <= 5 GROUP BY query_id)
 SELECT query_id, top1, top5_avg, round(signs / 4.0, 4) AS no_answer_score, signs >= 4 AND n < 2 AS should_no_answer FROM a""")
 def no_answer_signs(spark, d):
@@ -226,9 +231,15 @@ def retrieval_v1_time(spark, d):
     return P.v1(spark, d, strategy="time").select("query_id", "doc_id", "hybrid_score", "rank", "fallback")
 
 
-@query("retrieval_v2")
+@query("multi_vector_recall", f"WITH {NEWS}, {W.ASKED}, {W.MULTI} SELECT query_id, doc_id, score, chunk_type, pos FROM recalled")
+def multi_vector_recall(spark, d):
+    """Documents by late fusion over several vectors of a query and of a document."""
+    return P.multi_recalled(spark, d, P.requests(spark, d))
+
+
+@query("retrieval_v2", W.V2)
 def retrieval_v2(spark, d):
-    return P.v2(spark, d).select("query_id", "doc_id", "channel", "final_score", "final_rank")
+    return P.v2(spark, d).select("query_id", "doc_id", "channel", "chunk_type", "final_score", "final_rank")
 
 
 @query("recency_steps", f"WITH {NEWS} SELECT recency, count(*) AS n FROM (SELECT CASE WHEN a <= 7 THEN 1.0 WHEN a <= 30 THEN 0.95 WHEN a <= 90 THEN 0.80 WHEN a <= 180 THEN 0.60 WHEN a <= 365 THEN 0.45 WHEN a <= 1095 THEN 0.20 WHEN a <= 3650 THEN 0.05 ELSE 0.0 END::DOUBLE AS recency FROM (SELECT (1704067200 - publish_ts) / 86400.0 AS a FROM news)) GROUP BY recency")
