@@ -1,13 +1,17 @@
-"""Queries of the maintained vector index."""
+"""Queries of the maintained indexes: vectors and substrings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ranking as K
+from ..operators import relational as R
+from ..operators import substring_index as T
 from ..operators import vector as V
 from ..operators import vector_index as I
-from ..sources.tables import table
+from ..sources.tables import NEWS, news, table
 from .registry import query
+from .relational_queries import SEARCH_SQL
 
 
 def every(e, n, rest=0):
@@ -37,3 +41,27 @@ def index_upserts(spark, d):
     index = I.build(e, meta=("label",))
     I.upsert(index, e.filter("vec_id % 40 = 1").select((F.col("vec_id") - 1).alias("vec_id"), "embedding", "label"))
     return I.search(index, every(e, 40, 1), 1)
+
+
+@query("substring_search", "SELECT item_id, doc_id FROM (SELECT item_id, lower(substr(text, 11, 12)) AS term FROM benchmark) b JOIN documents d ON term <> '' AND contains(lower(d.text), term)")
+def substring_search(spark, d):
+    """Twelve characters of each benchmark passage in all texts, by the index."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 11, 12).alias("term"))
+    found = T.search(T.build(docs, "doc_id", "text"), docs, "text", asked)
+    return found.join(asked.select("item_id", F.lower("term").alias("term")), "term").select("item_id", "doc_id")
+
+
+@query("keyword_search_indexed", SEARCH_SQL)
+def keyword_search_indexed(spark, d):
+    """The keyword search over rows that the index leaves: both pools hold their terms in title or content, and a title is the content's first line."""
+    n = news(spark, d)
+    index = T.build(n, "doc_id", "content")
+    return R.keyword_search(T.holding_any(index, n, ["the", "tion"]), ["the", "tion"], "the tion", limit=20).select("doc_id", F.col("relevance").cast("int").alias("relevance"), "publish_ts")
+
+
+@query("must_should_indexed", f"WITH {NEWS} SELECT doc_id, publish_ts FROM news WHERE category = 'en' AND (contains(title, 'ingth') OR contains(title, 'tioned')) ORDER BY publish_ts DESC, doc_id LIMIT 20")
+def must_should_indexed(spark, d):
+    n = news(spark, d)
+    index = T.build(n, "doc_id", "title")
+    return K.must_should(T.holding_any(index, n, ["ingth", "tioned"]), {"category": "en"}, "title", ["ingth", "tioned"]).select("doc_id", "publish_ts")
