@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import replay as Y
 from ..operators import sessions as M
-from ..sources.tables import over, table
+from ..sources.tables import NEWS, news, over, table
 from .registry import query
 
 TOPICS = ("the", "and", "tion", "with", "from")
@@ -111,3 +112,25 @@ def tool_arguments(spark, d):
 @query("prompt_clip", "SELECT conv_id, turn, CASE WHEN length(f) > 180 THEN rtrim(substr(f, 1, 180)) || '...' ELSE f END AS brief FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM conversations)")
 def prompt_clip(spark, d):
     return messages(spark, d).select("conv_id", "turn", X.clip(F.col("text"), 180).alias("brief"))
+
+
+_KEPT = "list_filter(l, lambda x, i: list_position(l, x) = i)"
+REPLAY = f"""WITH RECURSIVE {NEWS}, voc AS (SELECT unnest({TOPIC_LIST}) AS term, unnest(range(1, 6)) AS k),
+top AS (SELECT term, k, doc_id, row_number() OVER (PARTITION BY term ORDER BY publish_ts DESC, doc_id) AS p FROM voc JOIN news ON contains(lower(content), term)),
+lists AS (SELECT list(ids ORDER BY k) AS ls FROM (SELECT voc.k, coalesce(list(doc_id ORDER BY p) FILTER (WHERE p <= 11), []) AS ids FROM voc LEFT JOIN top USING (term) GROUP BY voc.k)),
+turns AS (SELECT conv_id, turn, list_filter({TOPIC_LIST}, lambda x: contains(lower(text), x)) AS own, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n FROM conversations WHERE role = 'user'),
+r AS (SELECT DISTINCT conv_id, -1::BIGINT AS turn, 0 AS n, []::VARCHAR[] AS terms, []::BIGINT[] AS results, []::BIGINT[] AS evidence FROM turns
+ UNION ALL SELECT conv_id, turn, n, terms, results, list_filter(list_concat(before, results), lambda x, i: list_position(list_concat(before, results), x) = i)[-8:] FROM (
+  SELECT conv_id, turn, n, terms, before, list_filter({_KEPT}, lambda d: NOT list_contains(before, d))[1:3] AS results FROM (
+   SELECT conv_id, turn, n, terms, before, flatten(list_transform(terms, lambda t: ls[list_position({TOPIC_LIST}, t)])) AS l FROM (
+    SELECT t.conv_id, t.turn, t.n, CASE WHEN len(t.own) > 0 THEN t.own ELSE r.terms END AS terms, r.evidence AS before, ls FROM r JOIN turns t ON t.conv_id = r.conv_id AND t.n = r.n + 1, lists))))
+SELECT conv_id, turn, n, array_to_string(terms, ',') AS terms, array_to_string(results, ',') AS results, array_to_string(evidence, ',') AS evidence FROM r WHERE n > 0"""
+
+
+@query("replayed_turns", REPLAY)
+def replayed_turns(spark, d):
+    """Every user turn of all conversations, round by round: topics asked for (a turn without any stays on its conversation's), new documents, evidence carried on."""
+    retrieve = Y.newest_unseen(news(spark, d), "content", TOPICS)
+    done = Y.replayed(messages(spark, d), lambda c: X.vocabulary_hits(F.lower(X.text(c)), TOPICS), retrieve)
+    line = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return done.select("conv_id", "turn", "n", line("terms"), line("results"), line("evidence"))
