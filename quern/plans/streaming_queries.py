@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..sources.tables import table
 from ..streaming import events as S
+from ..streaming import ledgers as G
+from .conversation_queries import LEDGER, TOPICS
 from .registry import query
 
 
@@ -40,3 +43,13 @@ def events_running_totals(spark, d):
     schema = table(spark, d, "events").schema
     users = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").cast("long").alias("user_id"), "event_type")
     return S.last_of_each(S.running_totals(users), ["user_id"])
+
+
+@query("session_ledger_stream", f"WITH {LEDGER} SELECT conv_id, topic, first_turn, last_turn, n FROM g")
+def session_ledger_stream(spark, d):
+    """The topics of all conversations, from state that a stream over the messages keeps: the last entry of each."""
+    messages, path = table(spark, d, "conversations"), runtime.new_path(spark, "messages")
+    messages.repartitionByRange(3, "turn").write.parquet(path)
+    live = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with G.state_store(spark):
+        return S.last_of_each(G.ledgers(live, TOPICS), ["conv_id", "topic"]).select("conv_id", "topic", "first_turn", "last_turn", "n")
