@@ -41,7 +41,7 @@ class Ledger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        ttl = 2 * self.idle or None  # the timer clears the state before; this holds for state whose timer was lost
+        ttl = 10 * self.idle or None  # the timer clears the state before; this holds for state whose timer was lost
         self.topics = handle.getMapState("topics", T.StructType([T.StructField("topic", T.StringType())]), T.StructType([T.StructField(c, T.LongType()) for c in ("first_turn", "last_turn", "n")]), ttl)
         self.recent = handle.getListState("recent", T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]), ttl)
 

@@ -115,7 +115,7 @@ def test_idle_conversations_end(spark, tmp_path):
     frame = spark.createDataFrame([(1, 0, "user", "red green")], MESSAGES)
     frame.coalesce(1).write.mode("append").parquet(src)
     with G.state_store(spark):
-        live = G.ledgers(spark.readStream.schema(frame.schema).parquet(src), WORDS, idle_ms=2000)
+        live = G.ledgers(spark.readStream.schema(frame.schema).parquet(src), WORDS, idle_ms=4000)
         q = live.writeStream.outputMode("update").foreachBatch(lambda b, k: b.coalesce(1).write.mode("overwrite").parquet(f"{out}/b={k}")).option("checkpointLocation", cp).trigger(processingTime="1 second").start()
         try:
             told = []
