@@ -4,8 +4,8 @@ The minimum covariance determinant is found by concentration steps over all docu
 for each group, the mean and covariance of the share of rows nearest to the last estimate. Rows are
 binned by their distance; a bin keeps a count and sums, so a group comes down to a fixed number of
 rows by partial aggregation, whatever its size, and the bins up to the share give the next estimate.
-Steps go on from two starts until no determinant falls any more; the start that ends with the smaller
-determinant wins.
+Two steps are made from two starts; the start with the smaller determinant then goes on until it falls
+no more. Groups that have settled take no part in the steps of the others.
 
 Every group has an estimate of its own, whatever its size: that of a language and source is drawn
 towards the language's, and that towards the one of all rows, as if PRIOR rows like those had been
@@ -28,8 +28,8 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 SHARE, TAIL = 0.75, 1e-7
 #: Rows of the wider group that a group's own are joined by.
 PRIOR = 50
-#: Steps end when no group's log determinant falls by more than FALL, or after so many.
-STEPS, FALL = 12, 0.01
+#: A group's steps end when its log determinant falls by no more than FALL, or after so many; of two starts the better goes on after TRIED steps.
+STEPS, FALL, TRIED = 12, 0.01, 2
 #: Distances are binned by so many bins for each doubling; rows of a group meet its estimate in so many parts.
 BINS, SALTS = 8, 16
 DIMS = ("_x0", "_x1", "_x2", "_x3", "_x4")
@@ -87,10 +87,11 @@ def started(vectors: DataFrame) -> DataFrame:
 
 
 def concentrated(vectors: DataFrame, last: DataFrame) -> DataFrame:
-    """One concentration step for every group and start at once: _group, _start, _n, _mean, _cov."""
+    """One concentration step for every group and start of last at once: _group, _start, _n, _mean, _cov, _inverse, _det, and the determinant before, _old."""
     bins = F.floor(F.log2(distance() + 1e-6) * BINS).cast("int").alias("_bin")
     sums = [F.sum(x).alias(f"_s{i}") for i, x in enumerate(DIMS)] + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"_q{i}{j}") for i in range(P) for j in range(i, P)]
-    keys = ["_group", "_start", "_n"]
+    keys = ["_group", "_start", "_n", "_old"]
+    last = last.drop("_old").withColumnRenamed("_det", "_old")
     salted = vectors.withColumn("_salt", F.pmod(F.xxhash64(*DIMS), F.lit(SALTS)).cast("int"))
     copies = last.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     binned = salted.join(copies, ["_group", "_salt"]).select(*keys, bins, *DIMS).groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), *sums)
@@ -103,24 +104,31 @@ def concentrated(vectors: DataFrame, last: DataFrame) -> DataFrame:
         n = near["_c"]
         mean = np.array([near[f"_s{i}"] / n for i in range(P)])
         cov = np.array([[near[f"_q{min(i, j)}{max(i, j)}"] / n for j in range(P)] for i in range(P)]) - np.outer(mean, mean)
-        cov = cov - np.diag(np.minimum(np.diag(cov), 0))  # rounding alone makes a variance negative
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "_mean": [mean.tolist()], "_cov": [(cov * correction).reshape(-1).tolist()]})
+        cov = (cov - np.diag(np.minimum(np.diag(cov), 0))) * correction  # rounding alone makes a variance negative
+        whole = tolerant(cov)
+        more = {"_mean": [mean.tolist()], "_cov": [cov.reshape(-1).tolist()], "_inverse": [np.linalg.inv(whole).reshape(-1).tolist()], "_det": [float(np.linalg.slogdet(whole)[1])]}
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, **more})
 
-    return binned.groupBy(*keys).applyInPandas(step, f"_group string, _start int, _n long, {ESTIMATE}")
+    return binned.groupBy(*keys).applyInPandas(step, f"_group string, _start int, _n long, _old double, {ESTIMATE}, _inverse array<double>, _det double")
 
 
 def fitted(vectors: DataFrame) -> DataFrame:
-    """_group, _n, _mean, _cov of every group. Each step's estimates, two rows for each group, are written, so that no step is computed twice."""
-    keys = ["_group", "_start", "_n"]
-    now = common.materialize(inverted(started(vectors), keys), "mcd")
-    best = now.filter(F.lit(False))
-    for step in range(STEPS):
-        last, now = now, common.materialize(inverted(concentrated(vectors, now), keys), "mcd")
-        best = now
-        if step and now.select("_group", "_start", "_det").join(last.select("_group", "_start", F.col("_det").alias("_old")), ["_group", "_start"]).filter(F.col("_old") - F.col("_det") > FALL).isEmpty():
+    """_group, _n, _mean, _cov of every group. Each step's estimates, a row or two for each group that goes on, are written, so that no step is computed twice."""
+    now = common.materialize(inverted(started(vectors), ["_group", "_start", "_n"]), "mcd")
+    settled = None
+    for step in range(1, STEPS + 1):
+        now = common.materialize(concentrated(vectors, now), "mcd")
+        if step < TRIED:
+            continue
+        if step == TRIED:
+            better = Window.partitionBy("_group").orderBy("_det", "_start")
+            now = now.withColumn("_k", F.row_number().over(better)).filter("_k = 1").drop("_k")
+        goes_on = (F.col("_old") - F.col("_det") > FALL) if step < STEPS else F.lit(False)
+        done = now.filter(~goes_on).select("_group", "_n", "_mean", "_cov")
+        settled, now = done if settled is None else settled.unionByName(done), now.filter(goes_on).drop("_old")
+        if now.isEmpty():
             break
-    first = Window.partitionBy("_group").orderBy("_det", "_start")
-    return best.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select("_group", "_n", "_mean", "_cov")
+    return settled
 
 
 def drawn(own: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
