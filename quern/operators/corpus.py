@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import runtime
 from ..functions import dates as D
 from ..functions import text as X
 from . import relational
@@ -178,11 +179,33 @@ def matrix(docs: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
     return docs.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def verified_against(left: DataFrame, right: DataFrame, terms: str, least: int = 2, salts: int = 8) -> DataFrame:
-    """Arg-max join: each left row (left_id, terms) with the right row (right_id, terms) that shares most terms, smallest id on ties, and a status. Joined on terms, so only rows that share one meet; a term's right rows are dealt over `salts` parts."""
-    a = left.select("left_id", F.explode(F.array_distinct(terms)).alias("_t")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = right.select("right_id", F.explode(F.array_distinct(terms)).alias("_t"), F.pmod(F.xxhash64("right_id"), F.lit(salts)).cast("int").alias("_s"))
-    n = a.join(b, ["_t", "_s"]).groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    best = n.withColumn("_n", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("shared"), "right_id"))).filter("_n = 1").drop("_n")
+def shared_pairs(left: DataFrame, right: DataFrame, terms: str, first: int = 2) -> DataFrame:
+    """left_id, right_id, shared: pairs among which each left row's best partner is, with the number of terms that they share.
+
+    A left row meets right rows through its `first` rarest terms; the best of those shares some number of terms. To share as many, a row must have one of the rarest terms up to all but that number less one, so the left row meets others through these alone. Frequent terms, which most pairs have in common, are compared but never joined on."""
+    a = runtime.written(left.select("left_id", F.array_distinct(terms).alias("_lt")).filter("left_id IS NOT NULL"), "left")
+    b = runtime.written(right.select("right_id", F.array_distinct(terms).alias("_rt")).filter("right_id IS NOT NULL"), "right")
+    asked, flat = a.select("left_id", F.explode("_lt").alias("_t")), b.select("right_id", F.explode("_rt").alias("_t"))
+    found = flat.join(asked.select("_t").distinct(), "_t", "left_semi").groupBy("_t").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("left_id")
+    rare = asked.join(found, "_t").withColumns({"_k": F.row_number().over(w.orderBy("_n", "_t")), "_size": F.count("*").over(w)})
+    rare = runtime.written(rare, "terms")
+
+    def met(some: DataFrame) -> DataFrame:
+        return some.join(flat, "_t").select("left_id", "right_id").distinct()
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.join(b, "right_id").join(a, "left_id").select("left_id", "right_id", F.size(F.array_intersect("_lt", "_rt")).alias("shared"))
+
+    near = runtime.written(counted(met(rare.filter(F.col("_k") <= first))), "pairs")
+    least = near.groupBy("left_id").agg(F.max("shared").alias("_least"))
+    more = rare.join(least, "left_id").filter((F.col("_k") > first) & (F.col("_k") <= F.col("_size") - F.col("_least") + 1))
+    return near.unionByName(counted(met(more).join(near.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")))
+
+
+def verified_against(left: DataFrame, right: DataFrame, terms: str, least: int = 2) -> DataFrame:
+    """Arg-max join: each left row (left_id, terms) with the right row (right_id, terms) that shares most terms, smallest id on ties, and a status. Rows meet through rare terms, as far as a better partner is possible (shared_pairs())."""
+    n = shared_pairs(left, right, terms)
+    best = n.groupBy("left_id").agg(F.min(F.struct((-F.col("shared")).alias("_s"), "right_id")).alias("_b")).select("left_id", "_b.right_id", (-F.col("_b._s")).alias("shared"))
     status = F.when(F.size(terms) < least, "low_signal").when(F.col("shared").isNull(), "unverified").when(F.col("shared") >= least, "station_matched").otherwise("conflict")
-    return left.join(best, "left_id", "left").select("left_id", "right_id", F.coalesce("shared", F.lit(0)).alias("shared"), status.alias("status"))
+    return left.join(best, "left_id", "left").select("left_id", "right_id", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), status.alias("status"))

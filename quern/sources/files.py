@@ -9,6 +9,7 @@ import re
 import time
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -158,8 +159,10 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(sheet_rows(data))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "row", "cells"])
+                sheet, at = sheet_rows(data), 0
+                while rows := list(islice(sheet, runtime.BATCH_ROWS)):  # a sheet of any length goes out in parts
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "row", "cells"])
+                    at += len(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
     return files.select("path", "content").mapInArrow(each, "path string, row long, cells array<string>")
