@@ -13,7 +13,7 @@ from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import runtime
@@ -153,6 +153,40 @@ def sheet_rows(data: bytes) -> Iterator[list[str]]:
             yield out
 
 
+#: Pages that a paged source is asked for at most; fields of an item by which it is known, the first that is not blank.
+MOST_PAGES, ITEM_KEYS = 8, ("url", "id", "title")
+
+
+def read_pages(spark: SparkSession, path: str, *, most: int = MOST_PAGES, items: str = "items", fields: str = "id string, url string, title string, summary string") -> DataFrame:
+    """page, position and the fields of a paged service's items, from recorded pages (a JSON object a file, its number the digits before the file's suffix).
+
+    Reading stops as a client's would: at the first page that is missing, cannot be parsed or has no item, and after `most` pages. Items that were seen before, by url, else id, else title, are left out; those with none of them stay. Later files of a page's number take no part."""
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.[^.]*$", 1).try_cast("int").alias("page"), F.col("_metadata.file_name").alias("_name"), F.from_json("value", f"{items} array<struct<{fields}>>")[items].alias("_items"))
+    pages = texts.filter(F.col("page").between(1, most)).groupBy("page").agg(F.min_by("_items", "_name").alias("_items")).filter(F.size(F.coalesce("_items", F.array())) > 0)
+    w = Window.orderBy("page")  # `most` rows
+    pages = pages.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == F.col("page"))
+    rows = pages.select("page", F.posexplode("_items").alias("position", "_i")).select("page", "position", "_i.*")
+    known = F.coalesce(*(F.when(F.trim(c) != "", F.concat(F.lit(f"{c}:"), F.trim(c))) for c in ITEM_KEYS if c in rows.columns), F.concat_ws(":", F.lit("row"), "page", "position"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(known).orderBy("page", "position"))).filter("_n = 1").drop("_n")
+
+
+def event_parts(lines: DataFrame) -> DataFrame:
+    """lines (with a column value) of event streams, those that begin with data: alone, with kind (delta, done or other) and delta: the text that a JSON event adds. A batch and a stream of lines take it alike."""
+    body = F.trim(F.substring("value", 6, 1 << 30))
+    parsed = F.coalesce(F.get_json_object(body, "$.delta"), F.get_json_object(body, "$.choices[0].delta.content"))
+    found = lines.filter(F.col("value").startswith("data:"))
+    return found.withColumns({"kind": F.when(body == "[DONE]", "done").when(parsed.isNotNull(), "delta").otherwise("other"), "delta": parsed})
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """file, answer, events, done of recorded event streams: the deltas before the first [DONE] in the order of lines, how many there were, and whether [DONE] came. Files without a data line have no row."""
+    parts = event_parts(numbered_lines(spark, path))
+    end = F.min(F.when(F.col("kind") == "done", F.col("line"))).over(Window.partitionBy("file"))
+    told = parts.withColumn("_end", end).filter(F.col("_end").isNull() | (F.col("line") <= F.col("_end")))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("line", "delta")))), lambda x: x["delta"])
+    return told.groupBy("file").agg(F.array_join(texts, "").alias("answer"), F.count_if(F.col("kind") == "delta").alias("events"), F.bool_or(F.col("kind") == "done").alias("done"))
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """path, row (from 0) and cells of every workbook's first sheet; one task reads a workbook."""
 
