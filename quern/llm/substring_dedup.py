@@ -144,8 +144,8 @@ def contents(found: DataFrame) -> DataFrame:
 def window_by_window(found: DataFrame, window: int) -> DataFrame:
     """Each window of the segments as a segment of its own, named by all its words."""
     words = F.split("_words", " ")
-    each = found.select("_doc", "_row", "_start", words.alias("_w"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("_k"))
-    each = each.select("_doc", "_row", (F.col("_start") + F.col("_k")).alias("_start"), F.array_join(F.slice("_w", F.col("_k") + 1, window), " ").alias("_words"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda k: F.struct((F.col("_start") + k).alias("_start"), F.array_join(F.slice("_w", k + 1, window), " ").alias("_words")))  # a long segment's words are copied a window at a time
+    each = found.select("_doc", "_row", "_start", words.alias("_w")).select("_doc", "_row", F.explode(cut).alias("_c")).select("_doc", "_row", "_c.*")
     return each.select(F.xxhash64("_words").alias("_key"), F.xxhash64(F.lit(7), "_words").alias("_h"), "_doc", "_row", "_start", "_words")
 
 
