@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators import ranking as K
+from ..operators import scorers as Z
 from ..operators import vector as V
 from ..sources.tables import NEWS, NOW, news, table
 from . import retrieval as P
@@ -92,6 +93,25 @@ def remote_rank(spark, d):
     return K.scored_first(P.recalled(spark, d).withColumn("remote_score", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 31 % 97))).select("query_id", "doc_id", "rank")
 
 
+def _lengths():
+    """A scorer that stands for a remote one: it scores by length, and refuses calls with a length that 11 divides."""
+
+    def score(query, texts):
+        if any(len(t) % 11 == 0 for t in texts):
+            raise ConnectionError("refused")
+        return [len(t) * 31 % 97 for t in texts]
+
+    return score
+
+
+@query("transport_rank", f"""WITH {CAND}, c AS (SELECT *, bool_or(length(text) % 11 = 0) OVER (PARTITION BY query_id, (pos - 1) // 5) AS failed FROM cand), s AS (SELECT *, CASE WHEN NOT failed THEN CAST(length(text) * 31 % 97 AS DOUBLE) END AS remote_score FROM c)
+SELECT query_id, doc_id, remote_score, failed, row_number() OVER (PARTITION BY query_id ORDER BY remote_score DESC NULLS LAST, pos) AS rank FROM s""")
+def transport_rank(spark, d):
+    """Candidates by an injected scorer that fails on some calls of five; those stay behind in recall order."""
+    df = Z.scored(P.recalled(spark, d), _lengths, batch=5, attempts=1)
+    return K.scored_first(df).select("query_id", "doc_id", "remote_score", F.col("score_error").isNotNull().alias("failed"), "rank")
+
+
 @query("source_preference", f"WITH {CAND} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source IN ('src1', 'src2') DESC, pos) AS rank FROM cand")
 def source_preference(spark, d):
     return K.preferred_first(P.recalled(spark, d), F.col("source").isin("src1", "src2")).select("query_id", "doc_id", "rank")
