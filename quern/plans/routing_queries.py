@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import table_functions
 from ..functions import text as X
 from ..operators import normalise as N
+from ..operators import nested as J
 from ..operators import routing as R
 from ..sources.tables import NEWS, news, over, table
 from .registry import query
@@ -152,3 +153,16 @@ def sliding_chunks_function(spark, d):
 def recent_history_function(spark, d):
     table_functions.register(spark, d)
     return spark.sql("SELECT * FROM recent_history(7)")
+
+
+_TALK = "SELECT conv_id, to_json({'id': conv_id, 'turns': list({'role': role, 'text': text, 'more': {'n': [turn, length(text)], 'last': turn > 2}} ORDER BY turn)}) AS j FROM conversations GROUP BY conv_id"
+
+
+@query("nested_leaves", f"SELECT conv_id, fullkey AS path, json_extract_string(j, fullkey) AS value FROM (SELECT conv_id, j, unnest(list_filter(json_tree_rows, lambda r: r.a IS NOT NULL)).k AS fullkey FROM (SELECT conv_id, j, (SELECT list({{'k': fullkey, 'a': atom}}) FROM json_tree(j)) AS json_tree_rows FROM ({_TALK})))")
+def nested_leaves(spark, d):
+    """Every leaf of conversations that are written as nested JSON, by its path."""
+    m = table(spark, d, "conversations")
+    turn = F.struct("role", "text", F.struct(F.array(F.col("turn"), F.char_length("text").cast("long")).alias("n"), (F.col("turn") > 2).alias("last")).alias("more"))
+    talks = m.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))), lambda x: x["t"]).alias("turns"))
+    talks = talks.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), "turns")).alias("j"))
+    return J.leaves(talks, "conv_id", "j").select("conv_id", "path", "value")
