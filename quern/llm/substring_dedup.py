@@ -27,6 +27,8 @@ from . import common
 WINDOW, GRAM = 20, 6
 #: Words of a reference shard, and contents of one name above which its windows are named one by one.
 SHARD_WORDS, NAME_CONTENTS = 150_000, 4000
+#: Names of so many contents that are broadcast at most (8 MB); more are joined by key.
+BROADCAST_NAMES = 1_000_000
 #: Odd multiplier of the grams' hashes.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
@@ -260,7 +262,8 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_wo
     many = names.filter(F.col("_contents") > name_contents).select("_key")
     words = names.filter(F.col("_contents") <= name_contents).agg(F.sum("_w")).first()[0] or 0
     held = contents(found)
-    if not many.isEmpty():  # their segments alone are cut anew
+    if n := many.count():  # their segments alone are cut anew
+        many = F.broadcast(many) if n <= BROADCAST_NAMES else many  # else segments of a frequent name would meet in one task
         cut = common.materialize(window_by_window(found.join(many, "_key", "left_semi"), window), "windows")
         rest = found.join(many, "_key", "left_anti")
         held, found = contents(rest).unionByName(contents(cut)), rest.unionByName(cut)
