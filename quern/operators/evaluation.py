@@ -137,34 +137,6 @@ def presence(ids: DataFrame, key: str, stores: Mapping[str, tuple[DataFrame, str
     return out.select(key, F.array_join(found, ",").alias("present_in"), F.when(F.size(found) == len(stores), "everywhere").when(F.size(found) == 0, "missing").otherwise("partly").alias("status"))
 
 
-def quotas(counts: Mapping[str, int], share: float) -> dict[str, int]:
-    """Held-out rows of each class by largest remainders; at most all but one."""
-    total = max(1, round(sum(counts.values()) * share))
-    exact = {k: total * n / max(1, sum(counts.values())) for k, n in counts.items()}
-    out = {k: min(int(x), max(0, counts[k] - 1)) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (-(exact[k] - int(exact[k])), str(k))):
-        if sum(out.values()) < total and out[k] < counts[k] - 1:
-            out[k] += 1
-    return out
-
-
-def split_groups(groups: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
-    """group_key and side, train or heldout: whole groups, smaller ones first and then by a seeded hash, as long as no class exceeds its share of held-out rows. groups: group_key, class, n.
-
-    A group is held out if, for each of its classes, the rows of the groups up to it stay within the class's quota: running sums, which no group has to wait for. To the driver come the classes' totals alone."""
-    from . import relational
-
-    counts = {r["class"]: r["n"] for r in groups.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    lack = quotas(counts, share)
-    sized = groups.groupBy("group_key").agg(F.sum("n").alias("_size"))
-    placed = groups.join(sized, "group_key").withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(seed), "group_key"), 256))
-    running = relational.running_sum(placed, ["class"], ["_size", "_hash", "group_key"], "n", "_run")
-    quota = F.lit(0)
-    for c, n in lack.items():
-        quota = F.when(F.col("class").eqNullSafe(F.lit(c)), n).otherwise(quota)
-    return running.groupBy("group_key").agg(F.bool_and(F.col("_run") <= quota).alias("_held")).select("group_key", F.when(F.col("_held"), "heldout").otherwise("train").alias("side"))
-
-
 def answer_checks(answers: DataFrame, *, longest: int, refusals: Sequence[str], unsafe: Sequence[str], guards: Sequence[str] = (), asks: Sequence[str] = (), phrases: Sequence[str] = (), slack: float = 1.05) -> DataFrame:
     """Violations and warnings of an answer's contract, whether it passed, and the risk: high with a violation, medium with a warning, else low. answers: query, answer, citations, evidence (ids), evidence_text, needs_evidence, must_cite.
 

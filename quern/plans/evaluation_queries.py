@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import splits as S
 from ..operators import vector as V
 from ..sources.tables import over, table
 from .ranking_queries import KNN
@@ -154,10 +155,19 @@ def large_copy(spark, d):
 t AS (SELECT doc_id, a AS tok FROM d UNION SELECT doc_id, b FROM d),
 reach(doc_id, tok) AS (SELECT doc_id, tok FROM t UNION SELECT r.doc_id, t2.tok FROM reach r JOIN t t1 ON t1.tok = r.tok JOIN t t2 ON t2.doc_id = t1.doc_id),
 g AS (SELECT doc_id, min(tok) AS k FROM reach GROUP BY doc_id), n AS (SELECT k, lang, count(*) AS n FROM g JOIN d USING (doc_id) GROUP BY k, lang),
-c AS (SELECT lang, sum(n) AS n, sum(sum(n)) OVER () AS every FROM n GROUP BY lang), x AS (SELECT *, greatest(1, round_even(every * 0.3, 0)) AS total FROM c), y AS (SELECT *, total * n / every AS exact, greatest(0, least(floor(total * n / every), n - 1)) AS base FROM x),
-q AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, lang) <= total - sum(base) OVER () AND base < n - 1 THEN 1 ELSE 0 END AS quota FROM y),
-s AS (SELECT *, sum(n) OVER (PARTITION BY k) AS size FROM n), r AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY size, sha256('0:' || k), k ROWS UNBOUNDED PRECEDING) AS run FROM s),
-h AS (SELECT k, CASE WHEN bool_and(run <= quota) THEN 'heldout' ELSE 'train' END AS side FROM r JOIN q USING (lang) GROUP BY k)
+c AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum(n)) OVER () AS BIGINT) AS every FROM n GROUP BY lang), x AS (SELECT *, least(CAST(ceil(every * CAST(0.3 AS DOUBLE)) AS BIGINT), every - 1) AS goal FROM c),
+y AS (SELECT *, n * goal % every AS rest, least(n * goal // every, n - 1) AS base FROM x),
+q AS (SELECT lang, goal, base + CASE WHEN row_number() OVER (ORDER BY base < n - 1 DESC, rest DESC, n DESC, lang) <= goal - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM y),
+w AS (SELECT k, '[' || string_agg('{"class":"' || lang || '","n":' || n || '}', ',' ORDER BY lang) || ']' AS kind, CAST(sum(n) AS BIGINT) AS size FROM n GROUP BY k),
+o AS (SELECT kind, size, count(*) AS copies, min(k) AS one, row_number() OVER (ORDER BY size, sha256('0:' || kind)) AS j FROM w GROUP BY kind, size),
+z AS (SELECT o.j, list(coalesce(n.n, 0) ORDER BY q.lang) AS v FROM o CROSS JOIN q LEFT JOIN n ON n.k = o.one AND n.lang = q.lang GROUP BY o.j),
+l AS (SELECT list(v ORDER BY j) AS v, list(size ORDER BY j) AS size, list(copies ORDER BY j) AS copies FROM o JOIN z USING (j)), m AS (SELECT list(CAST(quota AS BIGINT) ORDER BY lang) AS lack, max(goal) AS goal FROM q),
+b AS (SELECT copies AS own, lack, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS pick FROM l, m UNION ALL
+SELECT list_transform(own, lambda c, i: CASE WHEN i = best THEN c - 1 ELSE c END), list_transform(lack, lambda d, i: greatest(0, d - v[best][i])), total + size[best], best
+FROM (SELECT *, list_position(gains, list_max(gains)) AS best FROM (SELECT b.*, l.v, l.size, list_transform(own, lambda c, i: CASE WHEN c > 0 AND total + l.size[i] <= m.goal THEN greatest(CAST(list_sum(list_transform(b.lack, lambda d, j: least(d, l.v[i][j]))) AS DOUBLE), 0.01) ELSE -1 END) AS gains FROM b, l, m) WHERE list_max(gains) > 0)),
+e AS (SELECT * FROM b ORDER BY total DESC LIMIT 1), v AS (SELECT o.*, e.own[j] AS rest, e.total, m.goal FROM o, e, m),
+f AS (SELECT j FROM v WHERE rest > 0 AND abs(goal - total - size) < goal - total ORDER BY abs(goal - total - size), j LIMIT 1), g2 AS (SELECT kind, copies - rest + CASE WHEN j IN (SELECT j FROM f) THEN 1 ELSE 0 END AS held FROM v),
+h AS (SELECT k, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY sha256('0:' || k), k) <= held THEN 'heldout' ELSE 'train' END AS side FROM w JOIN g2 USING (kind))
 SELECT side, lang, CAST(sum(n) AS BIGINT) AS n FROM n JOIN h USING (k) GROUP BY side, lang""")
 def group_split(spark, d):
     """Labelled documents that share a text or a first line stay on one side."""
@@ -165,7 +175,7 @@ def group_split(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", "lang", tokens.alias("tokens"))
     g = G.groups_by_token(docs, "doc_id", "tokens").join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id")
     counted = runtime.written(g.groupBy("group_key", F.col("lang").alias("class")).agg(F.count("*").alias("n")), "groups")
-    return counted.join(E.split_groups(counted), "group_key").groupBy("side", F.col("class").alias("lang")).agg(F.sum("n").alias("n"))
+    return counted.join(S.split_groups(counted), "group_key").groupBy("side", F.col("class").alias("lang")).agg(F.sum("n").alias("n"))
 
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")

@@ -133,15 +133,6 @@ def test_metrics_by_hand(spark):
     assert (got["recall_at_k"], got["mrr"], got["evidence_recall"]) == (1.0, 0.5, 1.0)
 
 
-def test_split_keeps_groups_and_quotas(spark):
-    rows = [(f"g{i}", "abc"[i % 3], 1 + i % 2) for i in range(40)]
-    split = lambda rows: {x["group_key"]: x["side"] for x in E.split_groups(spark.createDataFrame(rows, "group_key string, class string, n int")).collect()}
-    sides = split(rows)
-    assert sides == split(rows[::-1]) and set(sides) == {g for g, *_ in rows}
-    held = sum(n for g, _, n in rows if sides[g] == "heldout")
-    assert 0.2 < held / sum(n for *_, n in rows) <= 0.31
-
-
 def test_large_copy(spark):
     a = spark.createDataFrame([(1, "q" * 7 + "the quick brown fox jumps over the lazy dog and runs far away" + "z" * 9), (2, "short"), (3, None)], "answer_id long, answer string")
     e = spark.createDataFrame([(9, "0123456789 the quick brown fox jumps over the lazy dog and runs far off"), (8, "nothing of the kind is here, nothing of the kind at all")], "evidence_id long, evidence string")
