@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..functions import text as X
 from ..operators import relational as R
+from ..sources import merge_tables as M
 from ..sources.tables import EVENTS, NEWS, item_events, news, table
 from .registry import query
 
@@ -147,6 +149,20 @@ def upsert_parents(spark, d):
     return R.merge_into(old, new, "doc_id", ["content"])
 
 
+@query("merged_upserts", """WITH a AS (SELECT doc_id, text AS content, source FROM documents UNION ALL SELECT 1000000000 + item_id, text, 'benchmark' FROM benchmark), b AS (SELECT doc_id, CASE WHEN doc_id < 1000000000 AND doc_id % 50 = 0 THEN content || ' (new)' ELSE content END AS content, source FROM a)
+SELECT doc_id, sha256(content) AS content_sha256, source FROM b WHERE doc_id % 64 <> 3""")
+def merged_upserts(spark, d):
+    """A table that takes a merge and a delete: every fiftieth document comes again with new content (which is overwritten) and another source (which is not), benchmark items come as new rows, and each key that leaves 3 when divided by 64 goes."""
+    docs, path = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), "source"), runtime.new_path(spark, "merged")
+    again = docs.filter("doc_id % 50 = 0").select("doc_id", F.concat("content", F.lit(" (new)")).alias("content"), F.lit("other").alias("source"))
+    items = table(spark, d, "benchmark").select((F.lit(1_000_000_000) + F.col("item_id")).alias("doc_id"), F.col("text").alias("content"), F.lit("benchmark").alias("source"))
+    M.create(docs, path, "doc_id", slots=4, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    M.merge(path, again.unionByName(items), ["content"])
+    M.delete(path, M.read(spark, path).filter("doc_id % 64 = 3").select("doc_id"))
+    M.forget(spark, path)
+    return M.read(spark, path).select("doc_id", F.sha2("content", 256).alias("content_sha256"), "source")
+
+
 @query("partial_update", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer")
 def partial_update(spark, d):
     old = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
