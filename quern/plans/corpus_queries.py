@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators import dictionary as K
 from ..operators import graph as G
 from ..operators import relational as R
 from ..sources.tables import NEWS, NOW, news, table
@@ -128,6 +129,26 @@ def tag_classify(spark, d):
     return news(spark, d).select("doc_id", F.array_join(labels, ",").alias("labels"), primary.alias("primary_label"))
 
 
+DICTIONARY = """bt AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+[^a-z0-9]*') AS t FROM benchmark), bi AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM bt),
+bw AS (SELECT regexp_extract(t[i], '^[a-z0-9]+') AS a, t[i] AS ta, regexp_extract(t[i + 1], '^[a-z0-9]+') AS b FROM bi),
+kw AS (SELECT DISTINCT k AS keyword, 'k' || (length(k) % 5) AS label FROM (SELECT a AS k FROM bw UNION ALL SELECT a || ' ' || b FROM bw WHERE ta = a || ' ' AND b <> '') WHERE length(k) >= 6)"""
+
+
+@query("dictionary_tags", f"""WITH {DICTIONARY}, dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+[^a-z0-9]*') AS t FROM documents), di AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM dt),
+dw AS (SELECT DISTINCT doc_id, unnest([regexp_extract(t[i], '^[a-z0-9]+'), t[i] || regexp_extract(t[i + 1], '^[a-z0-9]+')]) AS keyword FROM di),
+h AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(DISTINCT keyword) AS n_keywords FROM dw JOIN kw USING (keyword) GROUP BY doc_id)
+SELECT doc_id, coalesce(labels, '') AS labels, CASE WHEN contains(labels, 'k3') THEN 'k3' WHEN contains(labels, 'k1') THEN 'k1' ELSE coalesce(substr(labels, 1, 2), 'other') END AS primary_label, coalesce(n_keywords, 0) AS n_keywords FROM documents LEFT JOIN h USING (doc_id)""")
+def dictionary_tags(spark, d):
+    """Documents by a dictionary of all words and pairs of words (six characters or more) of the benchmark: labels by the keyword's length."""
+    texts = table(spark, d, "benchmark").select(F.lower("text").alias("t"))
+    word = F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))
+    pair = F.explode(F.regexp_extract_all("t", F.lit("(?=(?<![a-z0-9])([a-z0-9]+ [a-z0-9]+))"), F.lit(1)))
+    words = texts.select(word.alias("keyword")).unionByName(texts.select(pair.alias("keyword"))).filter(F.length("keyword") >= 6).distinct()
+    words = words.withColumn("label", F.concat(F.lit("k"), (F.length("keyword") % 5).cast("string")))
+    found = K.tagged_by(table(spark, d, "documents"), "doc_id", "text", words, ["k3", "k1"])
+    return found.select("doc_id", F.array_join("labels", ",").alias("labels"), F.col("primary").alias("primary_label"), "n_keywords")
+
+
 @query("source_normalised", "SELECT grp, count(*) AS n FROM (SELECT CASE WHEN contains(source, 'src1') THEN 'teens' WHEN contains(source, 'src2') OR contains(source, 'src3') THEN 'few' ELSE 'rest' END AS grp FROM documents) GROUP BY grp")
 def source_normalised(spark, d):
     return table(spark, d, "documents").groupBy(C.first_rule(F.col("source"), [("teens", ["src1"]), ("few", ["src2", "src3"])], "rest").alias("grp")).agg(F.count("*").alias("n"))
