@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..functions import text as X
 
 #: Bits of the filter that a text's windows pass before the join: 128 KB whatever the dictionary's size.
 BITS = 1 << 20
+#: Windows of a text that are made different at once.
+TOGETHER = 1 << 14
 WORD = re.compile("[a-z0-9]+")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -41,19 +44,21 @@ def spans(text: str, words: list[tuple[int, int]], kind: str, a: int, b: int, c:
         yield from ((m.start() - b, m.start() - b + a) for m in re.finditer(r"[^\x00-\x7F]", text))
 
 
-def windows(text: str, shapes: Sequence[tuple[str, int, int, int]], bits: np.ndarray) -> set[str]:
+def windows(text: str, shapes: Sequence[tuple[str, int, int, int]], bits: bytes) -> set[str]:
     """The different windows of a lower-cased text that have one of the shapes, stand between no letters or digits (kind c: anywhere) and pass the filter."""
     words, out = [m.span() for m in WORD.finditer(text)], set()
     for kind, *n in shapes:
-        for lo, hi in spans(text, words, kind, *n):
-            if lo < 0 or hi > len(text):
-                continue
-            w = text[lo:hi]
-            if kind != "c" and ((lo and text[lo - 1] in LETTERS) or text[hi : hi + 1] in LETTERS):
-                continue
-            at = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS
-            if bits[at >> 3] >> (at & 7) & 1:
-                out.add(w)
+        places = spans(text, words, kind, *n)
+        alone = kind == "c" or (kind == "w" and n[1:] == [0, 0])  # a run of whole words always stands alone
+        while some := list(islice(places, TOGETHER)):
+            if alone:
+                different = {text[lo:hi] for lo, hi in some if 0 <= lo and hi <= len(text)}
+            else:
+                different = {text[lo:hi] for lo, hi in some if 0 <= lo and hi <= len(text) and not ((lo and text[lo - 1] in LETTERS) or text[hi : hi + 1] in LETTERS)}
+            for w in different - out:
+                at = crc32(w.encode("utf-8", "surrogatepass")) % BITS
+                if bits[at >> 3] >> (at & 7) & 1:
+                    out.add(w)
     return out
 
 
@@ -66,13 +71,14 @@ def hits(docs: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFra
     bits = np.zeros(BITS // 8, dtype=np.uint8)
     at = np.array([r[0] for r in words.select((F.crc32(F.encode("keyword", "UTF-8")) % BITS).cast("int")).distinct().collect()], dtype=np.int64)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    mask = bits.tobytes()
     runtime.prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, found = [], []
             for i, t in enumerate(b.column(1)):
-                some = windows(t.as_py() or "", shapes, bits) or [None]
+                some = windows(t.as_py() or "", shapes, mask) or [None]
                 rows += [i] * len(some)
                 found += some
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["_key", "_w"])
