@@ -1,6 +1,9 @@
 """The maintained vector index against the exact search, and what upserts, predicates and awkward rows do to it."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +89,21 @@ def test_exact_search_of_mixed_lengths(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.1, 0.0]), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, [1.0, None]), (8, None), (9, [])], "vec_id long, embedding array<double>")
     got = {(r["query_id"], r["vec_id"]) for r in V.exact_knn(rows.select(F.col("vec_id").alias("query_id"), "embedding"), rows, 3).collect()}
     assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_a_block_of_the_exact_search_is_bounded():
+    """Many queries take no more memory at once than a few, and ties at a query's last place go to the smaller id."""
+    rng = np.random.default_rng(8)
+    v, q = rng.integers(-2, 3, (V.BLOCK_ROWS, 3)) + 0.5, rng.integers(-2, 3, (700, 3)) + 0.5
+    left, right = pd.DataFrame({"vec_id": rng.permutation(len(v)), "embedding": list(v)}), pd.DataFrame({"query_id": np.arange(700), "embedding": list(q)})
+    tracemalloc.start()
+    got = V.nearest_in(left, right, 4, 6, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(v) * len(q)  # all scores of the block
+    ids = left["vec_id"].to_numpy()
+    for i in (0, 63, 64, 699):
+        score = np.round((v @ q[i]) / np.sqrt((v * v).sum(axis=1)) / np.sqrt((q[i] * q[i]).sum()), 6)
+        want = [(int(n), s) for s, n in sorted((-s, n) for s, n in zip(score, ids, strict=True) if n != i)[:4]]
+        mine = got[got["query_id"] == i].sort_values(["score", "vec_id"], ascending=[False, True])
+        assert mine["vec_id"].tolist() == [n for n, _ in want]
