@@ -104,6 +104,15 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.array(column.to_list(), dtype=np.int64).reshape(len(column), dims)
 
 
+def sampled(base: DataFrame, n: int, dims: int) -> np.ndarray:
+    """About FIT_ROWS of base's n vectors, chosen by a hash where they lie: an ordered limit would bring FIT_ROWS rows of every partition to the driver."""
+    order = F.xxhash64("vec_id")
+    some = base.select("vec_id", "_x") if n <= FIT_ROWS else base.filter(F.pmod(order, F.lit(n)) < FIT_ROWS).select("vec_id", "_x")
+    told = some.toArrow()
+    x = told["_x"].combine_chunks().flatten().to_numpy().reshape(len(told), dims) if len(told) else np.zeros((0, dims), dtype=np.int64)
+    return x[np.argsort(told["vec_id"].to_numpy(), kind="stable")].astype(np.float64)
+
+
 INDEX = "_block int, _n int, _ids binary, _labels binary, _codes binary, _norms binary, _x binary"
 
 
@@ -170,13 +179,16 @@ def negatives_in(b: Block, q: Quantiser, ids: np.ndarray, labels: np.ndarray, x:
 
 
 def met(blocks: DataFrame, asked: DataFrame, n_blocks: int, n_anchors: int, each, schema: str) -> DataFrame:
-    """Every block with every chunk of anchors: asked (vec_id, _label, _x, ...) is packed by chunks, which are dealt to all blocks by key. each(block row, chunk's columns) gives rows."""
+    """Every block with every chunk of anchors: asked (vec_id, _label, _x, ...) is packed by chunks, which are dealt to all blocks by key. each(block row, chunk's columns) gives rows.
+
+    Both sides are shuffled to the join: a plan takes the chunks' copies for as small as the chunks, and would gather them all on the driver for a broadcast."""
     chunks = max(1, -(-n_anchors // CHUNK_ANCHORS))
     columns = [c for c in asked.columns if c != "_dims"]
     packed = asked.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(chunks)).cast("int")).groupBy("_chunk").agg(F.collect_list(F.struct(*columns)).alias("_asked"))
     dealt = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    both = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(dealt, ["_block", "_chunk"])
     parts = min(n_blocks * chunks, max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks.sparkSession.sparkContext.defaultParallelism))
+    placed = lambda df: df.repartition(parts, "_block", "_chunk").hint("merge")
+    both = placed(blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))).join(placed(dealt), ["_block", "_chunk"])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +198,7 @@ def met(blocks: DataFrame, asked: DataFrame, n_blocks: int, n_anchors: int, each
                 if rows := each(row):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return both.repartition(parts, "_block", "_chunk").mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def mine(rows: DataFrame, *, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST, part: int = PART, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -203,8 +215,7 @@ def mine(rows: DataFrame, *, every: int = EVERY, positives: int = POSITIVES, neg
 
 
 def _mined(base: DataFrame, dims: int, n: int, n_anchors: int, every: int, positives: int, negatives: int, least: int, most: int, part: int, block_rows: int) -> DataFrame:
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("_x").toPandas()["_x"]  # bounded
-    quantiser = Quantiser(matrix(sample, dims).astype(np.float64), part)
+    quantiser = Quantiser(sampled(base, n, dims), part)
     parts, n_blocks = len(quantiser.cuts), max(1, -(-n // block_rows))
     blocks = common.materialize(index(base, quantiser, dims, n_blocks), "index")
     anchors = base.filter(F.col("vec_id") % every == 0).select("vec_id", "_label", "_x")

@@ -213,6 +213,19 @@ def test_hard_negatives_are_plain(spark, kind):
     assert hard_negatives.mine(df.limit(0)).count() == 0
 
 
+def test_hard_negatives_gather_little_on_the_driver(spark):
+    """The anchors' copies for all blocks are not broadcast, and the sample of the fit is chosen where the rows are."""
+    base = spark.range(40_000).select(F.col("id").alias("vec_id"), F.array(F.col("id"), F.col("id") + 1).alias("_x"))
+    some = hard_negatives.sampled(base, 40_000, 2)
+    assert 0.9 * hard_negatives.FIT_ROWS < len(some) < 1.1 * hard_negatives.FIT_ROWS and (hard_negatives.sampled(base.repartition(9), 40_000, 2) == some).all()
+    assert hard_negatives.sampled(base.limit(0), 0, 2).shape == (0, 2) and len(hard_negatives.sampled(base.limit(70), 70, 2)) == 70
+    rows = spark.range(8).select(F.col("id").cast("int").alias("_block"))
+    asked = spark.range(50).select(F.col("id").alias("vec_id"), F.lit(1).alias("_label"))
+    met = hard_negatives.met(rows, asked, 8, 50, lambda row: [(row["_block"], a["vec_id"]) for a in row["_asked"]], "block long, vec_id long")
+    assert met.count() == met.distinct().count() == 400
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_hold_and_filter():
     rng = np.random.default_rng(1)
     x = np.floor(256 * rng.standard_normal((3000, 16)))
