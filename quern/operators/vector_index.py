@@ -248,13 +248,28 @@ def candidates(index: Index, queries: DataFrame, most: int, where: Column | None
     return data.groupBy("_list", "_piece", "_turn").cogroup(asked.groupBy("_ql", "_qp", "_qt")).applyInPandas(one, schema)
 
 
+def copies(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, _list: of the stored rows (_list, vec_id, _v) whose vector is equal to a query's (query_id, _q) the k with the smallest ids, but not its own id. A vector's rows are cut to k + 1 before they meet its queries."""
+    least = Window.partitionBy("_h", "_v").orderBy("vec_id")
+    asked = queries.select(F.xxhash64("_q").alias("_h"), "_q", "query_id")
+    same = rows.withColumn("_h", F.xxhash64("_v")).join(asked.select("_h").distinct(), "_h", "left_semi")
+    same = same.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1)
+    met = asked.join(same, "_h").filter((F.col("_q") == F.col("_v")) & (F.col("query_id") != F.col("vec_id")))
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id"))).filter(F.col("_n") <= k).select("query_id", "vec_id", "_list")
+
+
 def search(index: Index, queries: DataFrame, k: int, *, where: Column | None = None, digits: int = 6) -> DataFrame:
-    """query_id, vec_id, score, rank: approximately the k nearest of each query (query_id, embedding) by cosine, as exact_knn() gives them; scores are exact. where: a predicate on metadata. Queries of another length than the index's find nothing."""
+    """query_id, vec_id, score, rank: approximately the k nearest of each query (query_id, embedding) by cosine, as exact_knn() gives them; scores are exact. where: a predicate on metadata. Queries of another length than the index's find nothing.
+
+    Codes tell vectors of a dense cluster badly apart, so rows whose vector is equal to the query's are looked up by its hash as well, and always found."""
     spark = runtime.prepare(queries.sparkSession)
     best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
     near = candidates(index, queries, index.rescored, where).withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= index.rescored).drop("_place", "approx")
-    vectors = stored(spark, index).select("_list", "vec_id", F.col("embedding").alias("_v"))
-    both = near.join(vectors, ["_list", "vec_id"]).join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    vectors = stored(spark, index)
+    vectors = (vectors if where is None else vectors.filter(where)).select("_list", "vec_id", F.col("embedding").alias("_v"))
+    asked = V.usable(queries.select("query_id", "embedding")).filter(F.col("query_id").isNotNull()).select("query_id", F.col("embedding").alias("_q"))
+    near = near.select("query_id", "vec_id", "_list").unionByName(copies(vectors, asked, k)).distinct()
+    both = near.join(vectors, ["_list", "vec_id"]).join(asked, "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cosine = dot(F.col("_q"), F.col("_v")) / F.sqrt(dot(F.col("_q"), F.col("_q"))) / F.sqrt(dot(F.col("_v"), F.col("_v")))
     found = both.select("query_id", "vec_id", F.round(cosine, digits).alias("score"))

@@ -107,3 +107,18 @@ def test_a_block_of_the_exact_search_is_bounded():
         want = [(int(n), s) for s, n in sorted((-s, n) for s, n in zip(score, ids, strict=True) if n != i)[:4]]
         mine = got[got["query_id"] == i].sort_values(["score", "vec_id"], ascending=[False, True])
         assert mine["vec_id"].tolist() == [n for n, _ in want]
+
+
+def test_copies_are_found_whatever_the_codes_tell(spark):
+    """A query's copies come first even where the search scores one vector of a dense cluster exactly, and a common vector gives no more rows than are asked for."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal(DIMS) + 1e-2 * rng.standard_normal((600, DIMS))
+    v[1:600:20] = v[0:600:20]
+    v[500:540] = v[500]
+    rows = frame(spark, v)
+    index = I.replace(I.build(rows, meta=("label",), lists=4, k=3, rounds=1), probes=1, rescored=1)
+    got = {r["query_id"]: (r["vec_id"], r["score"]) for r in I.search(index, asked(rows, 20), 1).collect()}
+    assert got == {i: (500 if 500 < i < 540 else 501 if i == 500 else i + 1, 1.0) for i in range(0, 600, 20)}
+    assert I.search(index, asked(rows, 20), 1, where=F.col("label") == 0).filter("vec_id % 4 <> 0").count() == 0
+    found = [(r["query_id"], r["vec_id"]) for r in I.search(index, asked(rows, 20).filter("query_id = 520"), 3).collect()]
+    assert sorted(found) == [(520, 500), (520, 501), (520, 502)]
