@@ -60,8 +60,9 @@ def matrix(column: pd.Series, dims: int) -> np.ndarray:
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(axis=1) / 2
     out = np.empty(len(x), dtype=np.int64)
-    for lo in range(0, len(x), 4096):
-        out[lo : lo + 4096] = (x[lo : lo + 4096] @ centres.T - half).argmax(axis=1)
+    at_once = max(1, V.SCORES // max(1, len(centres)))
+    for lo in range(0, len(x), at_once):
+        out[lo : lo + at_once] = (x[lo : lo + at_once] @ centres.T - half).argmax(axis=1)
     return out
 
 
@@ -233,16 +234,19 @@ def candidates(index: Index, queries: DataFrame, most: int, where: Column | None
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "_list": pd.Series(dtype="int32"), "approx": pd.Series(dtype="float64")})
-        at = int(key[0])
+        at, parts = int(key[0]), []
         codes = np.frombuffer(b"".join(left["_code"]), np.uint8).reshape(len(left), -1)
-        ids, q, own = left["vec_id"].to_numpy(), matrix(right["embedding"], index.dims), right["query_id"].to_numpy()
-        approx = np.repeat((q @ index.cells[at])[:, None], len(ids), axis=1)
-        for k, ((lo, hi), c) in enumerate(zip(index.cuts(), index.parts, strict=True)):
-            approx += (q[:, lo:hi] @ c.T)[:, codes[:, k]]  # the table of products
-        approx[own[:, None] == ids[None, :]] = -np.inf
-        n = min(most, len(ids))
-        best = np.argpartition(-approx, n - 1, axis=1)[:, :n]
-        out = pd.DataFrame({"query_id": np.repeat(own, n), "vec_id": ids[best].reshape(-1), "_list": at, "approx": np.take_along_axis(approx, best, axis=1).reshape(-1)})
+        ids, n, at_once = left["vec_id"].to_numpy(), min(most, len(left)), max(1, V.SCORES // len(left))
+        for begin in range(0, len(right), at_once):
+            some = right.iloc[begin : begin + at_once]
+            q, own = matrix(some["embedding"], index.dims), some["query_id"].to_numpy()
+            approx = np.repeat((q @ index.cells[at])[:, None], len(ids), axis=1)
+            for k, ((lo, hi), c) in enumerate(zip(index.cuts(), index.parts, strict=True)):
+                approx += (q[:, lo:hi] @ c.T)[:, codes[:, k]]  # the table of products
+            approx[own[:, None] == ids[None, :]] = -np.inf
+            best = np.argpartition(-approx, n - 1, axis=1)[:, :n]
+            parts.append(pd.DataFrame({"query_id": np.repeat(own, n), "vec_id": ids[best].reshape(-1), "_list": at, "approx": np.take_along_axis(approx, best, axis=1).reshape(-1)}))
+        out = pd.concat(parts, ignore_index=True)
         return out[np.isfinite(out["approx"])]
 
     return data.groupBy("_list", "_piece", "_turn").cogroup(asked.groupBy("_ql", "_qp", "_qt")).applyInPandas(one, schema)
