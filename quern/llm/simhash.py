@@ -35,6 +35,8 @@ from . import common
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Least bits of a set's parities, the number of texts from which frequent shingles are estimated (they order the shingles, nothing more), and how many of these there are at most.
 PARITIES, SAMPLE, FREQUENT = 1024, 16_000, 100_000
+#: Of one in so many texts the leading part of the shingles, in this proportion to what a similar set can lack, is counted; those of this many texts go behind the rare ones. The share is fixed, so that groups under a shingle do not grow with the number of texts.
+SHARE, PART, SHARED = 4, 2.5, 2
 #: A table of up to so many texts' hashes (8 MB) is broadcast to find the texts; a larger one is joined with a shuffle. Texts whose shingles a task remembers.
 BROADCAST_ROWS, REMEMBERED = 1 << 20, 64
 #: Texts under one shingle meet in pairs of blocks of about so many.
@@ -104,6 +106,29 @@ def frequent(docs: DataFrame, *, shingle: int = SHINGLE) -> tuple[np.ndarray, np
     return keys[order], n[order]
 
 
+def ordered_last(docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """frequent(), and those of the shingles that then come first which SHARED or more different texts of a fixed share have: shingles too rare for a sample of bounded size, under which many texts of a large table meet. Like it, this orders shingles and drops nothing."""
+    keys, counts = frequent(docs, shingle=shingle)
+
+    least = max(0.0, 1 - PART * (1 - similarity))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [leading(np.unique(shingle_hashes(t, shingle).astype(np.uint64)), least, keys, counts) for t in b.column(1).to_pylist()]
+            bits = np.repeat(b.column(0).to_numpy(), [len(h) for h in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, dtype=np.int64)), pa.array(bits)], names=["_k", "_bit"])
+
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    some = docs.filter(F.pmod(row, F.lit(SHARE)) == 0).select(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(row, 8), F.lit(64)).cast("int")).alias("_bit"), "text")
+    led = some.mapInArrow(each, "_k long, _bit long").groupBy("_k").agg(F.count("*").alias("_n"), F.bit_count(F.bit_or("_bit")).alias("_texts"))
+    top = led.filter(F.col("_texts") >= SHARED).orderBy(F.desc("_texts"), F.desc("_n"), "_k").limit(FREQUENT).collect()  # copies of a text count once
+    also, n = np.array([r["_k"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["_n"] for r in top], dtype=np.int64)
+    new = ~np.isin(also, keys)  # of a frequent one the sample's count stands
+    keys, counts = np.concatenate([keys, also[new]]), np.concatenate([counts, n[new]])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def leading(h: np.ndarray, similarity: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Of a set of shingles (distinct, in order) the first ones, rare before frequent and then by hash: as many as a similar set cannot do without all of."""
     n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
@@ -136,7 +161,7 @@ def bits_apart(a: Column, b: Column) -> Column:
 
 def described(docs: DataFrame, similarity: float, *, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, _fp, _row (the text's hash), _size (distinct shingles), _keys (the leading ones), _odd (parities). Null texts have no words."""
-    keys, counts = frequent(docs, shingle=shingle)
+    keys, counts = ordered_last(docs, similarity, shingle=shingle)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

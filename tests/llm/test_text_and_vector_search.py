@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import catalogue, hard_negatives, spelling, substring_dedup
+from quern.llm import catalogue, hard_negatives, simhash, spelling, substring_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -235,3 +235,16 @@ def test_bounds_hold_and_filter():
     exact = x[:20] @ x.T
     assert (low <= exact).all() and (exact <= high).all()
     assert np.median(high - low) < 0.5 * exact.std()
+
+
+def test_shingles_too_rare_for_the_sample_do_not_lead(spark, monkeypatch):
+    """Passages that a few in a hundred texts share are not in a sample of bounded size; their texts still do not all meet under them, and near copies are found."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [f"{own(i, 90)} {own(f'p{i % 10}', 14)}" for i in range(400)]
+    texts.append(texts[7] + " and one more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = simhash.described(docs, 0.8, shingle=5).select(F.explode("_keys").alias("_k"))
+    assert keys.groupBy("_k").count().agg(F.max("count")).first()[0] <= 3
+    found = {r["doc_id"]: r["component_id"] for r in simhash.grouped_documents(docs, shingle=5, similarity=0.8).collect()}
+    assert found[400] == 7 and sum(k != v for k, v in found.items()) == 1
