@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import runtime
 from ..functions import text as X
 
+#: Of passages longer than HEAD characters the first ones are looked up before the whole.
+HEAD = 16
+#: The base of hashes, odd; bits of a filter at least and at most; characters that are hashed at once.
+BASE, FILTER, TOGETHER = 0x9E3779B97F4A7C15, (1 << 20, 1 << 26), 1 << 16
+
 
 def flagged(df: DataFrame) -> DataFrame:
     """Adds flags (for each retrieved item whether it is gold; of an item that repeats only the first) and n_gold, from arrays retrieved and gold: for gold lists as short as those of labelled cases."""
@@ -158,11 +164,10 @@ def answer_checks(answers: DataFrame, *, longest: int, refusals: Sequence[str],
 
 
 def keyword_gold(cases: DataFrame, docs: DataFrame, key: str, keywords: str, title: str, doc: str) -> DataFrame:
-    """key, doc: the documents whose title has any of a case's keywords, letter case aside, as rows (a set has no bound). Titles and keywords meet as in containing(), in an equi-join."""
-    wanted = cases.select(key, F.explode(F.transform(keywords, F.lower)).alias("passage")).filter("passage <> ''").distinct()
-    titles = docs.select(doc, F.lower(F.col(title)).alias("text"))
-    pairs = containing(titles, "text", wanted, "passage")
-    return wanted.join(pairs, "passage").select(key, "text").distinct().join(titles, "text").select(key, doc)
+    """key, doc: the documents whose title has any of a case's keywords, letter case aside, as rows (a set has no bound). A title's runs of characters meet the keywords in an equi-join as in containing(), and only their documents' ids go on."""
+    wanted = runtime.written(cases.select(key, F.explode(F.transform(keywords, F.lower)).alias("passage")).filter("passage <> ''").distinct(), "wanted")
+    found = held(docs.select(doc, F.lower(F.col(title)).alias("text")), [doc], "text", wanted.select("passage").distinct(), "passage")
+    return wanted.join(found, "passage").select(key, doc).distinct()
 
 
 def diagnosed(rows: DataFrame, diagnostics: DataFrame, key: str) -> DataFrame:
@@ -243,32 +248,98 @@ def winnowed(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(each, f"{key} long, _h long")
 
 
+def sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a text's codes times powers of a base up to each place, and the inverse powers: of any run of characters the two tell a hash."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    power = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(len(codes) - 1, 0), base, np.uint64)]))[: len(codes)]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power(BASE))]), power(pow(BASE, -1, 1 << 64))
+
+
+def places(total: np.ndarray, down: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, salt: int, size: int) -> np.ndarray:
+    """Where in a filter of `size` bits, a power of two, the runs from start to end are."""
+    h = (total[end] - total[start]) * down[start] ^ np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(size - 1)).astype(np.int64)
+
+
+def filtered(passages: DataFrame, passage: str) -> tuple[list[int], np.ndarray]:
+    """The lengths of passages, and a filter with a bit for each and, of those longer than HEAD, for their first HEAD characters: 64 bits a passage, within FILTER. The driver gets the lengths and the set bits."""
+    lengths = sorted(r[0] for r in passages.select(F.length(passage)).distinct().collect() if r[0])
+    size = min(max(1 << (64 * passages.count()).bit_length(), FILTER[0]), FILTER[1])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.zeros(0, np.int64)]
+            for t in filter(None, b.column(0).to_pylist()):
+                total, down = sums(t)
+                out += [places(total, down, slice(0, 1), slice(n, n + 1), salt, size) for n, salt in ((len(t), len(t)), (HEAD, 0)) if n <= len(t) and (salt or len(t) > HEAD)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["_bit"])
+
+    bits = np.zeros(size, dtype=bool)
+    bits[np.array([r[0] for r in passages.select(passage).mapInArrow(each, "_bit long").distinct().collect()], dtype=np.int64)] = True
+    return lengths, np.packbits(bits)
+
+
+def held(rows: DataFrame, keys: Sequence[str], text: str, passages: DataFrame, passage: str) -> DataFrame:
+    """keys, passage: for each row the runs of its text that have the length of a passage and pass a filter of bounded size, each once. To be joined with the passages on equality; all that a text holds are among them, but the empty one. No text leaves its task."""
+    lengths, packed = filtered(passages, passage)
+    short, long = [n for n in lengths if n <= HEAD], [n for n in lengths if n > HEAD]
+    schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField(passage, T.StringType())])
+
+    def found(group: list[tuple[int, str]], bits: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Rows' numbers and runs, of several texts at once."""
+        every = "".join(t for _, t in group)
+        ends = np.cumsum([len(t) for _, t in group])
+        last = np.repeat(ends, [len(t) for _, t in group])
+        total, down = sums(every)
+        at, seen = np.arange(len(every)), set()
+
+        def runs(start: np.ndarray, n: int) -> None:
+            for row, i in zip(np.searchsorted(ends, start, "right").tolist(), start.tolist(), strict=True):
+                seen.add((group[row][0], every[i : i + n]))
+
+        whole = lambda n, salt: np.flatnonzero(bits[places(total, down, slice(0, len(every) - n + 1), slice(n, None), salt, len(bits))] & (at[: len(every) - n + 1] + n <= last[: len(every) - n + 1]))
+        for n in short:
+            if n <= len(every):
+                runs(whole(n, n), n)
+        heads = whole(HEAD, 0) if long and HEAD <= len(every) else at[:0]
+        for n in long:
+            some = heads[heads + n <= last[heads]]
+            runs(some[bits[places(total, down, some, some + n, n, len(bits))]], n)
+        yield from seen
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            out, texts, group, size = ([], []), b.column(len(keys)).to_pylist(), [], 0
+            made = lambda out, b=b: pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(out[0], pa.int64())) for i in range(len(keys))), pa.array(out[1], pa.string())], names=schema.names)
+            for i, t in enumerate(texts):
+                if t:
+                    group.append((i, t))
+                    size += len(t)
+                if group and (size >= TOGETHER or i == len(texts) - 1):
+                    weight = 0
+                    for row, run in found(group, bits):
+                        out[0].append(row)
+                        out[1].append(run)
+                        weight += len(texts[row]) + len(run)
+                        if weight >= 8 * TOGETHER:
+                            yield made(out)
+                            out, weight = ([], []), 0
+                    group, size = [], 0
+            yield made(out)
+
+    return rows.select(*keys, F.col(text).alias("_text")).mapInArrow(cut, schema)
+
+
 def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str) -> DataFrame:
     """text, passage: pairs of a text and a passage that it holds as a whole, both given once each. An empty passage is in every text; nulls are in none.
 
-    Of the thinned hashes of a text's runs of characters, any text that holds a passage has the smallest of the passage's first run of windows, so the tables meet in an equi-join on one hash of each passage, and pairs are verified. Passages are taken by length: those of 16 characters or more together, shorter ones with shorter runs."""
-    texts = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
-    passages = passages.select(F.col(passage).alias("passage")).filter("passage IS NOT NULL").distinct()
-    lengths = [1, 2, 4, 8, 16]
-    of = F.lit(0)
-    for n in lengths:
-        of = F.when(F.length("passage") >= n, n).otherwise(of)
-    passages = passages.withColumn("_class", of)
-    present = [r["_class"] for r in passages.select("_class").distinct().collect()]
-    numbered = texts.withColumn("_id", F.xxhash64("text"))
-    out = None
-    for n in sorted(present):
-        some = passages.filter(F.col("_class") == n).drop("_class")
-        if n == 0:
-            pairs = texts.join(some, F.col("passage") == "")  # one row
-        else:
-            held = winnowed(numbered, "_id", "text", n).distinct()
-            keys = winnowed(some.select(F.xxhash64("passage").alias("_pid"), F.substring("passage", 1, n).alias("_start")), "_pid", "_start", n).distinct()
-            met = held.join(keys, "_h").select("_id", "_pid").distinct()
-            pairs = met.join(numbered, "_id").join(some.withColumn("_pid", F.xxhash64("passage")), "_pid").filter(F.contains("text", F.col("passage")))
-        pairs = pairs.select("text", "passage")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else texts.select("text", F.lit(None).cast("string").alias("passage")).limit(0)
+    A text's runs of characters meet the passages in an equi-join, after a filter in the task that cuts them (held())."""
+    texts = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL")
+    passages = runtime.written(passages.select(F.col(passage).alias("passage")).filter("passage IS NOT NULL").distinct(), "passages")
+    pairs = held(texts, ["text"], "text", passages, "passage").join(passages, "passage").select("text", "passage")
+    return pairs.unionByName(texts.join(passages.filter("passage = ''"), F.lit(True))).distinct()  # one row
 
 
 def large_copies(answers: DataFrame, evidence: DataFrame, length: int = 50) -> DataFrame:
