@@ -85,3 +85,17 @@ def test_arg_max_join_meets_few_pairs(spark, sf):
     met = C.shared_pairs(b, n, "terms").count()
     print("rows of the join on all terms:", every, "pairs met:", met)
     assert met < every / 10
+
+
+def test_labels_of_odd_texts_without_lambdas(spark):
+    rules = {"a": ["the", "c++"], "b": ["ab a"], "c": ["国", "é"], "none": []}
+    r = random.Random(6)
+    pieces = ["the", "The", "THE9", "lathe", " ", "_", "é", "c++", "C++x", "ab a", "ab ab a", "国", "K", "\n", "9"]
+    rows = [(i, "".join(r.choice(pieces) for _ in range(r.randint(0, 9)))) for i in range(400)] + [(400, None), (401, "x" * 100_000 + " the")]
+    labels, primary = C.tagged(F.col("t"), rules, ["c", "unknown", "a"])
+    found = spark.createDataFrame(rows, "i long, t string").select("i", labels.alias("l"), primary.alias("p"))
+    has = lambda t, w: w in t if not w.isascii() else re.search(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", t)
+    for x in found.collect():
+        want = [k for k, ws in rules.items() if any(has((rows[x["i"]][1] or "").lower(), w) for w in ws)]
+        assert x["l"] == want and x["p"] == next((p for p in ("c", "a") if p in want), "other")
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
