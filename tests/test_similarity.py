@@ -66,3 +66,20 @@ def test_neighbours_across_partitions(spark):
             assert len(got) == len(want) > 100 and {(a, b): n for a, b, n in got} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_components_over_equal_titles(spark):
+    """Pairs of equal titles with different contents: each has the ratio 1, and their components are plain ones."""
+    from quern.operators import graph as G
+
+    r = random.Random(9)
+    rows = [(i, "s", "one title" if i % 3 else "".join(r.choice("abcdefgh ") for _ in range(60)), f"h{i % 50}") for i in range(120)]
+    found = C.near_duplicates(spark.createDataFrame(rows, "doc_id long, source string, title string, hash string"), ["source"], ["title"], "title", 0.9, exact="hash")
+    assert {x["ratio"] for x in found.collect()} == {1.0}
+    own = [i for i in range(120) if i % 3]
+    links = {(a, b) for k, a in enumerate(own) for b in own[k + 1 : k + 5] if a % 50 != b % 50}
+    root = {i: i for i in own}
+    for _ in own:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {x["node"]: x["component"] for x in G.components(found).collect()} == root
